@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .hilbert import op4_hilbert_shards
+from .mixing import OP3_SQL, op3_pareto_mix
 from .secrets import op10_secrets
 
 QUERIES = {
+    "op3_pareto_mix": op3_pareto_mix,
     "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_exact_dedup": op5_exact_dedup,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_pareto_mix": OP3_SQL,
+    "op5_exact_dedup": OP5_SQL,
+}
