@@ -5,12 +5,14 @@ from __future__ import annotations
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .hilbert import op4_hilbert_shards
 from .mixing import OP3_SQL, op3_pareto_mix
+from .quality import op9_quality
 from .secrets import op10_secrets
 
 QUERIES = {
     "op3_pareto_mix": op3_pareto_mix,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
