@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .hilbert import op4_hilbert_shards
 from .mixing import OP3_SQL, op3_pareto_mix
+from .packing import op8_mixture_packing
 from .quality import op9_quality
 from .secrets import op10_secrets
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_pareto_mix": op3_pareto_mix,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_mixture_packing": op8_mixture_packing,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
