@@ -5,11 +5,13 @@ from __future__ import annotations
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .hilbert import op4_hilbert_shards
 from .mixing import OP3_SQL, op3_pareto_mix
+from .near_dedup import op2_near_dedup
 from .packing import op8_mixture_packing
 from .quality import op9_quality
 from .secrets import op10_secrets
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_exact_dedup": op5_exact_dedup,
@@ -18,6 +20,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_pareto_mix": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
