@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from .shared import Scratch, table, utf8_lower
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State in RocksDB, whose changes alone are uploaded; a task closes its store when done, so stores take no disk or memory between batches.
+STORES = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def digest_state(stream: DataFrame, scratch: Scratch, name: str = "state") -> DataFrame:
@@ -20,8 +25,9 @@ def digest_state(stream: DataFrame, scratch: Scratch, name: str = "state") -> Da
     """
     spark = scratch.spark
     state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("n"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORES}
+    for k, v in STORES.items():
+        spark.conf.set(k, v)
     try:
         run = state.writeStream.format("noop").outputMode("update").trigger(availableNow=True).option("checkpointLocation", scratch.path(name)).start()
         run.awaitTermination()
@@ -32,10 +38,11 @@ def digest_state(stream: DataFrame, scratch: Scratch, name: str = "state") -> Da
         out = read.select(F.col("key.digest").alias("digest"), keep["doc_id"].alias("keep_id"), keep["locator"].alias("locator"), F.col("value")[values[1]].alias("group_size"))
         return scratch.keep(out, f"{name}-read")
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def exact_duplicates(docs: DataFrame, stream: DataFrame, scratch: Scratch) -> DataFrame:
