@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op6_embedding_dedup
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .hilbert import op4_hilbert_shards
 from .mixing import OP3_SQL, op3_pareto_mix
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_pareto_mix": op3_pareto_mix,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
