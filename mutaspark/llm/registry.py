@@ -5,6 +5,7 @@ from __future__ import annotations
 from .embedding_dedup import op6_embedding_dedup
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .hilbert import op4_hilbert_shards
+from .html_text import op1_html_text
 from .mixing import OP3_SQL, op3_pareto_mix
 from .near_dedup import op2_near_dedup
 from .packing import op8_mixture_packing
@@ -12,6 +13,7 @@ from .quality import op9_quality
 from .secrets import op10_secrets
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_near_dedup": op2_near_dedup,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_hilbert_shards": op4_hilbert_shards,
@@ -22,6 +24,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {
+    "op1_html_text": op1_html_text,
     "op2_near_dedup": op2_near_dedup,
     "op3_pareto_mix": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
