@@ -30,8 +30,11 @@ def paired_blocks(rows: DataFrame, key: str, member: str, size: int) -> DataFram
     return dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "n_blocks")
 
 
-def each_group(rows: DataFrame, by: list[str], f: Callable[[pa.Table], Iterator[dict]], schema: str, order: list[str] | None = None) -> DataFrame:
-    """f over each group of rows that agree in `by`. Groups are brought together by one shuffle and a sort, and run through one stream a task, so a small group costs little."""
+def each_group(rows: DataFrame, by: list[str], f: Callable[[pa.Table], Iterator[dict]], schema: str, ranged: bool = False) -> DataFrame:
+    """f over each group of rows that agree in `by`. Groups are brought together by one shuffle and a sort, and run through one stream a task, so a small group costs little.
+
+    ranged: tasks get ranges of `by`, cut at sampled splitters, rather than hashes of it.
+    """
     kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,4 +72,5 @@ def each_group(rows: DataFrame, by: list[str], f: Callable[[pa.Table], Iterator[
         if n_out:
             yield flush()
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *(order or [])).mapInArrow(run, schema)
+    dealt = rows.repartitionByRange(*by) if ranged else rows.repartition(*by)
+    return dealt.sortWithinPartitions(*by).mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from .near_dedup import op2_near_dedup
 from .packing import op8_mixture_packing
 from .quality import op9_quality
 from .secrets import op10_secrets
+from .suffixes import op7_repeated_passages
 
 QUERIES = {
     "op1_html_text": op1_html_text,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_mixture_packing": op8_mixture_packing,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
