@@ -117,6 +117,17 @@ def of_files(spark, path: str, scratch: Scratch) -> DataFrame:
     return exact_duplicates(docs, digests(stream), scratch)
 
 
+def without_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one of each group of equal texts, also where whole rows repeat."""
+    found = of_table(docs, scratch)
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256")).distinct()
+    keyed = docs.withColumn("kept_digest", F.sha2(utf8_lower(F.col("text")), 256))
+    out = keyed.join(kept, (F.col("kept_digest") == F.col("kept_sha256")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if found.where("kept").count() > kept.count():  # one doc_id and text in several rows
+        out = out.dropDuplicates(["kept_digest", "doc_id"])
+    return out.drop("kept_digest")
+
+
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document, the one that stays of its equals, and the digest of its normalised text."""
     return of_files(spark, f"{sf_dir}/documents.parquet", Scratch(spark, "exact"))

@@ -31,8 +31,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         "*", f"{total} as total", f"sum(most) over ({order} rows unbounded preceding) - most as full", f"sum(w) over () - (sum(w) over ({order} rows unbounded preceding) - w) as open"
     )
     levels = run.selectExpr("*", "(total - full) / open as level")
-    levels = levels.selectExpr("*", "min(case when level <= most / w then level end) over () as at")
-    # Levels fall short of no later one before the first that fits, so the first that fits is the least.
+    levels = levels.selectExpr("*", "max(case when level <= most / w then level end) over () as at")
+    # From the first level that fits on, levels only fall: later rows count sources as full that aren't.
     return levels.selectExpr("source", "source_size", "case when at is null or most / w <= at then cast(most as double) else at * w end as target")
 
 
@@ -93,6 +93,17 @@ def _small(cut: DataFrame) -> bool:
     return cut.count() <= 100_000
 
 
+def mixed(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
+    """The mix itself: rows of docs, with all their columns, each as often as it is taken."""
+    taken = pareto_mix(docs, scratch, **how).where("copies > 0")
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("mix_copies"))
+    taken = taken.withColumnsRenamed({"doc_id": "mix_id", "source": "mix_source", "size": "mix_size"})
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (words == F.col("mix_size"))
+    copies = F.explode(F.expr("array_repeat(true, cast(mix_copies as int))"))
+    return docs.join(taken, same).withColumn("mix_copy", copies).select(*[docs[c] for c in docs.columns])
+
+
 def op3_pareto_mix(spark, sf_dir: str) -> DataFrame:
     """All documents, their source's target, and the words the mix takes of each."""
     mix = pareto_mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix"))
@@ -106,7 +117,7 @@ s as (select source, sum(size)::bigint as source_size, sum(size)::bigint * {CAP}
 r as (select *, sum(source_size) over ()::double as total,
   (sum(most) over (order by most::double / w, source asc nulls last rows unbounded preceding) - most)::double as filled,
   (sum(w) over () - (sum(w) over (order by most::double / w, source asc nulls last rows unbounded preceding) - w))::double as remaining from s),
-l as (select *, min(case when (total - filled) / remaining <= most::double / w then (total - filled) / remaining end) over () as lvl from r),
+l as (select *, max(case when (total - filled) / remaining <= most::double / w then (total - filled) / remaining end) over () as lvl from r),
 t as (select source, source_size, case when lvl is null or most::double / w <= lvl then most::double else lvl * w end as target from l),
 a as (select d.doc_id, d.size, d.source, t.source_size, t.target, case when source_size > 0 then floor(target / source_size) else 0 end as whole,
   ((('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::varchar, 'null')), 1, 12))::bigint)::double + 0.5) / {float(1 << 48)!r}::double as u

@@ -249,6 +249,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, threshold: float, scratch: Scra
     return map_arrow(both, check, "a long, b long", rows=256)
 
 
+def without_near_copies(docs: DataFrame, scratch: Scratch, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: the smallest doc_id of each component, and rows without doc_id."""
+    kept = near_duplicates(docs, scratch, width, threshold).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents by shingles of three words and a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "near"), width=3, threshold=0.85)

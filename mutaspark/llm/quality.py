@@ -232,6 +232,21 @@ def with_scores(docs: DataFrame, net: Network) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), scored, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, net: Network, cut: float = CUT) -> DataFrame:
+    """The rows of docs, with all their columns, whose whole text scores `cut` or more. One pass; rows aren't moved."""
+    state: dict = {}
+
+    def good(batches):
+        if not state:
+            state["pairs"] = net.pairs()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                yield batch.filter(pa.array(score(net, state["pairs"], batch.column("text").to_pylist()) >= cut))
+
+    return docs.mapInArrow(good, docs.schema)
+
+
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Every document's score, learned from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
