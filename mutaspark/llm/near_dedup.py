@@ -184,11 +184,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
             two = [int(mix(x + STEP).sum(dtype=np.uint64).view(np.int64)) if len(x) else None for x in found]
         yield {
             "doc_id": batch.column("doc_id"), "n": [len(x) for x in found], "sig1": one, "sig2": two,
-            "regs": [registers(x).astype("<u2").tobytes() if len(x) else None for x in found], "hashes": [x.astype("<u8").tobytes() for x in found],
+            "regs": [registers(x).astype("<u2").tobytes() if len(x) else None for x in found],
         }
 
-    rows = map_arrow(docs.select("doc_id", "text"), sets, "doc_id long, n long, sig1 long, sig2 long, regs binary, hashes binary", rows=64)
-    rows = scratch.keep(rows, "sets", compression="uncompressed")
+    rows = map_arrow(docs.select("doc_id", "text"), sets, "doc_id long, n long, sig1 long, sig2 long, regs binary", rows=64)
+    rows = scratch.keep(rows, "sets", compression="snappy")
     some = rows.where("n > 0 and doc_id is not null")
     reps = some.groupBy("sig1", "sig2").agg(F.min(F.struct("doc_id", "n", "regs")).alias("x")).select(F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.regs").alias("regs"), "sig1", "sig2")
     reps = scratch.keep(reps, "reps")
@@ -202,14 +202,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     bands = map_arrow(reps.select("rep", "regs"), banded, "key long, band int, rep long", rows=2048)
     buckets = scratch.keep(repeated(bands, "key", "rep"), "buckets")
     members = scratch.keep(reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "regs"), "members")
-    links, most, k = None, 2, 0
-    labels = None
+    links, labels, fetched, most, k = None, None, None, 2, 0
     while True:
         known = members.withColumn("label", F.col("rep")) if labels is None else members.join(labels, members.rep == labels.node, "left").select("rep", "n", "regs", F.coalesce("label", "rep").alias("label"))
         met = paired_blocks(buckets.join(known, "rep"), "key", "rep", BLOCK)
         pairs = each_group(met, ["key", "lo", "hi"], lambda g, most=most: candidates(g, threshold, most), "a long, b long, left long")
         pairs = scratch.keep(pairs, f"pairs{k}")
-        verified = scratch.keep(_verified(pairs.select("a", "b"), rows, threshold, scratch, k), f"links{k}")
+        fetched = _fetched(pairs, docs, width, fetched, scratch, k)
+        with scratch.small_batches():
+            verified = scratch.keep(_verified(pairs.select("a", "b"), fetched, threshold), f"links{k}")
         links = verified if links is None else links.union(verified)
         labels = components(links, scratch, f"cc{k}")
         if not pairs.where("left > 0").isEmpty():
@@ -221,15 +222,34 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     out = scratch.keep(out, "components")
-    scratch.drop("sets", "reps", "buckets", "members", *[f"{x}{i}" for i in range(k + 1) for x in ("pairs", "links", "needed")], *[f"cc{i}-found" for i in range(k + 1)])
+    scratch.drop("sets", "reps", "buckets", "members", *[f"{x}{i}" for i in range(k + 1) for x in ("pairs", "links", "need", "needed")], *[f"cc{i}-found" for i in range(k + 1)])
     return out
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, threshold: float, scratch: Scratch, k: int) -> DataFrame:
-    """The pairs whose full sets are as similar as asked. Only sets of documents in pairs move beyond the join that picks them."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    whole = rows.select("doc_id", "hashes").join(need, "doc_id", "left_semi")
-    whole = scratch.keep(whole.dropDuplicates(["doc_id"]), f"needed{k}", compression="uncompressed")
+def _fetched(pairs: DataFrame, docs: DataFrame, width: int, before: DataFrame | None, scratch: Scratch, k: int) -> DataFrame:
+    """Full sets of all documents in pairs so far. Texts move compressed, and only where a pair is new to them; sets are made anew rather than kept for all documents."""
+    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    if before is not None:
+        need = scratch.keep(need.join(before.select(F.col("doc_id").alias("id")), "id", "left_anti"), f"need{k}")
+        if need.isEmpty():
+            return before
+
+    def packed(batch: pa.RecordBatch):
+        raw = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+        yield {"doc_id": batch.column("doc_id"), "size": [len(t) for t in raw], "packed": [pa.compress(t, codec="zstd", asbytes=True) for t in raw]}
+
+    def sets(batch: pa.RecordBatch):
+        raw = [pa.decompress(p.as_buffer(), n, codec="zstd", asbytes=True).decode("utf-8") for p, n in zip(batch.column("packed"), batch.column("size").to_pylist(), strict=True)]
+        yield {"doc_id": batch.column("doc_id"), "hashes": [x.astype("<u8").tobytes() for x in shingle_sets(raw, width)]}
+
+    texts = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), packed, "doc_id long, size long, packed binary")
+    found = texts.join(need, texts.doc_id == need.id, "left_semi").dropDuplicates(["doc_id"])
+    found = scratch.keep(map_arrow(found, sets, "doc_id long, hashes binary", rows=64), f"needed{k}", compression="uncompressed")
+    return found if before is None else before.union(found)
+
+
+def _verified(pairs: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose full sets are as similar as asked."""
     both = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
     both = both.join(whole.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
     parts = round(threshold * 10000)

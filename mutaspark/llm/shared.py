@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -50,6 +51,17 @@ class Scratch:
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    @contextlib.contextmanager
+    def small_batches(self, most: int = 4 << 20):
+        """While tables are written inside, tasks hand Python so many bytes at once: for rows that may be large."""
+        key = "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(most))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
+
     def drop(self, *names: str) -> None:
         """Removes tables that no plan still reads."""
         for name in names:
