@@ -120,10 +120,10 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.95)
         yield {"vec_id": batch.column("vec_id"), "vector": [(v + 0.0).astype("<f8").tobytes() if g else None for v, g in zip(values, good, strict=True)]}
 
     rows = map_arrow(vectors.select("vec_id", "embedding"), checked, "vec_id long, vector binary", rows=2048)
-    rows = scratch.keep(rows, "vectors", compression="lz4_raw")
+    rows = scratch.keep(rows, "vectors", compression="snappy")
     some = rows.where("vector is not null")
     reps = some.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    reps = scratch.keep(reps.withColumn("bytes", F.octet_length("vector")), "reps", compression="lz4_raw")
+    reps = scratch.keep(reps.withColumn("bytes", F.octet_length("vector")), "reps", compression="snappy")
     found = None
     for row in reps.groupBy("bytes").agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect():  # one row for each length of vectors
         one = _of_length(reps.where(F.col("bytes") == row.bytes), row.bytes // 8, row.n, threshold, scratch)

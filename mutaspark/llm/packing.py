@@ -79,7 +79,7 @@ def tokenized(docs: DataFrame, tokens: Tokens, scratch: Scratch) -> DataFrame:
                 columns = [batch.column("doc_id").cast(pa.int64()), pa.array(sources, pa.string()), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
-    return scratch.keep(docs.select("doc_id", "source", "text").mapInArrow(run, schema), "tokens", compression="lz4_raw")
+    return scratch.keep(docs.select("doc_id", "source", "text").mapInArrow(run, schema), "tokens", compression="snappy")
 
 
 class Schedule:

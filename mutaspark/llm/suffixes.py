@@ -232,10 +232,10 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
         yield {"doc_id": batch.column("doc_id"), "text_id": [d.digest()[:16] for d in digests], "n_bytes": [len(t) for t in texts], "sha256": [d.hexdigest() for d in digests], "suffixes": listed(texts)}
 
     rows = map_arrow(docs.select("doc_id", "text"), first, "doc_id long, text_id binary, n_bytes long, sha256 string, suffixes binary", rows=512)
-    rows = scratch.keep(rows, "rows", compression="lz4_raw")
+    rows = scratch.keep(rows, "rows", compression="snappy")
     long = rows.where(f"n_bytes >= {PASSAGE}")
     texts = long.groupBy("text_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("suffixes").alias("suffixes"))
-    texts = scratch.keep(texts, "texts", compression="lz4_raw")
+    texts = scratch.keep(texts, "texts", compression="snappy")
 
     def unpacked(batch: pa.RecordBatch):
         lists = [np.frombuffer(s, SUFFIX) for s in batch.column("suffixes").to_pylist()]
@@ -246,7 +246,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
     suffixes = map_arrow(texts.select("text_id", "suffixes"), unpacked, "text_id binary, key long, anchor long, first long, last long", rows=1024)
     met = repeated(suffixes, "key", "text_id")
     by_text = met.groupBy("text_id").agg(F.collect_list(F.struct("key", "anchor", "first", "last", "n_key")).alias("met"))
-    by_text = scratch.keep(by_text, "met", compression="lz4_raw")
+    by_text = scratch.keep(by_text, "met", compression="snappy")
 
     def packed(batch: pa.RecordBatch):
         found = utf8(batch.column("text").to_pylist())
@@ -255,7 +255,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
     whole = map_arrow(docs.where(F.octet_length("text") >= PASSAGE).select("doc_id", "text"), packed, "doc long, id binary, packed binary, size long")
     wanted = by_text.join(texts.select("text_id", "rep"), "text_id")
     held = whole.join(wanted, (whole.id == wanted.text_id) & whole.doc.eqNullSafe(wanted.rep)).select("text_id", "packed", "size", "met").dropDuplicates(["text_id"])
-    held = scratch.keep(held, "held", compression="lz4_raw")
+    held = scratch.keep(held, "held", compression="snappy")
 
     def contexts(few: bool):
         def cut(batch: pa.RecordBatch):
@@ -284,7 +284,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
     if not by_text.where(F.exists("met", lambda m: m["n_key"] > group)).isEmpty():
         spans = spans.union(_by_digest(contexts(False)))
     spans = spans.groupBy("text_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    spans = scratch.keep(spans, "spans", compression="lz4_raw")
+    spans = scratch.keep(spans, "spans", compression="snappy")
 
     schema = "id binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
@@ -304,7 +304,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
         yield out
 
     done = map_arrow(held.select("text_id", "packed", "size").join(spans, "text_id"), cut_out, schema, rows=64)
-    done = scratch.keep(done, "done", compression="lz4_raw")
+    done = scratch.keep(done, "done", compression="snappy")
     known = texts.select("text_id", "copies").join(done, F.col("text_id") == F.col("id"), "left").drop("id").withColumnRenamed("text_id", "id")
     out = rows.select("doc_id", "text_id", "n_bytes", "sha256").join(known, F.col("text_id") == F.col("id"), "left")
     all_of_it = "coalesce(copies, 1) > 1"
