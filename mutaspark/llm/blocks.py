@@ -8,13 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema
+from .shared import Scratch, arrow_schema
 
 
-def repeated(rows: DataFrame, key: str, member: str) -> DataFrame:
-    """Rows whose key occurs more than once, with `n_key`, its count."""
+def repeated(rows: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
+    """Rows whose key occurs more than once, with `n_key`, its count. Counts are a table of their own, so that the join's two sides are plain shuffles and a key with many rows is split over tasks."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n_key")).where("n_key > 1")
-    return rows.join(counts.withColumnRenamed(key, "of_key"), F.col(key) == F.col("of_key")).drop("of_key")
+    counts = scratch.keep(counts.withColumnRenamed(key, "of_key"), name)
+    return rows.join(counts, F.col(key) == F.col("of_key")).drop("of_key")
 
 
 def paired_blocks(rows: DataFrame, key: str, member: str, size: int) -> DataFrame:

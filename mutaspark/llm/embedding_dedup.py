@@ -153,7 +153,7 @@ def _of_length(reps: DataFrame, dims: int, n: int, threshold: float, scratch: Sc
     # A class without a vec_id has no name to be linked by.
     named = reps.where("rep is not null")
     keys = map_arrow(named.select("rep", "vector"), hashed, "key long, slot int, rep long", rows=512)
-    buckets = scratch.keep(repeated(keys, "key", "rep"), f"buckets{dims}")
+    buckets = scratch.keep(repeated(keys, "key", scratch, f"keys{dims}"), f"buckets{dims}")
     met = paired_blocks(buckets.join(named.select("rep", "size", "vector"), "rep"), "key", "rep", BLOCK)
     pairs = each_group(met, ["key", "lo", "hi"], lambda g: joined(g, hashing, threshold), "a long, b long, links long")
     return pairs.select(F.col("a").alias("node"), "links", F.col("b").alias("edge"))

@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
         yield {"key": keys[r, c], "band": c.astype(np.int32), "rep": batch.column("rep").to_numpy()[r]}
 
     bands = map_arrow(reps.select("rep", "regs"), banded, "key long, band int, rep long", rows=2048)
-    buckets = scratch.keep(repeated(bands, "key", "rep"), "buckets")
+    buckets = scratch.keep(repeated(bands, "key", scratch, "keys"), "buckets")
     members = scratch.keep(reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "regs"), "members")
     links, labels, fetched, most, k = None, None, None, 2, 0
     while True:

@@ -244,7 +244,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
         yield {"text_id": batch.column("text_id").take(pa.array(owner)), **{c: every[c].astype(np.int64) for c in ("key", "anchor", "first", "last")}}
 
     suffixes = map_arrow(texts.select("text_id", "suffixes"), unpacked, "text_id binary, key long, anchor long, first long, last long", rows=1024)
-    met = repeated(suffixes, "key", "text_id")
+    met = repeated(suffixes, "key", scratch, "keys")
     by_text = met.groupBy("text_id").agg(F.collect_list(F.struct("key", "anchor", "first", "last", "n_key")).alias("met"))
     by_text = scratch.keep(by_text, "met", compression="snappy")
 
