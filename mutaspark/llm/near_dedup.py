@@ -16,8 +16,8 @@ REGISTERS, MANTISSA = 128, 10
 BANDS, BAND = 25, 5
 #: Candidates are verified unless their estimate lies so many standard deviations below the threshold.
 DEVIATIONS = 5.0
-#: Rows of a block in a band's bucket.
-BLOCK = 1024
+#: Buckets of so many rows or fewer are emitted as pairs; larger ones are verified in place, in blocks of so many rows.
+SMALL, BLOCK = 32, 1024
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 21
 
@@ -125,42 +125,62 @@ def estimates(one: np.ndarray, many: np.ndarray, n_one: int, n_many: np.ndarray)
     return np.maximum(same - chance, 0) / used, used
 
 
-def candidates(group: pa.Table, threshold: float, most: int):
-    """Of one pair of blocks of a band's bucket, the pairs worth verifying that this band is the first to bring together.
+def likely(regs: np.ndarray, n: np.ndarray, i: int, js: np.ndarray, band: int, threshold: float) -> np.ndarray:
+    """Those of js worth verifying against i that `band` is the first to bring together with it."""
+    js = js[np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i])]
+    if not len(js):
+        return js
+    estimate, used = estimates(regs[i], regs[js], int(n[i]), n[js])
+    js = js[estimate >= threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / used)]
+    bands = regs[:, : BANDS * BAND].reshape(-1, BANDS, BAND)
+    agree = (bands[js] == bands[i]).all(axis=2) & bands[i].any(axis=1)
+    return js[agree.argmax(axis=1) == band]
 
-    Yields edges a, b, and `left`, how many pairs of unlike labels were put off: each document offers its `most`
-    likeliest partners of other labels.
-    """
+
+def candidates(group: pa.Table, threshold: float):
+    """Pairs to verify of a small bucket."""
     group = group.sort_by("rep")
-    rep, n, label = (group.column(c).to_numpy() for c in ("rep", "n", "label"))
-    block = group.column("block").to_numpy()
-    lo, hi, band = (group.column(c)[0].as_py() for c in ("lo", "hi", "band"))
-    if (label == label[0]).all():
-        return
+    rep, n, band = group.column("rep").to_numpy(), group.column("n").to_numpy(), group.column("band")[0].as_py()
     regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
-    bands = regs[:, : BANDS * BAND].reshape(-1, BANDS, BAND)
-    a, b, left = [], [], 0
+    found = [(i, j) for i in range(1, len(rep)) for j in likely(regs, n, i, np.arange(i), band, threshold)]
+    if found:
+        one, two = np.array(found).T
+        yield {"a": rep[one], "b": rep[two]}
+
+
+def verified_here(group: pa.Table, threshold: float):
+    """Of one pair of blocks of a large bucket, whose rows bring their full sets: edges that span what is linked. Pairs that earlier links have joined are skipped."""
+    group = group.sort_by("rep")
+    rep, n, block, band = group.column("rep").to_numpy(), group.column("n").to_numpy(), group.column("block").to_numpy(), group.column("band")[0].as_py()
+    across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
+    regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    sets = [np.frombuffer(x, "<u8") for x in group.column("hashes").to_pylist()]
+    root = np.arange(len(rep))
+    a, b = [], []
     for i in range(1, len(rep)):
-        ok = (label[:i] != label[i]) & (np.minimum(n[:i], n[i]) >= threshold * np.maximum(n[:i], n[i]))
-        if lo != hi:
-            ok &= block[:i] != block[i]
-        js = np.flatnonzero(ok)
-        if not len(js):
-            continue
-        estimate, used = estimates(regs[i], regs[js], int(n[i]), n[js])
-        js = js[fit := estimate >= threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / used)]
-        estimate = estimate[fit]
-        if not len(js):
-            continue
-        agree = (bands[js] == bands[i]).all(axis=2) & bands[i].any(axis=1)
-        js, estimate = js[mine := agree.argmax(axis=1) == band], estimate[mine]
-        if len(js) > most:
-            left += len(js) - most
-            js = js[np.argsort(-estimate, kind="stable")[:most]]
-        a += [int(rep[i])] * len(js)
-        b += rep[js].tolist()
+        js = np.flatnonzero((root[:i] != root[i]) & ((block[:i] != block[i]) if across else True))
+        js = likely(regs, n, i, js, band, threshold)
+        for at in range(0, len(js), 256):
+            some = js[at : at + 256]
+            some = some[root[some] != root[i]]
+            if not len(some):
+                continue
+            every = np.concatenate([sets[j] for j in some])
+            place = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+            common = np.add.reduceat((sets[i][place] == every).astype(np.int64), np.concatenate([[0], np.cumsum(n[some])[:-1]]))
+            for j in some[similar(common, n[i], n[some], threshold)]:
+                if root[i] != root[j]:
+                    a.append(i)
+                    b.append(j)
+                    low, high = min(root[i], root[j]), max(root[i], root[j])
+                    root[root == high] = low
     if a:
-        yield {"a": a, "b": b, "left": [left] + [0] * (len(a) - 1)}
+        yield {"a": rep[a], "b": rep[b]}
+
+
+def similar(common, n_a, n_b, threshold: float):
+    """Whether sets are as similar as asked, in whole numbers."""
+    return 10000 * common >= round(threshold * 10000) * (n_a + n_b - common)
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -169,8 +189,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     component_id is the smallest doc_id reachable by links, itself included; kept marks that one. Documents of
     equal sets are one class, and only a class's smallest doc_id goes on. Bands of registers bring classes
     together, estimates from registers drop pairs far below the threshold, and the rest is verified on full
-    sets. Buckets never emit all pairs: each class offers its likeliest partners, verified links join classes,
-    and buckets run again for pairs that no link has joined, with more partners each time, until none was put off.
+    sets: pairs of small buckets after a join with both sets, larger buckets in place. These are dealt into pairs
+    of blocks whose rows bring their sets; each emits edges that span what it has linked, never its pairs.
 
     Null and empty texts have empty sets and are linked with nothing. Rows repeated with one doc_id are one
     document; rows without doc_id are alone, with a null component_id. An empty table gives no rows. Other
@@ -202,37 +222,27 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     bands = map_arrow(reps.select("rep", "regs"), banded, "key long, band int, rep long", rows=2048)
     buckets = scratch.keep(repeated(bands, "key", scratch, "keys"), "buckets")
     members = scratch.keep(reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "regs"), "members")
-    links, labels, fetched, most, k = None, None, None, 2, 0
-    while True:
-        known = members.withColumn("label", F.col("rep")) if labels is None else members.join(labels, members.rep == labels.node, "left").select("rep", "n", "regs", F.coalesce("label", "rep").alias("label"))
-        met = paired_blocks(buckets.join(known, "rep"), "key", "rep", BLOCK)
-        pairs = each_group(met, ["key", "lo", "hi"], lambda g, most=most: candidates(g, threshold, most), "a long, b long, left long")
-        pairs = scratch.keep(pairs, f"pairs{k}")
-        fetched = _fetched(pairs, docs, width, fetched, scratch, k)
-        with scratch.small_batches():
-            verified = scratch.keep(_verified(pairs.select("a", "b"), fetched, threshold), f"links{k}")
-        links = verified if links is None else links.union(verified)
-        labels = components(links, scratch, f"cc{k}")
-        if not pairs.where("left > 0").isEmpty():
-            most, k = most * 16, k + 1
-            continue
-        break
+    few = buckets.where(F.col("n_key") <= SMALL).join(members, "rep")
+    pairs = scratch.keep(each_group(few, ["key"], lambda g: candidates(g, threshold), "a long, b long"), "pairs")
+    many = buckets.where(F.col("n_key") > SMALL)
+    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("rep")).distinct()
+    whole = _whole_sets(docs, need, width, scratch)
+    with scratch.small_batches():
+        links = scratch.keep(_verified(pairs, whole, threshold), "links")
+        met = paired_blocks(many.join(members, "rep"), "key", "rep", BLOCK).join(whole.withColumnRenamed("doc_id", "rep"), "rep")
+        inside = scratch.keep(each_group(met, ["key", "lo", "hi"], lambda g: verified_here(g, threshold), "a long, b long"), "inside")
+    labels = components(links.union(inside), scratch)
     classes = reps.select("sig1", "sig2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("sig1").alias("s1"), F.col("sig2").alias("s2"), F.coalesce("label", "rep").alias("component"))
     out = rows.select("doc_id", "n", "sig1", "sig2").join(classes, (F.col("sig1") == F.col("s1")) & (F.col("sig2") == F.col("s2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     out = scratch.keep(out, "components")
-    scratch.drop("sets", "reps", "buckets", "members", *[f"{x}{i}" for i in range(k + 1) for x in ("pairs", "links", "need", "needed")], *[f"cc{i}-found" for i in range(k + 1)])
+    scratch.drop("sets", "reps", "keys", "buckets", "members", "pairs", "whole", "links", "inside", "cc-found")
     return out
 
 
-def _fetched(pairs: DataFrame, docs: DataFrame, width: int, before: DataFrame | None, scratch: Scratch, k: int) -> DataFrame:
-    """Full sets of all documents in pairs so far. Texts move compressed, and only where a pair is new to them; sets are made anew rather than kept for all documents."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if before is not None:
-        need = scratch.keep(need.join(before.select(F.col("doc_id").alias("id")), "id", "left_anti"), f"need{k}")
-        if need.isEmpty():
-            return before
+def _whole_sets(docs: DataFrame, need: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """doc_id and full set of the documents in `need` (id). Texts move compressed, and sets are made anew rather than kept for all documents."""
 
     def packed(batch: pa.RecordBatch):
         raw = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
@@ -244,15 +254,13 @@ def _fetched(pairs: DataFrame, docs: DataFrame, width: int, before: DataFrame |
 
     texts = map_arrow(docs.where("doc_id is not null").select("doc_id", "text"), packed, "doc_id long, size long, packed binary")
     found = texts.join(need, texts.doc_id == need.id, "left_semi").dropDuplicates(["doc_id"])
-    found = scratch.keep(map_arrow(found, sets, "doc_id long, hashes binary", rows=64), f"needed{k}", compression="uncompressed")
-    return found if before is None else before.union(found)
+    return scratch.keep(map_arrow(found, sets, "doc_id long, hashes binary", rows=64), "whole", compression="uncompressed")
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose full sets are as similar as asked."""
     both = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
     both = both.join(whole.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
-    parts = round(threshold * 10000)
 
     def check(batch: pa.RecordBatch):
         a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
@@ -262,7 +270,7 @@ def _verified(pairs: DataFrame, whole: DataFrame, threshold: float) -> DataFrame
                 one, two = two, one
             place = np.searchsorted(two, one)
             common = int((two[np.minimum(place, len(two) - 1)] == one).sum())
-            if 10000 * common >= parts * (len(one) + len(two) - common):
+            if similar(common, len(one), len(two), threshold):
                 keep.append(i)
         yield {"a": [a[i] for i in keep], "b": [b[i] for i in keep]}
 
