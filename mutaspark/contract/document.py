@@ -18,6 +18,14 @@ TOPIC = re.compile(r"[a-zA-Z0-9._-]{1,249}")
 EVENT_TYPE = re.compile(r"[A-Za-z][A-Za-z0-9_.]*")
 
 
+class _Loader(yaml.SafeLoader):
+    """YAML with true and false as its only booleans, so that a field may be called on."""
+
+
+_Loader.yaml_implicit_resolvers = {k: [(tag, r) for tag, r in v if tag != "tag:yaml.org,2002:bool"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+_Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile("^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
+
+
 class ContractError(ValueError):
     """A document that can't be served without guessing."""
 
@@ -128,7 +136,7 @@ def load(service: str, text: str, naming: Naming = NAMING) -> Contract:
     if not SERVICE.fullmatch(service):
         raise ContractError(f"service name {service!r}")
     try:
-        doc = yaml.safe_load(text)
+        doc = yaml.load(text, _Loader)
     except yaml.YAMLError as wrong:
         raise ContractError(f"{service}: {wrong}") from None
     if not isinstance(doc, dict) or not str(doc.get("openapi", "")).startswith("3.") or not isinstance(doc.get("paths"), dict):
@@ -137,10 +145,9 @@ def load(service: str, text: str, naming: Naming = NAMING) -> Contract:
         raise ContractError(f"{service}: external reference {external[1]}")
     schemes, secrets = _security(doc)
     shapes, ids, operations = {}, set(), []
-    prefix = naming.event_extension.rpartition("event")[0]
     for template, item in doc["paths"].items():
         where = f"{service} {template}"
-        if ours := [k for k in item if k.startswith(prefix) and k in (naming.event_extension, naming.retry_extension)]:
+        if ours := [k for k in item if k.startswith(naming.extensions)]:
             raise ContractError(f"{where}: {ours[0]} belongs to operations")
         shape = _shape(template, where)
         if shape in shapes:
@@ -178,9 +185,8 @@ def _operation(service, method, template, o, doc, schemes, naming: Naming) -> Op
     if mutation and not name:
         raise ContractError(f"{where}: a mutation needs an operationId")
     ours = {naming.event_extension, naming.retry_extension}
-    family = naming.retry_extension.split("retry")[0]
     for key in o:
-        if key.startswith(family) and key not in ours:
+        if key.startswith(naming.extensions) and key not in ours:
             raise ContractError(f"{where}: unknown extension {key}")
     retry = o.get(naming.retry_extension, False)
     if not isinstance(retry, bool):

@@ -17,8 +17,15 @@ class Naming:
     result_topics: str = "http.results."
     problem_urn: str = "urn:mutations:"
     sign_domain: str = "mutations/"
-    event_extension: str = "x-event"
-    retry_extension: str = "x-retry-safe"
+    extensions: str = "x-mut-"
+
+    @property
+    def event_extension(self) -> str:
+        return f"{self.extensions}event"
+
+    @property
+    def retry_extension(self) -> str:
+        return f"{self.extensions}retry-safe"
 
     @property
     def type_header(self) -> str:
