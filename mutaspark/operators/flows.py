@@ -61,7 +61,8 @@ def verdicts(commands: DataFrame, scope: str = "dedup_key") -> DataFrame:
 
 def quantiles_nearest(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """p50, p95, p99 by nearest rank, maximum and mean."""
-    q = [F.expr(f"percentile_disc({p / 100}) within group (order by {value})").alias(f"p{p}") for p in (50, 95, 99)]
+    kind = rows.schema[value].dataType  # a rank picks a value, so it keeps its type
+    q = [F.expr(f"percentile_disc({p / 100}) within group (order by {value})").cast(kind).alias(f"p{p}") for p in (50, 95, 99)]
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *q, F.max(value).alias("max"), F.avg(value).alias("mean"))
 
 
