@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mutaspark.operators.machine import INPUT, OUTPUT, Entry, Settings, State, decide, decided, plain
 
@@ -15,80 +18,68 @@ EVENTS = "request_id string, partition int, offset long, completed_us long, kind
 FIELDS = [x.split()[0] for x in EVENTS.split(", ")]
 
 
-class FirstEvent(StatefulProcessor):
-    """Keeps where a request's event came from, for as long as the window; later events of it become failures."""
+def _in_order(frames: Iterator[pd.DataFrame]) -> list[dict]:
+    """A key's rows of one batch in log order; sources don't keep it."""
+    return [plain(r) for r in pd.concat(list(frames)).sort_values(["partition", "offset"]).to_dict("records")]
 
-    def __init__(self, window_s: int, now_us: int | None):
-        self.window_s, self.now_us = window_s, now_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "partition int, offset long", ttlDurationMs=self.window_s * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = self.now_us if self.now_us is not None else timerValues.getCurrentProcessingTimeInMs() * 1000
-        frame = pd.concat(list(rows)).sort_values(["partition", "offset"])
+def events_once(candidates: DataFrame, window_s: int, now_us: int | None = None) -> DataFrame:
+    """A stream of derived events (columns EVENTS) with duplicates and events beyond the window turned into failures; none is dropped.
+
+    Age is judged before, without state; so no row that gets to the state is behind the watermark, which only bounds
+    how long it is kept where a request's event came from: until the newest completion is two windows later.
+    now_us: fixed, for tests; else the time of the batch.
+    """
+    now = F.lit(now_us) if now_us is not None else F.unix_micros(F.current_timestamp())
+    old = now - F.col("completed_us") > window_s * 1_000_000
+    aged = candidates.where(old).withColumns({"kind": F.lit("failure"), "reason": F.lit("beyond_dedup_window")}).select(*FIELDS)
+
+    def once(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         out = []
-        for r in map(plain, frame.to_dict("records")):
-            if now - r["completed_us"] > self.window_s * 1_000_000:
-                r |= {"kind": "failure", "reason": "beyond_dedup_window"}
-            elif self.seen.exists():
-                first = self.seen.get()
-                r |= {"kind": "failure", "reason": "duplicate_result", "details": f"derived from/{first[0]}/{first[1]}"}
+        for r in _in_order(frames):
+            if state.exists:
+                r |= {"kind": "failure", "reason": "duplicate_result", "details": "derived from/{}/{}".format(*state.get)}
             else:
-                self.seen.update((int(r["partition"]), int(r["offset"])))
+                state.update((int(r["partition"]), int(r["offset"])))
+                state.setTimeoutTimestamp(max(r["completed_us"] // 1000 + window_s * 1000, state.getCurrentWatermarkMs() + 1))
             out.append({f: r.get(f) for f in FIELDS})
         yield pd.DataFrame(out, columns=FIELDS)
 
-    def close(self) -> None:
-        pass
+    # Clocks may differ by less than an hour.
+    timed = candidates.where(~old).withColumn("completed_at", F.timestamp_micros("completed_us")).withWatermark("completed_at", f"{window_s + 3600} seconds")
+    return timed.groupBy("request_id").applyInPandasWithState(once, EVENTS, "partition int, offset long", "append", GroupStateTimeout.EventTimeTimeout).union(aged)
 
 
-def events_once(candidates: DataFrame, window_s: int, now_us: int | None = None) -> DataFrame:
-    """A stream of derived events (columns EVENTS) with duplicates and events beyond the window turned into failures; none is dropped. now_us: fixed, for tests; else the time of processing."""
-    return candidates.groupBy("request_id").transformWithStateInPandas(FirstEvent(window_s, now_us), outputStructType=EVENTS, outputMode="append", timeMode="ProcessingTime")
+def packed(state: State) -> str:
+    return json.dumps({"entry": asdict(state.entry) if state.entry else None, "answered": sorted(state.answered)})
 
 
-class Machine(StatefulProcessor):
-    """Drives `decide` with one scope's state."""
+def unpacked(text: str) -> State:
+    raw = json.loads(text)
+    return State(Entry(**raw["entry"]) if raw["entry"] else None, frozenset(raw["answered"]))
 
-    ENTRY = "request_id string, fingerprint string, phase string, outcome string, status int, fault string, answered boolean, purge_after long"
 
-    def __init__(self, settings: Settings):
-        self.settings = settings
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("entry", self.ENTRY)
-        self.others = handle.getMapState("others", "request_id string", "yes boolean")
+def decisions(commands: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """A stream of commands with what the bridge decides of each: `decide`, driven with one scope's state."""
+    names = [x.split()[0] for x in OUTPUT.split(", ")]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = State(Entry(*self.entry.get()) if self.entry.exists() else None, frozenset(k[0] for k in self.others.keys()))
-        frame, out = pd.concat(list(rows)).sort_values(["partition", "offset"]), []
-        before = state
-        for c in map(plain, frame.to_dict("records")):
-            state, d = decide(state, c, self.settings)
+    def step(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state, out = unpacked(held.get[0]) if held.exists else State(), []
+        for c in _in_order(frames):
+            state, d = decide(state, c, settings)
             if d:
                 out.append(decided(c, d))
-        if state.entry != before.entry:
-            if state.entry is None:
-                self.entry.clear()
-            else:
-                e = state.entry
-                self.entry.update((e.request_id, e.fingerprint, e.phase, e.outcome, int(e.status), e.fault, e.answered, int(e.purge_after)))
-        for rid in state.answered - before.answered:
-            self.others.updateValue((rid,), (True,))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in OUTPUT.split(", ")])
-
-    def close(self) -> None:
-        pass
+        held.update((packed(state),))
+        yield pd.DataFrame(out, columns=names)
 
-
-def decisions(commands: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """A stream of commands with what the bridge decides of each."""
-    return commands.select(*INPUT).groupBy("dedup_key").transformWithStateInPandas(Machine(settings), outputStructType=OUTPUT, outputMode="append", timeMode="None")
+    return commands.select(*INPUT).groupBy("dedup_key").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(stream: DataFrame, checkpoint: str, write, mode: str = "append"):
-    """Runs a stream over what there is now, in RocksDB, and waits. write: a foreachBatch function."""
+    """Runs a stream over what there is now, with its state in RocksDB, and waits. write: a foreachBatch function."""
     spark = stream.sparkSession
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
