@@ -46,7 +46,7 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def keep(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Writes df and returns it as read again."""
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
