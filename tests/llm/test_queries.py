@@ -1,0 +1,45 @@
+"""Registered queries against their SQL, and the pipeline's stages against the operators' definitions."""
+
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from mutaspark.llm import registry
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    for t in os.listdir(SMALL):
+        con.execute(f"create view {t[:-8]} as select * from '{SMALL}/{t}'")
+    df = registry.QUERIES[name](spark, SMALL)
+    cols = sorted(df.columns)
+    rel = con.sql(registry.ORACLES[name])
+    order = [rel.columns.index(c) for c in cols]
+    assert sorted(str(tuple(r)) for r in df.select(*cols).collect()) == sorted(str(tuple(r[i] for i in order)) for r in rel.fetchall())
+
+
+def test_one_query_an_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark):
+    docs, first = spark.read.parquet(f"{SMALL}/documents.parquet"), None
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        docs = spark.createDataFrame(rows, docs.schema)
+        if k == 1:
+            texts = [r.text.lower() for r in rows]
+            assert len(texts) == len(set(texts))
+        first = first or len(rows)
+    assert 0 < docs.select("doc_id").distinct().count() <= first
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).toPandas()
+    lengths = pieces.groupby("sequence_id").length.sum()
+    assert pieces.length.sum() == lengths.sum() and (lengths <= 2048).all()
+    assert corpus_pipeline.run(spark, SMALL).count() == len(pieces)
