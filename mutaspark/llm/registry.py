@@ -25,9 +25,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {
-    "op1_html_text": op1_html_text,
-    "op2_near_dedup": op2_near_dedup,
-    "op3_pareto_mix": OP3_SQL,
-    "op5_exact_dedup": OP5_SQL,
-}
+ORACLES = {"op3_pareto_mix": OP3_SQL, "op5_exact_dedup": OP5_SQL}
