@@ -615,7 +615,7 @@ def conversation_order(spark, sf_dir):
 ORACLES["conversation_order"] = "select conv_id, count(*) as turns, string_agg(role, '>' order by turn, role) as roles from conversations group by conv_id"
 
 
-# Spark's own, beyond the reference.
+# Spark's own: windows, cubes, sessions.
 
 
 @query("select date_trunc('hour', issued_at) as hour, service, count(*) as n from m group by all")
