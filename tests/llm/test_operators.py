@@ -417,3 +417,10 @@ def test_secrets(spark):
         joined = ",".join(f"{k}:{s}:{e}" for s, e, k in secrets.base_spans(t or ""))
         assert hashlib.sha256(joined.encode()).hexdigest() == secrets.brute_base(t)
     assert secrets.find_secrets(documents(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["pass_phrase", "PASS_PHRASE", "pass_wd", "api_conn", "client_conn", "api_client"])
+def test_secrets_of_names_whose_parts_are_weak(name):
+    """Names that are sensitive only as a whole, with no other such word in the text."""
+    text = f'x = 1\n{name} = "Xk29fLq83ZpTa7Vb"\n'
+    assert [(k, text[s:e]) for s, e, k in secrets.scan(text)] == [("lexed", "Xk29fLq83ZpTa7Vb")]
