@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,12 @@ from .shared import Scratch, arrow_schema, table
 SEQUENCE, WINDOW = 2048, 128
 #: The id that ends a document.
 END = 1
-#: Queues at most: the bound of what each task knows of all queues. Further sources share queues by a hash of their name.
+#: Queues that each task knows at most. With more sources the places of their runs are a table that is joined; the pieces are the same.
 QUEUES = 4096
 #: Texts are tokenized in parts of so many characters, cut only where the tokenizer cuts in any case.
 PART = 1 << 20
 SPECIAL = "<|endoftext|>"
+PIECES = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, window long, ids binary"
 
 
 class Tokens:
@@ -100,7 +102,21 @@ class Schedule:
 
     def sent(self, queue: int, rounds: int) -> int:
         """Tokens that a queue has sent after so many rounds."""
-        return self.totals[queue] * min(rounds * self.window, self.total) // self.total
+        return self.share(self.totals[queue], rounds)
+
+    def share(self, tokens: int, rounds: int) -> int:
+        """What a queue of so many tokens has sent after so many rounds."""
+        return tokens * min(rounds * self.window, self.total) // self.total
+
+    def runs(self, tokens: int, first: int, count: int) -> Iterator[tuple[int, int, int]]:
+        """(window, place, length): the places from `first` to `first + count` of a queue of so many tokens, by the windows that send them."""
+        at = first
+        while at < first + count:
+            reach = -(-(at + 1) * self.total // tokens)  # sent of all when the token at `at` goes out
+            k = -(-reach // self.window) - 1
+            end = min(self.share(tokens, k + 1), first + count)
+            yield k, at, end - at
+            at = end
 
     def starts(self, k: int) -> tuple[list[int], int]:
         """Window k: where each queue's run starts, in the order of all tokens, and the window's end."""
@@ -156,7 +172,8 @@ def pack(docs: DataFrame, tokens: Tokens, scratch: Scratch, sequence: int = SEQU
 
     Tokens are written once, where they were made. A source's tokens in each part (one number for a source and
     task) give every document its place in its queue; from there each task cuts its own documents. Nothing is
-    ordered or moved by source, so one that holds most rows is no heavier than others.
+    ordered or moved by source, so one that holds most rows is no heavier than others. Beyond QUEUES sources the
+    tokens move once, by source and window, to where the run's place in the whole is known.
 
     Null texts are empty: their document is the end id alone. Null sources are one source. Repeated rows are
     packed as often as they occur; an empty table gives no pieces. Other columns are ignored.
@@ -167,21 +184,15 @@ def pack(docs: DataFrame, tokens: Tokens, scratch: Scratch, sequence: int = SEQU
     parts = parts.selectExpr("source", "part", "coalesce(sum(n) over (partition by source order by part rows between unbounded preceding and 1 preceding), 0) as before", "n")
     parts = scratch.keep(parts, "parts")
     names = parts.groupBy("source").agg(F.sum("n").alias("n"))
-    many = names.count() > QUEUES
-    queue = F.format_string("%05d", F.expr(f"pmod(xxhash64(source), {QUEUES})")) if many else F.col("source")
-    if many:  # sources of one queue follow each other
-        first = names.select("source", queue.alias("queue"), "n").selectExpr("source as name", "queue", "coalesce(sum(n) over (partition by queue order by source nulls last rows between unbounded preceding and 1 preceding), 0) as first")
-        parts = parts.join(first, F.expr("source <=> name")).selectExpr("source", "queue", "part", "first + before as before", "n")
-    else:
-        parts = parts.withColumn("queue", queue)
-    queues = parts.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.col("queue").asc_nulls_last()).collect()  # QUEUES rows at most
-    schedule, number = Schedule([r.n for r in queues], window * sequence, sequence), {r.queue: k for k, r in enumerate(queues)}
-    numbers = spark.createDataFrame([(k, r.queue) for k, r in enumerate(queues)], "number int, name string")
-    parts = scratch.keep(parts.join(numbers, F.expr("queue <=> name")).select(F.col("source").alias("of"), F.col("part").alias("at_part"), "number", "before"), "places")
+    sources = names.count()
+    if sources > QUEUES:
+        return _pack_by_joins(rows, parts, names, sources, scratch, sequence, window * sequence)
+    queues = names.orderBy(F.col("source").asc_nulls_last()).collect()  # QUEUES rows at most
+    schedule = Schedule([r.n for r in queues], window * sequence, sequence)
+    numbers = spark.createDataFrame([(k, r.source) for k, r in enumerate(queues)], "number int, name string")
+    parts = scratch.keep(parts.join(numbers, F.expr("source <=> name")).select(F.col("source").alias("of"), F.col("part").alias("at_part"), "number", "before"), "places")
     placed = rows.join(parts, F.expr("part = at_part and source <=> of")).select("doc_id", "source", "number", (F.col("before") + F.col("start_in_part")).alias("first"), "doc_tokens", "ids")
-    schema = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, window long, ids binary"
-    kinds = arrow_schema(schema)
-    del number
+    kinds = arrow_schema(PIECES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -193,7 +204,65 @@ def pack(docs: DataFrame, tokens: Tokens, scratch: Scratch, sequence: int = SEQU
                         out.append((r["doc_id"], r["source"], start, n, r["doc_tokens"], seq, offset, k, ids[start : start + n].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
-    return placed.mapInArrow(cut, schema)
+    return placed.mapInArrow(cut, PIECES)
+
+
+def _pack_by_joins(rows: DataFrame, parts: DataFrame, names: DataFrame, sources: int, scratch: Scratch, sequence: int, window: int) -> DataFrame:
+    """The pieces of `pack` for any number of sources, each a queue of its own.
+
+    A run is what a source sends in a window; only runs that hold a token are rows, so they are no more than the
+    pieces. Where a run starts is a sum over windows, over blocks of neighbouring sources in its window, and over
+    the sources before it in its block: no task holds all sources.
+    """
+    schedule = Schedule([names.agg(F.sum("n")).first()[0]], window, sequence)
+    blocks = names.repartitionByRange(-(-sources // QUEUES), F.col("source").asc_nulls_last()).select("source", "n", F.spark_partition_id().alias("block"))
+    blocks = scratch.keep(blocks, "blocks")
+    run_schema = "name string, block int, run_window long, n long"
+    run_kinds = arrow_schema(run_schema)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = ((r["source"], r["block"], k, n) for batch in batches for r in batch.to_pylist() for k, _, n in schedule.runs(r["n"], 0, r["n"]))
+        while some := list(islice(made, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*some, strict=True), run_kinds, strict=True)], schema=run_kinds)
+
+    runs = scratch.keep(blocks.mapInArrow(spread, run_schema), "runs")
+    cells = runs.groupBy("run_window", "block").agg(F.sum("n").alias("n"))
+    before = "rows between unbounded preceding and 1 preceding"
+    sizes = cells.groupBy("run_window").agg(F.sum("n").alias("n")).selectExpr("run_window", f"coalesce(sum(n) over (order by run_window {before}), 0) as ahead")  # one row a window
+    cells = cells.selectExpr("run_window", "block", f"coalesce(sum(n) over (partition by run_window order by block {before}), 0) as within").join(sizes, "run_window").selectExpr("run_window", "block", "ahead + within as ahead")
+    begins = runs.selectExpr("name", "block", "run_window", f"coalesce(sum(n) over (partition by run_window, block order by name nulls last {before}), 0) as within")
+    begins = begins.join(cells, ["run_window", "block"]).selectExpr("name", "run_window", "ahead + within as begin")
+
+    totals = parts.join(names.selectExpr("source as name", "n as queue_tokens"), F.expr("source <=> name")).selectExpr("source as of", "part as at_part", "before", "queue_tokens")
+    placed = rows.join(totals, F.expr("part = at_part and source <=> of")).selectExpr("doc_id", "source", "before + start_in_part as first", "queue_tokens", "doc_tokens", "ids")
+    slice_schema = "doc_id long, source string, start long, length long, doc_tokens long, window long, into long, ids binary"
+    slice_kinds, kinds = arrow_schema(slice_schema), arrow_schema(PIECES)
+
+    def slices(r: dict) -> Iterator[tuple]:
+        for k, at, n in schedule.runs(r["queue_tokens"], r["first"], r["doc_tokens"]):
+            start = at - r["first"]
+            yield r["doc_id"], r["source"], start, n, r["doc_tokens"], k, at - schedule.share(r["queue_tokens"], k), r["ids"][2 * start : 2 * (start + n)]
+
+    def pieces(r: dict) -> Iterator[tuple]:
+        ids, done, at = np.frombuffer(r["ids"], "<u2").astype("<u4"), 0, r["begin"] + r["into"]
+        while done < r["length"]:
+            number, offset, room = schedule.place(at + done)
+            n = min(r["length"] - done, room)
+            yield r["doc_id"], r["source"], r["start"] + done, n, r["doc_tokens"], number, offset, r["window"], ids[done : done + n].tobytes()
+            done += n
+
+    def each(made, kinds):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for first in range(0, whole.num_rows, 128):
+                    out = [x for r in whole.slice(first, 128).to_pylist() for x in made(r)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+
+        return run
+
+    cut = placed.mapInArrow(each(slices, slice_kinds), slice_schema)
+    joined = cut.join(begins, F.expr("window = run_window and source <=> name")).select(*slice_kinds.names, "begin")
+    return joined.mapInArrow(each(pieces, kinds), PIECES)
 
 
 def op8_mixture_packing(spark, sf_dir: str) -> DataFrame:

@@ -327,6 +327,25 @@ def test_more_sources_than_queues(spark, monkeypatch):
     assert (flat.offset == flat.groupby("sequence_id").length.cumsum() - flat.length).all() and got.length.sum() == 60 * 4
 
 
+def test_every_source_keeps_its_share_beyond_queues(spark, monkeypatch):
+    """One queue a source however many there are: the pieces are those of the schedule that each task knows."""
+    r = random.Random(5)
+    rows = [(i, "word " * r.choice([1, 3, 40]), [None, *(f"s{k}" for k in range(12)), "big"][min(13, r.randrange(24))]) for i in range(300)]
+    docs = documents(spark, rows).coalesce(3).persist()
+    run = lambda name: packing.pack(docs, packing.Tokens("byte_bpe_50k.tiktoken"), Scratch(spark, name), sequence=32, window=4)
+    known = collected(run("known"))
+    monkeypatch.setattr(packing, "QUEUES", 3)
+    got = run("joined")
+    assert collected(got) == known
+    got = got.toPandas()
+    total = got.length.sum()
+    share = got.groupby("source", dropna=False).length.sum() / total
+    for w, part in got.groupby("window"):
+        if w < total // 128:
+            have = part.groupby("source", dropna=False).length.sum()
+            assert all(abs(have.get(s, 0) - 128 * share[s]) <= 1 for s in share.index)
+
+
 def test_long_texts_are_tokenized_in_parts(monkeypatch):
     tokens = packing.Tokens("byte_bpe_50k.tiktoken")
     text = "It's  a test, isn't it?\n\n  yes 12 words<|endoftext|> été " * 40
