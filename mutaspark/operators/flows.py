@@ -132,12 +132,25 @@ def violations(claims: DataFrame, debits: DataFrame, results: DataFrame) -> Data
 
 
 def traces(records: DataFrame, most: int = 1000) -> DataFrame:
-    """All records of one request, over topics, in time. Rows: request_id, kind, at, topic, partition, offset. A request's records are few; of one that repeats beyond `most` only the count grows (`n`), its first records are kept."""
+    """All records of one request, over topics, in time. Rows: request_id, kind, at, topic, partition, offset.
+
+    A request has a row for each `most` of its records: chunk, from 0, and records, an array; n, started and ended
+    are the whole request's. Chunks of a long request are numbered by cells of its time, so no task needs all of it.
+    """
     place = F.struct("at", "kind", "topic", "partition", "offset")
     counted = records.groupBy("request_id").agg(F.count("*").alias("n"), F.min("at").alias("started"), F.max("at").alias("ended"))
-    few = records.join(counted.where(F.col("n") <= most).select("request_id"), "request_id", "left_semi")
-    lists = few.groupBy("request_id").agg(F.array_sort(F.collect_list(place)).alias("records"))
-    return counted.join(lists, "request_id", "left")
+    rows = records.select(F.col("request_id").alias("of"), place.alias("record")).join(counted, F.expr("of <=> request_id")).drop("of")
+    each = ["request_id", "n", "started", "ended"]
+    lists = lambda x: x.groupBy(*each, "chunk").agg(F.array_sort(F.collect_list("record")).alias("records"))
+    few = rows.where(F.col("n") <= most).withColumn("chunk", F.lit(0).cast("long"))
+    since = lambda at: F.unix_micros(at) - F.unix_micros("started")
+    cell = F.floor(since(F.col("record.at")) / F.greatest(since(F.col("ended")), F.lit(1)) * F.floor(F.col("n") / most))
+    many = rows.where(F.col("n") > most).withColumn("cell", F.coalesce(cell, F.lit(0)))
+    cells = many.groupBy(F.col("request_id").alias("of"), F.col("cell").alias("in")).agg(F.count("*").alias("size"))
+    cells = cells.withColumn("before", F.expr("coalesce(sum(size) over (partition by of order by `in` rows between unbounded preceding and 1 preceding), 0)"))
+    many = many.withColumn("at_cell", F.expr("row_number() over (partition by request_id, cell order by record)")).join(cells, F.expr("request_id <=> of and cell = `in`"))
+    many = many.withColumn("chunk", F.floor((F.col("before") + F.col("at_cell") - 1) / most))
+    return lists(few).unionByName(lists(many))
 
 
 def feed(records: DataFrame, by: list[str], after: int | None = None, most: int = 500) -> DataFrame:

@@ -237,10 +237,21 @@ def reply_delivery(spark, sf_dir):
 @query("""select request_id, count(*) as n, min(seen) as started, max(seen) as ended from (select request_id, issued_at as seen from m union all select request_id, completed_at from m union all
   select request_id, completed_at + interval 1 second from m where operation_id = 'createOrder' and outcome = 'Succeeded') group by request_id""")
 def traces(spark, sf_dir):
+    return W.traces(_trace_rows(spark, sf_dir)).where("chunk = 0").select("request_id", "n", "started", "ended")
+
+
+@query("""select request_id, row_number() over (partition by request_id order by "at", kind) as rank, kind, "at", "partition", "offset" from (select request_id, 'command' as kind, issued_at as "at", "partition", "offset" from m
+  union all select request_id, 'result', completed_at, "partition", "offset" from m union all select request_id, 'event', completed_at + interval 1 second, "partition", "offset" from m where operation_id = 'createOrder' and outcome = 'Succeeded')""")
+def trace_records(spark, sf_dir):
+    most = 2  # a request here has three records at most: so some are in chunks
+    rows = W.traces(_trace_rows(spark, sf_dir), most).select("request_id", "chunk", F.posexplode("records").alias("place", "r"))
+    return rows.select("request_id", (F.col("chunk") * most + F.col("place") + 1).alias("rank"), "r.kind", "r.at", "r.partition", "r.offset")
+
+
+def _trace_rows(spark, sf_dir):
     x = mutations(spark, sf_dir)
     part = lambda rows, kind, at: rows.select("request_id", F.lit(kind).alias("kind"), at.alias("at"), F.lit("t").alias("topic"), "partition", "offset")
-    records = part(x, "command", F.col("issued_at")).union(part(x, "result", F.col("completed_at"))).union(part(x.where("operation_id = 'createOrder' and outcome = 'Succeeded'"), "event", F.col("completed_at") + F.expr("interval 1 second")))
-    return W.traces(records).select("request_id", "n", "started", "ended")
+    return part(x, "command", F.col("issued_at")).union(part(x, "result", F.col("completed_at"))).union(part(x.where("operation_id = 'createOrder' and outcome = 'Succeeded'"), "event", F.col("completed_at") + F.expr("interval 1 second")))
 
 
 @query("""select request_id, replay_of, (event_id % 7 <> 0) as found, case when event_id % 7 <> 0 then 201 end as original_status from (select request_id, event_id, request_id || '-o' as replay_of from m where event_id % 5 = 0)""")

@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from mutaspark.functions import codec as K
+from mutaspark.operators import flows as W
 from mutaspark.operators import records as R
 from mutaspark.sinks import json_lines, latency_report, topic_table
 from mutaspark.schema import LOG, NAMING
@@ -88,3 +89,18 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "streamed")).count() == 4
     assert topic_table(spark, {"orders": 4}, NAMING).count() == 4
     assert "direct" in latency_report(spark.createDataFrame([("direct", 1.0, 1.0, 1.0, 1.0, 1.0)], "target string, p50 double, p95 double, p99 double, max double, mean double"))
+
+
+def test_traces_keep_every_record_of_a_long_request(spark):
+    hot = spark.range(2500).selectExpr("'hot' as request_id", "'event' as kind", "timestamp_micros(id * id div 9) as at", "'t' as topic", "cast(id % 4 as int) as partition", "id as offset")
+    same = spark.range(1200).selectExpr("'same'", "'event'", "timestamp'2024-01-01 00:00:00'", "'t'", "0", "id")
+    few = spark.range(6).selectExpr("if(id < 3, 'few', null)", "'event'", "if(id = 1, null, timestamp_micros(id))", "'t'", "0", "id")
+    records = hot.union(same).union(few)
+    want = {}
+    for r in records.collect():
+        want.setdefault(r.request_id, []).append(tuple(r[1:]))
+    got = {}
+    for r in W.traces(records).orderBy("request_id", "chunk").collect():
+        assert r.n == len(want[r.request_id]) and r.chunk == len(got.get(r.request_id, [])) // 1000 and len(r.records) <= 1000
+        got.setdefault(r.request_id, []).extend((x.kind, x["at"], x.topic, x.partition, x.offset) for x in r.records)
+    assert got == {k: sorted(v, key=lambda x: (x[1] is not None, x[1].timestamp() if x[1] else 0, *x[3:])) for k, v in want.items()}
