@@ -18,6 +18,9 @@ from .shared import map_arrow, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content isn't markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Elements that may stand in a head; any other, or text, ends one that is still open.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+SPACE = " \t\n\f\r"
 #: Elements that never hold text to read.
 UNREAD = frozenset("head script style noscript template svg math iframe object canvas audio video select datalist textarea button noembed noframes xmp title".split())
 INLINE = frozenset(
@@ -73,7 +76,13 @@ def parse(page: str) -> list[Node]:
             hidden -= tag in UNREAD
             state["links"] -= tag == "a"
 
+    def end_head():
+        if stack[-1][0] == "head":
+            pop_to(len(stack) - 1)
+
     def say(text: str):
+        if hidden and text.strip(SPACE):
+            end_head()
         if text and not hidden:
             held.append(text)
             if state["links"]:
@@ -91,6 +100,8 @@ def parse(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m["close"]:
+            if tag in ("body", "html", "br"):
+                end_head()
             if tag == "br":
                 say(" ")
                 continue
@@ -103,6 +114,8 @@ def parse(page: str) -> list[Node]:
                 if tag in INLINE and stack[k][0] not in INLINE:  # not open in this block
                     break
             continue
+        if hidden and tag not in HEAD:
+            end_head()
         block = tag not in INLINE
         if block:
             flush()

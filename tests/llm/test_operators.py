@@ -399,6 +399,16 @@ def test_html(spark):
     html_text.parse("<" * 20_000 + "<div " * 3000 + 'a="' * 3000)  # ends
 
 
+@pytest.mark.parametrize("head", ["<head><title>T</title>", "<head><meta charset=utf-8><noscript><img src=x></noscript><script>x</script>\n", "<head></body>"])
+def test_html_without_end_of_head_and_body(head):
+    """Both tags may be left out: the first element or text that may not stand in a head ends it."""
+    rest = "<article><h1>A &amp; B</h1><p>First para is here.<p>Second line, also here.</article>"
+    whole = html_text.main_blocks("<html><head><title>T</title></head><body>" + rest, html_text.trained())
+    assert whole == ["A & B", "First para is here.", "Second line, also here."]
+    assert html_text.main_blocks("<html>" + head + rest, html_text.trained()) == whole
+    assert [x.text for x in html_text.parse(head + "Plain <b>text</b>") if x.text] == ["Plain text"]
+
+
 def test_html_on_held_out_pages():
     model, wrong, total = html_text.trained(), 0, 0
     for page, labels in labelled_pages(60, seed=77):
