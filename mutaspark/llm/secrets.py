@@ -78,29 +78,33 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.25 + 0.07 * min(len(value), 12) / 2 + 0.1 * (kinds - 1) + 0.1 * (entropy(value) >= 3))
 
 
-def lex(text: str) -> list[tuple[str, int, int, str]]:
-    """(name, start, end, value) of each assignment, in order: the literal's place and the value after constants are propagated.
+def lex(text: str) -> list[tuple[str, int, int, str, bool, list[tuple[int, int]]]]:
+    """(name, start, end, value, own, behind) of each assignment, in order: the right side's place and the value after constants are propagated.
 
-    A right side may join literals and earlier names; a name has the value last given to it above. A value that
-    comes from names alone is found where those were given theirs, not here, so its span is the joined expression.
+    A right side may join literals and earlier names; a name has the value last given to it above. own: the right
+    side has a literal itself. behind: the places of the literals that names on it stand for, each once.
     """
-    known: dict[str, str] = {}
+    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     out = []
     at = 0
     while m := LEFT.search(text, at):
         at, value, start, whole = m.end(), "", m.end(), True
-        end = at
+        end, own, behind = at, [], {}
         while atom := ATOM.match(text, end):
             if atom["lit"] is not None:
                 value += atom["lit"][1:-1]
+                own.append((atom.start("lit") + 1, atom.end("lit") - 1))
             elif atom["ref"] is not None and (ref := atom["ref"].strip("${}")) in known:
-                value += known[ref]
+                value += known[ref][0]
+                behind |= dict.fromkeys(known[ref][1])
             elif start == end and atom["ref"] is not None and not JOIN.match(text, atom.end()):  # a bare word of a configuration file
                 bare = re.compile(r"[^\s\"'`,;(){}\[\]<>]+", re.ASCII).match(text, end)
                 value, end = (bare[0], bare.end()) if bare else (atom[0], atom.end())
+                own.append((atom.start(), end))
                 break
             elif atom["bare"] is not None and start == end:
                 value, end = atom["bare"], atom.end()
+                own.append((atom.start(), end))
                 break
             else:
                 whole = False
@@ -110,18 +114,29 @@ def lex(text: str) -> list[tuple[str, int, int, str]]:
                 break
             end = more.end()
         if end > start and whole and value:
-            known[m["name"]] = value
+            known[m["name"]] = value, [*dict.fromkeys([*behind, *own])]
             first = text[start] in "\"'`"
-            out.append((m["name"], start + first, end - (text[end - 1] in "\"'`"), value))
+            out.append((m["name"], start + first, end - (text[end - 1] in "\"'`"), value, bool(own), [*behind]))
             at = max(at, end)
     return out
 
 
-def lexed_spans(text: str) -> list[tuple[int, int, str]]:
-    """Literals that their targets' names and their own look make likely secrets."""
+def likely(text: str) -> list[tuple[int, int, bool, list[tuple[int, int]]]]:
+    """(start, end, own, behind) of the right sides that their targets' names and their value's look make likely secrets."""
     if "=" not in text and ":" not in text:  # every operator has one of them
         return []
-    return [(start, end, "lexed") for name, start, end, value in lex(text) if (s := name_score(name)) >= 0.4 and s * 0.6 + literal_score(value) * 0.6 >= REPORT]
+    return [(start, end, own, behind) for name, start, end, value, own, behind in lex(text) if (s := name_score(name)) >= 0.4 and s * 0.6 + literal_score(value) * 0.6 >= REPORT]
+
+
+def lexed_spans(text: str) -> list[tuple[int, int, str]]:
+    """Likely secrets: right sides with a literal of their own; of names alone, the literals that they stand for."""
+    found = (place for start, end, own, behind in likely(text) for place in ([(start, end)] if own else behind))
+    return [(*place, "lexed") for place in dict.fromkeys(found)]
+
+
+def joined_literals(text: str | None) -> list[tuple[int, int]]:
+    """Literals that reach a likely secret by a name that is joined with others there; the secret's span is the joined expression."""
+    return sorted({place for _, _, own, behind in likely(text or "") if own for place in behind})
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:
@@ -139,7 +154,10 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """Secrets of every whole text: doc_id and spans, an array of (start, end, kind) by start, then kind.
+    """Secrets of every whole text: doc_id; spans, an array of (start, end, kind) by start, then kind; and joined, an array of (start, end).
+
+    A secret joined of names and literals has the span of the joined expression; the literals given to those names
+    elsewhere are in `joined`. One given to a name alone (K = "...", password = K) is in spans, where its literal is.
 
     Offsets are code points, ends exclusive. Kinds: assign, access and hex of the base scan, and lexed. One pass
     without a shuffle. Null and empty texts have none; repeated rows each have a row; other columns are ignored.
@@ -147,18 +165,19 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     def found(batch: pa.RecordBatch):
         spans = [[dict(zip(("start", "end", "kind"), s, strict=True)) for s in scan(t)] for t in batch.column("text").to_pylist()]
-        yield {"doc_id": batch.column("doc_id"), "spans": spans}
+        joined = [[{"start": s, "end": e} for s, e in joined_literals(t)] for t in batch.column("text").to_pylist()]
+        yield {"doc_id": batch.column("doc_id"), "spans": spans, "joined": joined}
 
-    return map_arrow(docs.select("doc_id", "text"), found, "doc_id long, spans array<struct<start: long, end: long, kind: string>>")
+    return map_arrow(docs.select("doc_id", "text"), found, "doc_id long, spans array<struct<start: long, end: long, kind: string>>, joined array<struct<start: long, end: long>>")
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
-    """Every document's secrets: counts of the base kinds, their digest, and all spans as text."""
+    """Every document's secrets: counts of the base kinds, their digest, all spans as text, and the literals behind joined ones."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     joined = lambda spans: f"array_join(transform({spans}, s -> concat_ws(':', s.kind, cast(s.start as string), cast(s.end as string))), ',')"
     base = "filter(spans, s -> s.kind <> 'lexed')"
     count = lambda kind: f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long) as n_{kind}"
-    return found.selectExpr("doc_id", count("assign"), count("access"), count("hex"), f"sha2({joined(base)}, 256) as base_sha256", f"{joined('spans')} as spans")
+    return found.selectExpr("doc_id", count("assign"), count("access"), count("hex"), f"sha2({joined(base)}, 256) as base_sha256", f"{joined('spans')} as spans", "array_join(transform(joined, s -> concat_ws(':', cast(s.start as string), cast(s.end as string))), ',') as joined")
 
 
 def brute_base(text: str | None) -> str:

@@ -453,3 +453,14 @@ def test_secrets_of_names_whose_parts_are_weak(name):
     """Names that are sensitive only as a whole, with no other such word in the text."""
     text = f'x = 1\n{name} = "Xk29fLq83ZpTa7Vb"\n'
     assert [(k, text[s:e]) for s, e, k in secrets.scan(text)] == [("lexed", "Xk29fLq83ZpTa7Vb")]
+
+
+@pytest.mark.parametrize("target", ["password = K", "db.credentials = K2", "password = DEFAULT_PW"])
+def test_secrets_given_to_a_constant(spark, target):
+    """The literal is reported where it stands, not the name that stands for it."""
+    text = f'K = "Zx81kfLq83ZpTa7Vb"\nK2 = K\nDEFAULT_PW = K\n{target}\n'
+    lexed = [text[s:e] for s, e, k in secrets.scan(text) if k == "lexed"]
+    assert lexed == ["Zx81kfLq83ZpTa7Vb"]
+    text = 'prefix = "sk_live_9aB"\nclientSecret = prefix + "Q7zLm2Xw"\n'
+    (row,) = secrets.find_secrets(documents(spark, [(1, text, "s")])).collect()
+    assert [text[x.start : x.end] for x in row.joined] == ["sk_live_9aB"] and [text[x.start : x.end] for x in row.spans] == ['prefix + "Q7zLm2Xw']
