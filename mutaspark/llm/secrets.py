@@ -34,8 +34,8 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|changeme|change_me|example|p
 #: A literal is reported from this score on.
 REPORT = 0.8
 
-#: name = "literal", name: literal, "name": "literal", name := ..., NAME => ..., <name>literal</name> is left out. One statement's left side and operator.
-LEFT = re.compile(r"""(?<![A-Za-z0-9_$.-])(?P<q>["'`]?)(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]{0,127})(?P=q)(?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_\[\]|]*(?=\x20*=))?\x20*(?P<op>:=|=>|=(?![=>])|:(?![:/]))[\x20\t]*""", re.ASCII)
+#: name = "literal", name: literal, "name": "literal", name := ..., NAME => ..., <name>literal</name> is left out. Names have any length: what may follow one is none of its characters, so nothing is tried again. One statement's left side and operator.
+LEFT = re.compile(r"""(?<![A-Za-z0-9_$.-])(?P<q>["'`]?)(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)(?P=q)(?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_\[\]|]*(?=\x20*=))?\x20*(?P<op>:=|=>|=(?![=>])|:(?![:/]))[\x20\t]*""", re.ASCII)
 #: The right side: quoted literals and names joined by + or . (string concatenation), or one bare word.
 ATOM = re.compile(r"""(?:[bBfFrRuU]{0,2}(?P<lit>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)|(?P<ref>\$?\{?[A-Za-z_$][A-Za-z0-9_$.-]*\}?)|(?P<bare>[^\s"'`,;(){}\[\]<>]+))""", re.ASCII)
 JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|\|\|)[\x20\t]*", re.ASCII)

@@ -464,3 +464,9 @@ def test_secrets_given_to_a_constant(spark, target):
     text = 'prefix = "sk_live_9aB"\nclientSecret = prefix + "Q7zLm2Xw"\n'
     (row,) = secrets.find_secrets(documents(spark, [(1, text, "s")])).collect()
     assert [text[x.start : x.end] for x in row.joined] == ["sk_live_9aB"] and [text[x.start : x.end] for x in row.spans] == ['prefix + "Q7zLm2Xw']
+
+
+def test_secrets_of_long_names():
+    text = "a." * 100 + 'pwd = "Xk29fLq83ZpTa7Vb"\n'
+    assert [(k, text[s:e]) for s, e, k in secrets.scan(text)] == [("lexed", "Xk29fLq83ZpTa7Vb")]
+    secrets.scan("a" * 1_000_000 + " = ")  # ends
