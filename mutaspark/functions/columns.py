@@ -205,7 +205,9 @@ def cut_bytes(text: ColumnOrName, most: int) -> Column:
 def printable(raw: ColumnOrName, most: int = 16 * 1024) -> Column:
     """Bytes for display as (text, cut): as text where they are valid UTF-8, else base64; long ones cut at a character's end."""
     b = _col(raw).cast("binary")
-    text = F.decode(F.substring(b, 1, most), "UTF-8")
+    inside = lambda n: F.hex(F.substring(b, n + 1, 1)).between("80", "BF")  # noqa: E731  # a cut after n bytes is inside a character
+    end = F.when(~inside(most), most).when(~inside(most - 1), most - 1).when(~inside(most - 2), most - 2).otherwise(most - 3)
+    text = b.substr(F.lit(1), end).cast("string")
     whole = F.octet_length(b) <= most
-    shown = F.when(F.is_valid_utf8(b.cast("string")), F.when(whole, b.cast("string")).otherwise(F.regexp_replace(text, "�$", ""))).otherwise(F.concat(F.lit("base64:"), F.base64(F.substring(b, 1, most))))
+    shown = F.when(F.is_valid_utf8(b.cast("string")), F.when(whole, b.cast("string")).otherwise(text)).otherwise(F.concat(F.lit("base64:"), F.base64(F.substring(b, 1, most))))
     return F.struct(shown.alias("text"), (~whole).alias("cut"))

@@ -617,6 +617,18 @@ def text_digests(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where("text is not null and lang is not null").select("doc_id", C.hash_fields("text", "lang").alias("digest"))
 
 
+@query()
+def printable_documents(spark, sf_dir):
+    """What is shown of every document, whole, in any language; SQL can't express the cut in bytes."""
+    shown = C.printable("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(shown["text"], 256).alias("shown"), shown["cut"].alias("cut"))
+
+
+@query()
+def document_digests(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", C.hash_fields("text", "lang").alias("digest"))
+
+
 @query("select conv_id, count(*) as turns, string_agg(role, '>' order by turn) as roles from conversations group by conv_id")
 def conversation_order(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations")

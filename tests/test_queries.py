@@ -43,3 +43,18 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_documents_are_shown_and_digested_whole(spark, tmp_path):
+    """All rows, against the plain definition: multi-byte text cut at any byte of a character, and nulls."""
+    import hashlib
+
+    rows = [(i, "a" * i + c * 9000, "de") for c in "é€😀�" for i in range(4)] + [(0, "é" * 8192, None), (1, None, "en"), (2, "", None), (3, "a" * 16383 + "�\nb", "en"), (4, "short é", "en")]
+    rows = [(k, t, lang) for k, (_, t, lang) in enumerate(rows)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    shown = lambda t: t and t.encode()[: 16 * 1024].decode(errors="ignore").encode()
+    want = {k: (None, None) if t is None else (sha(shown(t) or b""), len(t.encode()) > 16 * 1024) for k, t, _ in rows}
+    assert {r.doc_id: (r.shown, r.cut) for r in catalogue.QUERIES["printable_documents"](spark, str(tmp_path)).collect()} == want
+    own = lambda *fields: sha(b"".join(b"%d:%s" % (len(f), f) for f in ((x or "").encode() for x in fields)))
+    assert {r.doc_id: r.digest for r in catalogue.QUERIES["document_digests"](spark, str(tmp_path)).collect()} == {k: own(t, lang) for k, t, lang in rows}
