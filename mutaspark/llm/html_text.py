@@ -21,10 +21,14 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 #: Elements that may stand in a head; any other, or text, ends one that is still open.
 HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 SPACE = " \t\n\f\r"
+#: Elements that stand in a line of text and whose content isn't read; what is inside them makes no blocks.
+UNSEEN = frozenset("noscript template svg math object canvas audio video select datalist button".split())
 #: Elements that never hold text to read.
-UNREAD = frozenset("head script style noscript template svg math iframe object canvas audio video select datalist textarea button noembed noframes xmp title".split())
+UNREAD = UNSEEN | {"head"}
+#: Elements whose own markup may close itself.
+FOREIGN = frozenset({"svg", "math"})
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr br img input".split()
+    "a abbr acronym area b base basefont bdi bdo bgsound big cite code data del dfn em embed font i ins kbd label link map mark meta meter nobr output param picture progress q rb rp rt rtc ruby s samp slot small source span strike strong sub sup time track tt u var wbr br img input".split()
 )
 #: What an opening tag closes, if open, and where the search for it ends.
 CLOSES = {
@@ -35,9 +39,9 @@ CLOSES = {
 TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)>|<[!?/][^>]*+>?""", re.DOTALL
 )
-ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|data-block|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+LABEL = re.compile(r"""(?<![^\s"'/])data-block=([0-9]+)""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-STOCK_PHRASE = re.compile(r"©|all rights reserved|cookie|privacy|subscribe|newsletter|sign in|log in|advertisement|sponsored|copyright|terms of", re.IGNORECASE)
 
 
 @dataclass(slots=True)
@@ -51,12 +55,18 @@ class Node:
     kids: list[int] = field(default_factory=list)
 
 
-def parse(page: str) -> list[Node]:
-    """The page's block elements and, as leaves, its blocks of text, parents before children. Tolerates what browsers do: tags left open or never opened, raw script, text outside of body."""
+def inline(tag: str) -> bool:
+    """Whether an element is part of a line of text, as custom elements are unless styled."""
+    return tag in INLINE or "-" in tag
+
+
+def parse(page: str, labelled: bool = False) -> list[Node]:
+    """The page's block elements and, as leaves, its blocks of text, parents before children. Tolerates what browsers do: tags left open or never opened, raw script, text outside of body. labelled: a training page, whose data-block attributes number its blocks."""
     nodes = [Node("#root", -1)]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, inline ones as well, with the node each belongs to
+    stack: list[tuple[str, int, bool]] = [("#root", 0, True)]  # open elements, inline ones as well, with the node each belongs to, and whether they are blocks
     held: list[str] = []
-    state = {"linked": 0, "links": 0}
+    state = {"linked": 0, "links": 0, "unseen": 0, "foreign": 0}
+    last_end: dict[str, int] = {}
     hidden = 0
 
     def flush():
@@ -72,9 +82,11 @@ def parse(page: str) -> list[Node]:
     def pop_to(k: int):
         nonlocal hidden
         while len(stack) > k:
-            tag, _ = stack.pop()
+            tag = stack.pop()[0]
             hidden -= tag in UNREAD
             state["links"] -= tag == "a"
+            state["unseen"] -= tag in UNSEEN
+            state["foreign"] -= tag in FOREIGN
 
     def end_head():
         if stack[-1][0] == "head":
@@ -88,6 +100,11 @@ def parse(page: str) -> list[Node]:
             if state["links"]:
                 state["linked"] += len(text.strip())
 
+    def ends_later(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.IGNORECASE)), default=-1)
+        return last_end[tag] >= at
+
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
@@ -107,16 +124,26 @@ def parse(page: str) -> list[Node]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    if tag not in INLINE:
+                    if stack[k][2]:
                         flush()
                     pop_to(k)
                     break
-                if tag in INLINE and stack[k][0] not in INLINE:  # not open in this block
+                if stack[k][2] and inline(tag):  # not open in this block
                     break
             continue
+        if state["foreign"] and m["attrs"].endswith("/"):
+            continue
         if hidden and tag not in HEAD:
             end_head()
-        block = tag not in INLINE
+        if tag == "br":
+            say(" ")
+        if tag in RAW:
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            at = close.end() if close else end
+            continue
+        if tag in UNSEEN and (tag in FOREIGN and m["attrs"].endswith("/") or not ends_later(tag)):
+            continue
+        block = not (inline(tag) or tag in UNSEEN or state["unseen"])
         if block:
             flush()
             if tag in CLOSES:
@@ -130,26 +157,22 @@ def parse(page: str) -> list[Node]:
                 if stack[k][0] == "p":
                     pop_to(k)
                     break
-                if stack[k][0] not in INLINE:
+                if stack[k][2]:
                     break
-        if tag == "br":
-            say(" ")
         if tag in VOID:
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else end
-            continue
         owner = stack[-1][1]
         if block:
             nodes.append(Node(tag, owner, m["attrs"], own=nodes[owner].own))
             nodes[owner].kids.append(len(nodes) - 1)
             owner = len(nodes) - 1
-        if "data-block" in m["attrs"]:
-            nodes[owner].own = next((int(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(m["attrs"]) if a[0] == "data-block"), -1)
-        stack.append((tag, owner))
+        if labelled and (label := LABEL.search(m["attrs"])):
+            nodes[owner].own = int(label[1])
+        stack.append((tag, owner, block))
         hidden += tag in UNREAD
         state["links"] += tag == "a"
+        state["unseen"] += tag in UNSEEN
+        state["foreign"] += tag in FOREIGN
     flush()
     return nodes
 
@@ -171,7 +194,7 @@ def leaf_features(node: Node, parent: Node) -> tuple[str, ...]:
     density = node.linked / n
     return (
         f"length:{min(7, n.bit_length() - 2)}", f"links:{0 if density < 0.1 else 1 if density < 0.5 else 2}", f"stop:{node.text[-1] in '.!?:;…'}",
-        f"stock:{bool(STOCK_PHRASE.search(node.text))}", f"in:{parent.tag}", "text",
+        f"in:{parent.tag}", "text",
     )
 
 
@@ -253,10 +276,10 @@ def truth(nodes: list[Node], labels: list[bool]) -> list[int]:
     return [int(2 * g > c) for g, c in zip(good, count, strict=True)]
 
 
-def fit(pages: list[tuple[str, list[bool]]], epochs: int = 12) -> Model:
+def fit(pages: list[tuple[str, list[bool]]], epochs: int = 8) -> Model:
     """Maximum likelihood by stochastic gradient: what the labels have of each feature and label pair, less what marginals expect, averaged over the later steps."""
     model = Model({}, [[[0.0, 0.0], [0.0, 0.0]] for _ in range(3)])
-    trees = [(nodes, truth(nodes, labels)) for nodes, labels in ((parse(p), y) for p, y in pages)]
+    trees = [(nodes, truth(nodes, labels)) for nodes, labels in ((parse(p, labelled=True), y) for p, y in pages)]
     total: dict[str, float] = {}
     edge_total, steps = [[[0.0, 0.0], [0.0, 0.0]] for _ in range(3)], 0
     odds = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
@@ -291,7 +314,7 @@ def fit(pages: list[tuple[str, list[bool]]], epochs: int = 12) -> Model:
 
 
 @functools.lru_cache(maxsize=1)
-def trained(pages: int = 400) -> Model:
+def trained(pages: int = 250) -> Model:
     """The model of the default labelled pages; the same everywhere."""
     return fit(labelled_pages(pages))
 

@@ -69,9 +69,12 @@ class Maker:
         elif kind == "form":
             inner = "".join(self.block(r.choice(["label", "div", "p"]), pick(), False) + "<input name=q>" for _ in range(r.randint(1, 3))) + "<button>Go</button>"
         elif kind == "comments":
-            inner = "".join(self.named("div", NOT_ARTICLE["comments"], self.block("p", self.prose(2, 40) if r.random() < 0.7 else pick(), False), True) for _ in range(r.randint(1, 5)))
+            rows = [self.named("div", NOT_ARTICLE["comments"], self.block("p", self.prose(2, 40) if r.random() < 0.7 else pick(), False), True) for _ in range(r.randint(1, 5))]
+            inner = "".join(rows) if r.random() < 0.6 else "<ol>" + "".join(f"<li>{x}</li>" for x in rows) + "</ol>"
         else:
             inner = "".join(self.block(r.choice(["p", "div", "span" if own != "ul" else "li"]) if own != "p" else "span", pick() if r.random() < 0.7 else self.prose(3, 25), False) for _ in range(r.randint(1, 3)))
+        if kind in ("sidebar", "comments", "notice", "footer") and own != "ul" and r.random() < 0.35:
+            inner = self.block(r.choice(["h2", "h3", "h4"]), pick(), False) + inner
         return self.named(own, NOT_ARTICLE[kind], inner, own not in ("nav", "header", "footer", "aside", "form"))
 
     def article(self) -> str:
@@ -95,6 +98,8 @@ class Maker:
                 parts.append(self.block("pre", self.words(4, 20), True))
             else:
                 parts.append(self.junk(r.choice(["advert", "notice", "sidebar"])))
+        if len(parts) > 1 and r.random() < 0.25:  # the title in a header of its own, the rest in an element
+            parts = [self.named("header", ARTICLE, parts[0]), self.named("div", ARTICLE, "".join(parts[1:]), True)]
         if r.random() < 0.15:
             parts.append(self.junk("comments"))
         return "".join(parts)
@@ -111,7 +116,7 @@ class Maker:
         else:
             body = self.named(r.choice(["div", "div", "main", "section"]), ARTICLE, self.article(), r.random() < 0.9)
         if r.random() < 0.4:
-            body = self.named(r.choice(["div", "main"]), ["wrapper", "container", "page", "layout", "row", "col"], body + some("sidebar", 0.5), True)
+            body = self.named(r.choice(["div", "main"]), ["wrapper", "container", "page", "layout", "row", "col"], body + some("comments", 0.35) + some("sidebar", 0.5), True)
         rest = some("sidebar", 0.4) + some("comments", 0.35) + some("form", 0.4) + some("advert", 0.2) + some("footer", 0.85)
         end = "</body></html>" if r.random() < 0.9 else ""
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{}}</style></head><body>{top}{body}{rest}{end}"
