@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import each_group, paired_blocks, repeated
-from .shared import Scratch, components, map_arrow, table
+from .shared import Scratch, components, fresh, map_arrow, table
 
 #: Registers, and the bits of each that follow its leading one.
 REGISTERS, MANTISSA = 128, 10
@@ -279,8 +279,9 @@ def _verified(pairs: DataFrame, whole: DataFrame, threshold: float) -> DataFrame
 
 def without_near_copies(docs: DataFrame, scratch: Scratch, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs, with all their columns, that stay: the smallest doc_id of each component, and rows without doc_id."""
-    kept = near_duplicates(docs, scratch, width, threshold).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    (name,) = fresh(docs, "kept_id")
+    kept = near_duplicates(docs, scratch, width, threshold).where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
