@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import Scratch, table, utf8_lower
+from .shared import Scratch, fresh, table, utf8_lower
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State in RocksDB, whose changes alone are uploaded; a task closes its store when done, so stores take no disk or memory between batches.
@@ -14,29 +19,17 @@ STORES = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+#: A row of the stream: the stable identifier, the digest of the normalised text, and where the content lies: its file and its place there.
+ROWS = "doc_id long, digest binary, file string, place long"
 
 
-def digest_state(stream: DataFrame, scratch: Scratch, name: str = "state") -> DataFrame:
-    """Runs a stream of doc_id, digest, locator to its present end and returns its state: one row a digest.
-
-    State is keyed by the SHA-256 of the normalised text and lives in RocksDB on the executors' disks, its changes
-    in the shared folder; nothing expires. A key holds the largest doc_id (the stable identifier), the locator of
-    its content and the number of rows. Later runs on the same folder go on where this one ended.
-    """
-    spark = scratch.spark
-    state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("n"))
+@contextmanager
+def _stores(spark: SparkSession):
     before = {k: spark.conf.get(k, None) for k in STORES}
     for k, v in STORES.items():
         spark.conf.set(k, v)
     try:
-        run = state.writeStream.format("noop").outputMode("update").trigger(availableNow=True).option("checkpointLocation", scratch.path(name)).start()
-        run.awaitTermination()
-        read = spark.read.format("statestore").load(scratch.path(name))
-        parts = {f.name: f.dataType for f in read.schema["value"].dataType.fields}
-        values = list(parts)  # the aggregation's buffers, in order
-        keep = F.col("value")[values[0]]
-        out = read.select(F.col("key.digest").alias("digest"), keep["doc_id"].alias("keep_id"), keep["locator"].alias("locator"), F.col("value")[values[1]].alias("group_size"))
-        return scratch.keep(out, f"{name}-read")
+        yield
     finally:
         for k, v in before.items():
             if v is None:
@@ -45,92 +38,121 @@ def digest_state(stream: DataFrame, scratch: Scratch, name: str = "state") -> Da
                 spark.conf.set(k, v)
 
 
-def exact_duplicates(docs: DataFrame, stream: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def located(docs: DataFrame, content: str, file: str, place: str) -> DataFrame:
+    """docs with the file of each row and its place in it. Rows that aren't read from Parquet files are written to the folder `content` first."""
 
-    docs has doc_id and text. stream has the same rows as doc_id, digest and locator (see `digests`); it fills the
-    state, in which docs is then looked up.
-    Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts are one
-    group. The row with the largest doc_id stays; null doc_ids are smallest. Rows repeated with one doc_id count
-    in group_size and share their answer. An empty table gives no rows. Other columns are ignored.
-
-    On a hit, the full text is compared with that of the row that stays. Should texts differ under one digest, all
-    rows of that digest are grouped again by digest and full text.
-    """
-    if docs.isEmpty():
-        return spark_empty(docs)
-    state = digest_state(stream, scratch)
-    norm = docs.select("doc_id", utf8_lower(F.col("text")).alias("norm")).withColumn("digest", F.sha2("norm", 256))
-    found = norm.select("doc_id", "digest").join(state, "digest", "left")
-    found = scratch.keep(found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")), "found")
-    if not (differ := _differing(norm, found, scratch)).isEmpty():
-        found = _apart(norm, found, differ)
-    return found
+    def of(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        return df.select("*", meta["file_path"].alias(file), meta["row_index"].alias(place))
 
+    try:
+        return of(docs)
+    except AnalysisException:
+        docs.write.mode("overwrite").parquet(content)
+        return of(docs.sparkSession.read.schema(docs.schema).parquet(content))
 
-def _differing(norm: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Digests under which a text differs from that of the row that stays. Only texts of groups move beyond the join that picks them."""
-    hits = found.where("group_size > 1").select(F.col("doc_id").alias("id"), "keep_id").distinct()
-    members = norm.join(hits, norm.doc_id == hits.id).select("id", "keep_id", "digest", "norm")
-    members = scratch.keep(members, "members")
-    stay = members.where("id = keep_id").select(F.col("keep_id").alias("stay_id"), F.col("digest").alias("stay_digest"), F.col("norm").alias("stay_norm"))
-    rest = members.where("id <> keep_id")
-    pairs = rest.join(stay, (rest.keep_id == stay.stay_id) & (rest.digest == stay.stay_digest))
-    differ = scratch.keep(pairs.where("norm <> stay_norm").select("digest").distinct(), "differ")
-    scratch.drop("members")
-    return differ
 
+def norm_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(utf8_lower(text), 256))
 
-def _apart(norm: DataFrame, found: DataFrame, differ: DataFrame) -> DataFrame:
-    """found, with the rows of the digests in `differ` grouped by digest and full text."""
-    doubtful = norm.join(differ, "digest", "left_semi")
-    groups = doubtful.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    fixed = doubtful.join(groups, ["digest", "norm"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
-    return found.join(differ.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left_anti").select(*fixed.columns).union(fixed)
 
+def digest_state(store: str, spark: SparkSession) -> DataFrame:
+    """Streams the rows under `store`/rows that no earlier run has seen into the state at `store`/state; digest, keep_id, file, place, group_size: one row a digest.
 
-def spark_empty(docs: DataFrame) -> DataFrame:
-    return docs.limit(0).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
+    State is keyed by digest and lives in RocksDB on the executors' disks, its changes under `store`; nothing
+    expires. A key holds the largest doc_id, where that row's content lies, and the number of rows.
+    """
+    stream = spark.readStream.schema(f"{ROWS}, run string").parquet(f"{store}/rows")
+    state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "place")).alias("keep"), F.count("*").alias("n"))
+    with _stores(spark):
+        run = state.writeStream.format("noop").outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{store}/state").start()
+        run.awaitTermination()
+        read = spark.read.format("statestore").load(f"{store}/state")
+        (keep,) = [f.name for f in read.schema["value"].dataType.fields if isinstance(f.dataType, T.StructType)]
+        (count,) = [f.name for f in read.schema["value"].dataType.fields if isinstance(f.dataType, T.LongType)]
+        kept = F.col("value")[keep]
+        out = read.select(F.col("key.digest").alias("digest"), kept["doc_id"].alias("keep_id"), kept["file"].alias("file"), kept["place"].alias("place"), F.col("value")[count].alias("group_size"))
+        out.write.mode("overwrite").parquet(f"{store}/read")
+    return spark.read.schema(out.schema).parquet(f"{store}/read")
+
+
+def exact_duplicates(docs: DataFrame, scratch: Scratch, store: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256; and stays, whether the row is the one of its group that stays, with file and place, where its content lies.
+
+    docs has doc_id and text. Texts are equal when identical after lower-casing A-Z; null counts as empty, so null
+    and empty texts are one group. The row with the largest doc_id stays; null doc_ids are smallest. Rows repeated
+    with one doc_id count in group_size and share their answer, but one of them alone stays. An empty table gives
+    no rows. Other columns are ignored.
+
+    Each text is digested once; digests, identifiers and locators are written, streamed into the state, and looked
+    up in it. With a `store`, a folder that outlives the call, later calls with further rows go on from its state,
+    and their answers count all rows so far; the files of earlier calls' documents must still be there. On a hit,
+    the row's full text is read where its locator says and compared with that of the row that stays. Should texts
+    differ under one digest, all of docs' rows of that digest are grouped again by digest and full text.
+    """
+    spark, own = scratch.spark, store or scratch.path("store")
+    run = uuid.uuid4().hex
+    content = f"{own}/content/{run}"
+    file, place = fresh(docs, "file", "place")
+    lying = located(docs, content, file, place)
+    rows = lying.select("doc_id", norm_digest(F.col("text")).alias("digest"), F.col(file).alias("file"), F.col(place).alias("place"))
+    rows.write.parquet(f"{own}/rows/run={run}")
+    rows = spark.read.schema(ROWS).parquet(f"{own}/rows/run={run}")
+    if rows.isEmpty():
+        return rows.selectExpr("doc_id", "doc_id as keep_id", "1L as group_size", "true as kept", "'' as text_sha256", "true as stays", "file", "place")
+    state = digest_state(own, spark).withColumnsRenamed({"file": "keep_file", "place": "keep_place"})
+    found = rows.join(state, "digest", "left").withColumn("stays", F.expr("file = keep_file and place = keep_place"))
+    found = scratch.keep(found, "looked")
+    if not (differ := _differing(lying.select(F.col(file).alias("at_file"), F.col(place).alias("at_place"), "text"), found, scratch)).isEmpty():
+        found = _apart(lying.select(F.col(file).alias("at_file"), F.col(place).alias("at_place"), "text"), found, differ)
+    found = found.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "stays", "file", "place")
+    found = scratch.keep(found, "found")
+    scratch.drop("looked", "differ", "store")
+    return found
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """doc_id, digest and locator (length and a second hash of the content) of rows or of a stream of rows."""
-    text = utf8_lower(F.col("text"))
-    locator = F.struct(F.octet_length(text).alias("n_bytes"), F.xxhash64(text).alias("hash64"))
-    return rows.select("doc_id", F.sha2(text, 256).alias("digest"), locator.alias("locator"))
+def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """wanted (digest, file, place) with the normalised text that lies there."""
+    return texts.join(wanted, F.expr("at_file = file and at_place = place")).select("digest", utf8_lower(F.col("text")).alias("norm"))
 
 
-def of_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """exact_duplicates over any DataFrame: its digests, not its texts, are written and streamed."""
-    rows = scratch.keep(digests(docs), "digests")
-    return exact_duplicates(docs, scratch.spark.readStream.schema(rows.schema).parquet(scratch.path("digests")), scratch)
+def _differing(texts: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Digests under which a text differs from another. Texts of one digest are compared in each task before any of them move on."""
+    hits = found.where("group_size > 1")
+    every = _texts_of(hits.select("digest", "file", "place"), texts)
+    earlier = hits.select("digest", F.col("keep_file").alias("file"), F.col("keep_place").alias("place")).join(found.select("file").distinct(), "file", "left_anti").distinct()
+    files = [r.file for r in earlier.select("file").distinct().collect()]  # names of earlier calls' files, which any reading lists
+    if files:
+        before = found.sparkSession.read.schema("text string").parquet(*files)
+        meta = before.metadataColumn("_metadata")
+        before = before.select(meta["file_path"].alias("at_file"), meta["row_index"].alias("at_place"), "text")
+        every = every.union(_texts_of(earlier.select("digest", "file", "place"), before))
+    ends = every.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
+    return scratch.keep(ends.where("least <> most").select("digest"), "differ")
 
 
-def of_files(spark, path: str, scratch: Scratch) -> DataFrame:
-    """exact_duplicates over a Parquet table with doc_id and text, read as a stream of its files."""
-    docs = spark.read.parquet(path)
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
-    # A stream reads folders; a table that is one file is the only such file of its folder.
-    source = spark.readStream.schema(docs.schema)
-    stream = source.parquet(path) if system.getFileStatus(files).isDirectory() else source.option("pathGlobFilter", files.getName()).parquet(str(files.getParent().toString()))
-    return exact_duplicates(docs, digests(stream), scratch)
+def _apart(texts: DataFrame, found: DataFrame, differ: DataFrame) -> DataFrame:
+    """found, with the rows of the digests in `differ` grouped by digest and full text."""
+    doubtful = texts.join(found.join(differ, "digest", "left_semi"), F.expr("at_file = file and at_place = place")).withColumn("norm", utf8_lower(F.col("text")))
+    groups = doubtful.groupBy("digest", "norm").agg(F.max(F.struct("doc_id", "file", "place")).alias("keep"), F.count("*").alias("n"))
+    fixed = doubtful.drop("keep_id", "group_size", "keep_file", "keep_place", "stays").join(groups, ["digest", "norm"])
+    fixed = fixed.selectExpr("digest", "doc_id", "file", "place", "keep.doc_id as keep_id", "keep.file as keep_file", "keep.place as keep_place", "n as group_size").withColumn("stays", F.expr("file = keep_file and place = keep_place"))
+    return found.join(differ, "digest", "left_anti").select(*fixed.columns).union(fixed)
 
 
 def without_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs, with all their columns, that stay: one of each group of equal texts, also where whole rows repeat."""
-    found = of_table(docs, scratch)
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256")).distinct()
-    keyed = docs.withColumn("kept_digest", F.sha2(utf8_lower(F.col("text")), 256))
-    out = keyed.join(kept, (F.col("kept_digest") == F.col("kept_sha256")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if found.where("kept").count() > kept.count():  # one doc_id and text in several rows
-        out = out.dropDuplicates(["kept_digest", "doc_id"])
-    return out.drop("kept_digest")
+    file, place, at_file, at_place = fresh(docs, "file", "place", "at_file", "at_place")
+    lying = located(docs, scratch.path("content"), file, place)
+    source = docs.sparkSession.read.schema(docs.schema).parquet(scratch.path("content")) if scratch.has("content") else docs
+    stays = exact_duplicates(source, scratch).where("stays").select(F.col("file").alias(at_file), F.col("place").alias(at_place))
+    return lying.join(stays, (F.col(file) == F.col(at_file)) & (F.col(place) == F.col(at_place)), "left_semi").drop(file, place)
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document, the one that stays of its equals, and the digest of its normalised text."""
-    return of_files(spark, f"{sf_dir}/documents.parquet", Scratch(spark, "exact"))
+    found = exact_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "exact"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP5_SQL = """

@@ -62,6 +62,10 @@ class Scratch:
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def has(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     @contextlib.contextmanager
     def small_batches(self, most: int = 4 << 20):
         """While tables are written inside, tasks hand Python so many bytes at once: for rows that may be large."""
