@@ -17,9 +17,7 @@ CHUNK, OVERLAP = 512, 32
 FILTERS, WIDTH = 24, 6
 #: Labelled rows of each class that the network learns from, at most: the bound of the sample.
 SAMPLE = 1500
-#: Chunks of one training document that go to the driver, at most, spread evenly over its whole text: with SAMPLE, the bound of its memory.
-SAMPLE_CHUNKS = 64
-#: Chunks of one training document that take part in one step; others take part in other epochs.
+#: Chunks of one training document that take part in one step, drawn from its whole text; others take part in other epochs.
 STEP_CHUNKS = 6
 EPOCHS = 14
 CUT = 0.7
@@ -55,17 +53,32 @@ class Network:
         return [(self.table[j][:, None, :] + self.table[j + 1][None, :, :]).reshape(257 * 257, FILTERS) for j in range(0, WIDTH, 2)]
 
 
+def chunk_count(size: int) -> int:
+    return max(1, -(-(size - OVERLAP) // (CHUNK - OVERLAP))) if size else 0
+
+
 def chunks(data: bytes) -> np.ndarray:
     """(n, CHUNK) overlapping chunks that cover the whole text, padded with 256. Empty texts have none."""
     if not data:
         return np.zeros((0, CHUNK), np.int32)
     step = CHUNK - OVERLAP
-    n = max(1, -(-(len(data) - OVERLAP) // step))
-    padded = np.full((n - 1) * step + CHUNK, 256, np.int32)
+    padded = np.full((chunk_count(len(data)) - 1) * step + CHUNK, 256, np.int32)
     padded[: len(data)] = np.frombuffer(data, np.uint8)
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step]
 
 
+def drawn(data: bytes, rng: np.random.Generator, most: int = STEP_CHUNKS) -> np.ndarray:
+    """All of a text's chunks, or so many of them at random."""
+    n, step = chunk_count(len(data)), CHUNK - OVERLAP
+    if n <= most:
+        return chunks(data)
+    out = np.full((most, CHUNK), 256, np.int32)
+    for row, k in zip(out, rng.choice(n, most, replace=False), strict=True):
+        part = np.frombuffer(data, np.uint8, min(CHUNK, len(data) - k * step), k * step)
+        row[: len(part)] = part
+    return out
+
+
 def convolve(net: Network, pairs: list[np.ndarray], block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pooled, where): each filter's greatest response in each chunk, and its place."""
     places = CHUNK - WIDTH + 1
@@ -122,13 +135,8 @@ def score(net: Network, pairs: list[np.ndarray], texts: list[str | None], most:
     return out
 
 
-def spread(found: np.ndarray, most: int = SAMPLE_CHUNKS) -> np.ndarray:
-    """At most `most` of a text's chunks, evenly spread from the first to the last."""
-    return found if len(found) <= most else found[np.linspace(0, len(found) - 1, most).astype(int)]
-
-
-def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """A network from documents' chunks, by Adam on the log loss. Each step takes a few chunks of each of 64 documents."""
+def train(docs: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """A network from whole texts, by Adam on the log loss. Each step takes a few chunks of each of 64 documents."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(seed)
     keep = [i for i, d in enumerate(docs) if len(d)]
@@ -143,7 +151,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
         order = rng.permutation(keep)
         for start in range(0, len(order), 64):
             batch = order[start : start + 64]
-            picks = [docs[i] if len(docs[i]) <= STEP_CHUNKS else docs[i][rng.choice(len(docs[i]), STEP_CHUNKS, replace=False)] for i in batch]
+            picks = [drawn(docs[i], rng) for i in batch]
             block, owner = np.concatenate(picks), np.repeat(np.arange(len(batch)), [len(p) for p in picks])
             share = (1 / np.bincount(owner))[owner][:, None].astype(np.float32)
             pooled, where = convolve_plain(net, block)
@@ -191,26 +199,25 @@ def held_out(doc_id) -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Network:
     """A network from at most `per_class` labelled rows of each class that aren't held out, picked by a hash of doc_id.
 
-    The sample is drawn from labels, whose rows are small, and its bounded list of doc_ids is broadcast to the texts.
+    The sample is drawn from labels, whose rows are small, and its bounded list of doc_ids is broadcast to the texts,
+    of which the sample's go to the driver whole.
     """
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     some = [rows.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(per_class) for k in (0, 1)]
     picked = some[0].union(some[1]).dropDuplicates(["doc_id"])
 
-
-    def cut(batch: pa.RecordBatch):
-        some = [spread(chunks((t or "").encode("utf-8", "replace"))) for t in batch.column("text").to_pylist()]
-        yield {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "chunks": [x.astype("<u2").tobytes() for x in some]}
+    def raw(batch: pa.RecordBatch):
+        yield {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "raw": [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]}
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    sample = map_arrow(chosen, cut, "doc_id long, quality int, chunks binary").toPandas().sort_values(["doc_id", "chunks"])
+    sample = map_arrow(chosen, raw, "doc_id long, quality int, raw binary").toPandas().sort_values(["doc_id", "raw"])
     share = rows.agg(F.avg("quality")).first()[0]
-    net = train([np.frombuffer(x, "<u2").astype(np.int32).reshape(-1, CHUNK) for x in sample["chunks"]], sample["quality"].to_numpy())
+    net = train([bytes(x) for x in sample["raw"]], sample["quality"].to_numpy())
     if share is not None and len(sample):
-        # The sample holds classes in other proportions than the labels do: move the log odds back halfway.
+        # The sample holds the classes in other proportions than the labels do; Bayes' rule moves the log odds by as much.
         clip = lambda p: float(np.clip(p, 0.01, 0.99))
         odds = lambda p: np.log(clip(p) / (1 - clip(p)))
-        net.out_bias += 0.5 * (odds(share) - odds(sample["quality"].mean()))
+        net.out_bias += odds(share) - odds(sample["quality"].mean())
         net.prior = clip(share)
     return net
 
