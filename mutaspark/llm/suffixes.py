@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,12 @@ from .shared import Scratch, map_arrow, table
 #: Bytes of a passage, and of the gram that a suffix's leading bytes are grouped by.
 PASSAGE, GRAM = 400, 24
 #: Bytes handled at once; longer texts go in overlapping pieces.
-PIECE = 1 << 21
-#: Suffixes of one gram that are compared in one task, some 30 MB; grams with more go by the digests of their windows.
-GROUP = 50_000
-#: Up to so many suffixes are compared pair by pair.
+PIECE = 1 << 18
+#: Suffixes of one gram that are sorted in one task, some 2 MB; the passages of grams with more are cut finer.
+GROUP = 2048
+#: How many neighbouring passages a frequent gram's suffixes are cut into, again and again.
+LEVELS = (64, 8, 1)
+#: Sorted neighbours up to so many are compared with each other one by one.
 FEW = 12
 PLACE = np.uint64((1 << 24) - 1)
 BASE = STEP | np.uint64(1)
@@ -152,48 +154,78 @@ def repeated_starts(contexts: list[bytes], offsets: list[int]) -> list[list[tupl
     A context is the bytes of all passages that a sampled suffix stands for; the suffix starts at its offset. Two
     contexts that agree in L bytes left of their suffixes and R bytes of the suffixes share the passages that
     start d bytes before them, for d from 400 - R to L.
+
+    The suffixes are sorted; what one shares with any other, it shares with a neighbour. Neighbours that share less
+    than a gram end a run, and a run's members are compared with each other only.
     """
     raw = [np.frombuffer(c, np.uint8) for c in contexts]
     found: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    if len(contexts) <= FEW:
-        for i in range(len(contexts)):
-            for j in range(i):
-                right = common(raw[i][offsets[i] :], raw[j][offsets[j] :])
-                if right < GRAM:  # equal hashes of unlike grams
-                    continue
-                left = common(raw[i][: offsets[i]][::-1], raw[j][: offsets[j]][::-1])
+    order = multikey_quicksort([c[o:] for c, o in zip(contexts, offsets, strict=True)])
+    shared = [common(raw[i][offsets[i] :], raw[j][offsets[j] :]) for i, j in zip(order, order[1:], strict=False)]
+    begin = 0
+    for end in range(1, len(order) + 1):
+        if end < len(order) and shared[end - 1] >= GRAM:
+            continue
+        run, reach = order[begin:end], shared[begin : end - 1]
+        begin = end
+        if len(run) > FEW:
+            _by_class(run, reach, raw, offsets, found)
+            continue
+        for i, one in enumerate(run):
+            right = PASSAGE
+            for j in range(i + 1, len(run)):
+                two, right = run[j], min(right, reach[j - 1])
+                if right < PASSAGE - offsets[one]:  # and no later one shares more
+                    break
+                left = common(raw[one][: offsets[one]][::-1], raw[two][: offsets[two]][::-1])
                 if PASSAGE - right <= left:
-                    low = max(0, PASSAGE - right)
-                    for k in (i, j):
-                        found[k].append((offsets[k] - left, offsets[k] - low))
-        return found
-    suffixes = [c[o:] for c, o in zip(contexts, offsets, strict=True)]
-    order = multikey_quicksort(suffixes)
-    reach = [0] * len(contexts)  # the longest prefix that a suffix shares with any other is shared with a neighbour
-    for i, j in zip(order, order[1:], strict=False):
-        n = common(raw[i][offsets[i] :], raw[j][offsets[j] :])
-        reach[i], reach[j] = max(reach[i], n), max(reach[j], n)
-    some = [i for i in range(len(contexts)) if reach[i] >= GRAM and offsets[i] >= PASSAGE - reach[i]]
+                    for k in (one, two):
+                        found[k].append((offsets[k] - left, offsets[k] - (PASSAGE - right)))
+    return found
+
+
+def _by_class(run: list[int], reach: list[int], raw: list[np.ndarray], offsets: list[int], found: list[list[tuple[int, int]]]) -> None:
+    """The ranges of a longer run of sorted suffixes, added to `found`: starts at one distance whose passages hash alike are classes, and each member's bytes are compared with those of its class's first."""
+    ends = np.array([0, *reach, 0])
+    most = np.maximum(ends[:-1], ends[1:])  # the longest prefix that a suffix shares with any other
     owner, start, digest = [], [], []
+    some = [(i, int(r)) for i, r in zip(run, most, strict=True) if offsets[i] >= PASSAGE - r]
     for at in range(0, len(some), 2048):
         part = some[at : at + 2048]
-        bounds = np.concatenate([[0], np.cumsum([len(contexts[i]) for i in part])])
-        hashes = grams(np.concatenate([raw[i] for i in part]), PASSAGE)
-        for k, i in enumerate(part):
-            stop = min(len(contexts[i]) - PASSAGE, offsets[i] - max(0, PASSAGE - reach[i]))  # starts nearer to the suffix need more of it than is shared
+        bounds = np.concatenate([[0], np.cumsum([len(raw[i]) for i, _ in part])])
+        hashes = grams(np.concatenate([raw[i] for i, _ in part]), PASSAGE)
+        for k, (i, r) in enumerate(part):
+            stop = min(len(raw[i]) - PASSAGE, offsets[i] - max(0, PASSAGE - r))  # starts nearer to the suffix need more of it than is shared
             own = np.arange(stop + 1)
             owner.append(np.full(len(own), i))
             start.append(own)
             digest.append(mix(hashes[bounds[k] + own] + (offsets[i] - own).astype(np.uint64) * STEP))
     if not owner:
-        return found
+        return
     owner, start = np.concatenate(owner), np.concatenate(start)
-    _, back, count = np.unique(np.concatenate(digest), return_inverse=True, return_counts=True)
+    strings = lambda: np.array([b"%d:" % (offsets[i] - p) + raw[i][p : p + PASSAGE].tobytes() for i, p in zip(owner, start, strict=True)], object)
+    if not _classes(np.concatenate(digest), owner, start, raw, found):
+        _classes(np.unique(strings(), return_inverse=True)[1], owner, start, raw, found)
+
+
+def _classes(digest: np.ndarray, owner: np.ndarray, start: np.ndarray, raw: list[np.ndarray], found: list[list[tuple[int, int]]]) -> bool:
+    """Adds the starts whose digest occurs more than once to `found`, in ranges; False, and nothing added, if bytes differ under one digest."""
+    _, first, back, count = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
     hit = np.flatnonzero(count[back] > 1)
-    if len(hit):
-        for run in np.split(hit, np.flatnonzero((np.diff(owner[hit]) != 0) | (np.diff(start[hit]) != 1)) + 1):
-            found[int(owner[run[0]])].append((int(start[run[0]]), int(start[run[-1]])))
-    return found
+    if not len(hit):
+        return True
+    o, s, lead = owner[hit], start[hit], first[back[hit]]
+    breaks = (np.diff(o) != 0) | (np.diff(s) != 1) | (np.diff(owner[lead]) != 0) | (np.diff(start[lead]) != 1)
+    ranges = []
+    for piece in np.split(np.arange(len(hit)), np.flatnonzero(breaks) + 1):
+        k, a, b = int(o[piece[0]]), int(s[piece[0]]), int(s[piece[-1]])
+        of, at = int(owner[lead[piece[0]]]), int(start[lead[piece[0]]])
+        if not np.array_equal(raw[k][a : b + PASSAGE], raw[of][at : at + b - a + PASSAGE]):
+            return False
+        ranges.append((k, a, b))
+    for k, a, b in ranges:
+        found[k].append((a, b))
+    return True
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -219,8 +251,8 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
     in 190 bytes is sampled (see sampled_suffixes), suffixes whose gram occurs once are dropped, and the rest is
     brought together with the bytes around it: Spark samples splitters and range-partitions by the suffixes'
     leading bytes, so that a gram lies in one bucket and no run crosses a boundary; buckets sort each gram's
-    suffixes and compare neighbours. A gram with more suffixes than `group` is counted by digests of its passages
-    instead, pre-aggregated before they move, with the same result.
+    suffixes and compare neighbours, byte by byte. A gram with more suffixes than `group` would make its bucket too
+    large: its passages are cut finer (see _of_frequent), with the same result.
 
     Null texts count as empty; texts under 400 bytes lose nothing; rows repeated, even with one doc_id, are copies
     of each other; doc_id may be null. An empty table gives no rows. Other columns are ignored.
@@ -257,21 +289,20 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
     held = whole.join(wanted, (whole.id == wanted.text_id) & whole.doc.eqNullSafe(wanted.rep)).select("text_id", "packed", "size", "met").dropDuplicates(["text_id"])
     held = scratch.keep(held, "held", compression="snappy")
 
-    def contexts(few: bool):
-        def cut(batch: pa.RecordBatch):
-            out: dict[str, list] = {c: [] for c in ("lead", "key", "text_id", "first", "offset", "context")}
-            for r in batch.to_pylist():
-                text = None
-                for m in r["met"]:
-                    if (m["n_key"] <= group) == few:
-                        text = text if text is not None else pa.decompress(r["packed"], r["size"], codec="zstd", asbytes=True)
-                        a = m["anchor"]
-                        row = (text[a : a + 16], m["key"], r["text_id"], m["first"], a - m["first"], text[m["first"] : m["last"] + PASSAGE])
-                        for c, v in zip(out, row, strict=True):
-                            out[c].append(v)
-            yield out
-
-        return map_arrow(held, cut, "lead binary, key long, text_id binary, first long, offset long, context binary", rows=32)
+    def contexts(batch: pa.RecordBatch):
+        out: dict[str, list] = {c: [] for c in ("lead", "key", "text_id", "first", "offset", "context")}
+        for r in batch.to_pylist():
+            text = None
+            for m in r["met"]:
+                if m["n_key"] <= group:
+                    text = text if text is not None else pa.decompress(r["packed"], r["size"], codec="zstd", asbytes=True)
+                    a = m["anchor"]
+                    row = (text[a : a + GRAM], m["key"], r["text_id"], m["first"], a - m["first"], text[m["first"] : m["last"] + PASSAGE])
+                    for c, v in zip(out, row, strict=True):
+                        out[c].append(v)
+        yield out
+
+    contexts = map_arrow(held, contexts, "lead binary, key long, text_id binary, first long, offset long, context binary", rows=32)
 
     def compared(g: pa.Table):
         first, offset, ids = g.column("first").to_pylist(), g.column("offset").to_pylist(), g.column("text_id").to_pylist()
@@ -280,9 +311,10 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
         if out:
             yield dict(zip(("text_id", "from", "to"), map(list, zip(*out, strict=True)), strict=True))
 
-    spans = each_group(contexts(True), ["lead", "key"], compared, "text_id binary, from long, to long", ranged=True)
-    if not by_text.where(F.exists("met", lambda m: m["n_key"] > group)).isEmpty():
-        spans = spans.union(_by_digest(contexts(False)))
+    spans = each_group(contexts, ["lead", "key"], compared, "text_id binary, from long, to long", ranged=True)
+    frequent = held.where(F.exists("met", lambda m: m["n_key"] > group))
+    if not frequent.isEmpty():
+        spans = spans.union(_of_frequent(frequent, group, scratch))
     spans = spans.groupBy("text_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     spans = scratch.keep(spans, "spans", compression="snappy")
 
@@ -314,28 +346,84 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
         f"case when {all_of_it} then array(named_struct('start', 0L, 'end', n_bytes)) else coalesce(spans, array()) end as spans",
     )
     out = scratch.keep(out, "cut")
-    scratch.drop("rows", "texts", "met", "held", "spans", "done")
+    scratch.drop("rows", "keys", "texts", "met", "held", *(f"level{n}{x}" for n in LEVELS for x in ("", "-counts", "-cores")), "spans", "done")
     return out
 
 
-def _by_digest(contexts: DataFrame) -> DataFrame:
-    """The same spans for grams with many suffixes: passages are counted by digest, pre-aggregated in each task."""
-    schema = "of binary, begin long, key long, before int, digest long"
+def _of_frequent(held: DataFrame, group: int, scratch: Scratch) -> DataFrame:
+    """text_id, from, to: the same spans for grams with more than `group` suffixes.
+
+    Their passages are cut finer, into strings of neighbouring passages on a grid that hangs on the gram, of fewer
+    and fewer passages. A string that occurs twice settles all of its passages; of strings that are equal one goes
+    on. The bytes that all passages of its cell of the grid share are its core: unless those occur in another
+    string too, none of its passages does, and it is done. What is left has an edge of a repeated passage inside, and is cut
+    again. Strings and cores are told apart by cryptographic digests of their bytes and their place, counted in
+    each task before they move; no task holds all of a gram's suffixes.
+    """
 
-    def windows(batch: pa.RecordBatch):
+    def runs(r: dict):
+        for m in r["met"]:
+            if m["n_key"] > group:
+                near, far = m["anchor"] - m["last"], m["anchor"] - m["first"]  # distances of the starts from the gram
+                for k in range(near // LEVELS[0], far // LEVELS[0] + 1):
+                    low, high = max(near, k * LEVELS[0]), min(far, (k + 1) * LEVELS[0] - 1)
+                    yield m["anchor"] - high, high - low + 1, high
+
+    texts = held.select(F.col("text_id").alias("held_id"), "packed", "size")
+    strings, spans = _digested(held.select("text_id", "packed", "size", "met"), runs, LEVELS[0]), None
+    for level, finer in zip(LEVELS, (*LEVELS[1:], 0), strict=True):
+        found, left = _settled(strings, scratch, f"level{level}")
+        spans = found if spans is None else spans.union(found)
+        if finer:
+            left = left.groupBy("text_id").agg(F.collect_list(F.struct("begin", "n", "before")).alias("rest")).join(texts, F.col("text_id") == F.col("held_id")).drop("held_id")
+            strings = _digested(left, lambda r, finer=finer: (x for s in r["rest"] for x in _pieces(s["begin"], s["n"], s["before"], finer)), finer)
+    return spans
+
+
+def _pieces(begin: int, n: int, before: int, size: int) -> Iterator[tuple[int, int, int]]:
+    """A string's passages in strings of `size` at most, cut where distances from the gram are multiples of it."""
+    while n:
+        own = min(n, before % size + 1)
+        yield begin, own, before
+        begin, n, before = begin + own, n - own, before - own
+
+
+def _digested(rows: DataFrame, strings: Callable[[dict], Iterable[tuple[int, int, int]]], size: int) -> DataFrame:
+    """text_id, begin, n, before, and digests of the string and the core of the n passages that start from `begin` on, of which the first lies `before` bytes ahead of its gram. size: of the grid's cells, in passages."""
+
+    def run(batch: pa.RecordBatch):
+        out: dict[str, list] = {c: [] for c in ("text_id", "begin", "n", "before", "digest", "core")}
         for r in batch.to_pylist():
-            raw = np.frombuffer(r["context"], np.uint8)
-            hashes = grams(raw, PASSAGE)
-            n = len(hashes)
-            yield {"of": [r["text_id"]] * n, "begin": r["first"] + np.arange(n), "key": np.full(n, r["key"]), "before": (r["offset"] - np.arange(n)).astype(np.int32), "digest": hashes.view(np.int64)}
+            text = pa.decompress(r["packed"], r["size"], codec="zstd", asbytes=True)
+            for begin, n, before in strings(r):
+                cell = before // size
+                core = begin + before - cell * size
+                whole = hashlib.blake2b(text[begin : begin + n - 1 + PASSAGE], digest_size=16, salt=b"%d,%d" % (before, n))
+                shared = hashlib.blake2b(text[core : core - size + 1 + PASSAGE], digest_size=16, salt=b"%d" % cell)
+                row = (r["text_id"], begin, n, before, whole.digest(), shared.digest())
+                for c, v in zip(out, row, strict=True):
+                    out[c].append(v)
+            if len(out["n"]) > 20_000:
+                yield out
+                out = {c: [] for c in out}
+        yield out
+
+    return map_arrow(rows, run, "text_id binary, begin long, n int, before int, digest binary, core binary", rows=32)
+
 
-    every = map_arrow(contexts, windows, schema)
-    twice = every.groupBy("key", "before", "digest").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = every.join(twice, ["key", "before", "digest"])
-    return hits.select(F.col("of").alias("text_id"), F.col("begin").alias("from"), (F.col("begin") + PASSAGE).alias("to"))
+def _settled(strings: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Spans of the strings that occur more than once; and, one of each, the strings whose core another one has too. Both sides of the joins are tables, so that a frequent digest is split over tasks."""
+    strings = scratch.keep(strings, name)
+    row = F.struct("text_id", "begin", "n", "before", "core")
+    counts = scratch.keep(strings.groupBy("digest").agg(F.count("*").alias("times"), F.min(row).alias("one")), f"{name}-counts")
+    twice = counts.where("times > 1").select(F.col("digest").alias("of"))
+    spans = strings.join(twice, F.col("digest") == F.col("of"), "left_semi").selectExpr("text_id", "begin as from", f"begin + n - 1 + {PASSAGE} as to")
+    ones = counts.select("one.*")
+    cores = scratch.keep(ones.groupBy("core").agg(F.count("*").alias("times")).where("times > 1").select(F.col("core").alias("of")), f"{name}-cores")
+    return spans, ones.join(cores, F.col("core") == F.col("of"), "left_semi")
 
 
 def op7_repeated_passages(spark, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of passages that occur more than once."""
+    """All documents, without the bytes of passages that occur more than once; and where those are."""
     cut = repeated_passages(table(spark, sf_dir, "documents"), Scratch(spark, "suffix"))
-    return cut.drop("spans")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"), "spans")
