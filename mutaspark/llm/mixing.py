@@ -83,6 +83,7 @@ def pareto_mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEI
     aims = aims.selectExpr("source as aim_source", "source_size", "target", "case when source_size > 0 then floor(target / source_size) else 0 end as whole")
     aims = aims.selectExpr("*", "case when source_size > 0 then target - whole * source_size else 0D end as rest")
     plan = aims.drop("rest").join(odds_of_size(rows, aims, scratch), F.expr("aim_source <=> of"), "left").drop("of")
+    plan = scratch.keep(plan, "plan")  # its size is known from here on, so that rows aren't dealt out by source where it is small
     drawn = rows.join(plan, rows.source.eqNullSafe(plan.aim_source)).drop("aim_source").withColumn("u", uniform(F.col("doc_id"), seed))
     drawn = drawn.withColumn("p", F.expr("case when size > 0 then case when size > sure then 1D else rate * size end end"))
     drawn = drawn.withColumn("q", F.expr("case when p < 1 and p > 0 then (u / (1 - u)) / (p / (1 - p)) end"))
