@@ -34,11 +34,20 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|changeme|change_me|example|p
 #: A literal is reported from this score on.
 REPORT = 0.8
 
-#: name = "literal", name: literal, "name": "literal", name := ..., NAME => ..., <name>literal</name> is left out. Names have any length: what may follow one is none of its characters, so nothing is tried again. One statement's left side and operator.
-LEFT = re.compile(r"""(?<![A-Za-z0-9_$.-])(?P<q>["'`]?)(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)(?P=q)(?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_\[\]|]*(?=\x20*=))?\x20*(?P<op>:=|=>|=(?![=>])|:(?![:/]))[\x20\t]*""", re.ASCII)
-#: The right side: quoted literals and names joined by + or . (string concatenation), or one bare word.
-ATOM = re.compile(r"""(?:[bBfFrRuU]{0,2}(?P<lit>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)|(?P<ref>\$?\{?[A-Za-z_$][A-Za-z0-9_$.-]*\}?)|(?P<bare>[^\s"'`,;(){}\[\]<>]+))""", re.ASCII)
+#: name = "literal", name: literal, "name": "literal", d["name"] = ..., name: type = ..., name := ..., NAME => ... Names have any length: what may follow one is none of its characters, so nothing is tried again. One statement's left side and operator.
+LEFT = re.compile(r"""(?<![A-Za-z0-9_$.-])(?P<q>["'`]?)(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)(?P=q)(?:\x20*\])?(?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_\[\]|]*(?=\x20*=))?\x20*(?P<op>:=|=>|=(?![=>])|:(?![:/]))[\x20\t]*""", re.ASCII)
+#: The right side: quoted literals, in three quotes over several lines, and names, joined by + or . (string concatenation), or one bare word.
+ATOM = re.compile(
+    r"""(?:[bBfFrRuU]{0,2}(?P<lit>\"{3}(?:[^"\\]|\\.|"(?!""))*+"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3}|"(?!"")(?:[^"\\\n]|\\.)*"|'(?!'')(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)|(?P<ref>\$?\{?[A-Za-z_$][A-Za-z0-9_$.-]*\}?)|(?P<bare>[^\s"'`,;(){}\[\]<>]+))""",
+    re.ASCII | re.DOTALL,
+)
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""", re.ASCII)
 JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|\|\|)[\x20\t]*", re.ASCII)
+#: What starts a comment, at a line's start or after white space.
+COMMENT = re.compile(r"(?:^|\s)(?:#|//|--\s|;|/?\*|<!--|%)", re.ASCII)
+#: Markup: <name>literal</name>, and key="name" value="literal".
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>\s*(?P<lit>[^<>\s](?:[^<>\n]*[^<>\s])?)\s*</(?P=name)\s*>", re.ASCII)
+ENTRY = re.compile(r"""(?<![A-Za-z0-9_-])(?:key|name)\s*=\s*(?P<q>["'])(?P<name>[^"'<>\n]*+)(?P=q)\s+(?:value|content)\s*=\s*(?P<r>["'])(?P<lit>[^"'<>\n]*+)(?P=r)""", re.ASCII)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
 
 
@@ -81,24 +90,30 @@ def literal_score(value: str) -> float:
 def lex(text: str) -> list[tuple[str, int, int, str, bool, list[tuple[int, int]]]]:
     """(name, start, end, value, own, behind) of each assignment, in order: the right side's place and the value after constants are propagated.
 
-    A right side may join literals and earlier names; a name has the value last given to it above. own: the right
-    side has a literal itself. behind: the places of the literals that names on it stand for, each once.
+    A right side may join literals and earlier names; a name has the value last given to it above. Assignments in
+    comments and those inside a literal are read, but give no name its value. own: the right side has a literal
+    itself. behind: the places of the literals that names on it stand for, each once.
     """
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     out = []
-    at = 0
+    at = quoted = seen = 0
+    commented = False
     while m := LEFT.search(text, at):
+        line = text.rfind("\n", seen, m.start()) + 1
+        commented = bool((commented and not line) or COMMENT.search(text[line or max(0, seen - 1) : m.start()]))
+        seen = m.start()
         at, value, start, whole = m.end(), "", m.end(), True
         end, own, behind = at, [], {}
         while atom := ATOM.match(text, end):
             if atom["lit"] is not None:
-                value += atom["lit"][1:-1]
-                own.append((atom.start("lit") + 1, atom.end("lit") - 1))
+                quotes = 3 if len(atom["lit"]) >= 6 and atom["lit"][:3] in ('"' * 3, "'" * 3) else 1
+                value += atom["lit"][quotes:-quotes]
+                own.append((atom.start("lit") + quotes, atom.end("lit") - quotes))
             elif atom["ref"] is not None and (ref := atom["ref"].strip("${}")) in known:
                 value += known[ref][0]
                 behind |= dict.fromkeys(known[ref][1])
             elif start == end and atom["ref"] is not None and not JOIN.match(text, atom.end()):  # a bare word of a configuration file
-                bare = re.compile(r"[^\s\"'`,;(){}\[\]<>]+", re.ASCII).match(text, end)
+                bare = BARE.match(text, end)
                 value, end = (bare[0], bare.end()) if bare else (atom[0], atom.end())
                 own.append((atom.start(), end))
                 break
@@ -114,16 +129,28 @@ def lex(text: str) -> list[tuple[str, int, int, str, bool, list[tuple[int, int]]
                 break
             end = more.end()
         if end > start and whole and value:
-            known[m["name"]] = value, [*dict.fromkeys([*behind, *own])]
-            first = text[start] in "\"'`"
-            out.append((m["name"], start + first, end - (text[end - 1] in "\"'`"), value, bool(own), [*behind]))
-            at = max(at, end)
+            if m.start() >= quoted and not commented:
+                known[m["name"]] = value, [*dict.fromkeys([*behind, *own])]
+            literal = text[start:end].lstrip("bBfFrRuU")[:1] in ("'", '"', "`") and bool(own)
+            if literal and len(own) == 1 and not behind:
+                start, end = own[0]
+            elif own and not behind and len(own) > 1:
+                start, end = own[0][0], own[-1][1]
+            else:
+                start, end = start + (text[start] in "\"'`"), end - (text[end - 1] in "\"'`")
+            out.append((m["name"], start, end, value, bool(own), [*behind]))
+            if literal:  # what the literals hold is read next
+                quoted = max(quoted, end)
+            else:
+                at = max(at, end)
+    if "<" in text:
+        out += [(x["name"], *x.span("lit"), x["lit"], True, []) for p in (ELEMENT, ENTRY) for x in p.finditer(text)]
     return out
 
 
 def likely(text: str) -> list[tuple[int, int, bool, list[tuple[int, int]]]]:
     """(start, end, own, behind) of the right sides that their targets' names and their value's look make likely secrets."""
-    if "=" not in text and ":" not in text:  # every operator has one of them
+    if "=" not in text and ":" not in text and "</" not in text:  # every operator and element has one of them
         return []
     return [(start, end, own, behind) for name, start, end, value, own, behind in lex(text) if (s := name_score(name)) >= 0.4 and s * 0.6 + literal_score(value) * 0.6 >= REPORT]
 
