@@ -358,7 +358,7 @@ def test_pack(spark):
 
     rows = [(i, t, s) for i, t, s in rows_of(n=100) if i is not None][:-1] + [(9001, "a<|endoftext|>b", "s"), (9002, "word " * 3000, None)]
     docs = documents(spark, rows)
-    got = packing.pack(docs, packing.Tokens("byte_bpe_50k.tiktoken"), Scratch(spark, "t"), sequence=256, window=4).toPandas()
+    got = packing.pack(docs, packing.Tokens("byte_bpe_50k.json"), Scratch(spark, "t"), sequence=256, window=4).toPandas()
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for i, t, _ in rows:
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -374,13 +374,36 @@ def test_pack(spark):
         if w < total // 1024:
             have = part.groupby("source", dropna=False).length.sum()
             assert all(abs(have.get(s, 0) - 1024 * share[s]) <= 1 for s in share.index)
-    assert packing.pack(docs.limit(0), packing.Tokens("byte_bpe_50k.tiktoken"), Scratch(spark, "t")).count() == 0
+    assert packing.pack(docs.limit(0), packing.Tokens("byte_bpe_50k.json"), Scratch(spark, "t")).count() == 0
+
+
+def test_windows_hold_target_proportions(spark):
+    """As long as every source has tokens, each window has them by the targets' weights; then the others share by weight what is left."""
+    rows = [(i, "word " * 40, "abc"[i % 3]) for i in range(240)]
+    docs = documents(spark, rows)
+    got = packing.pack(docs, packing.Tokens("byte_bpe_50k.json"), Scratch(spark, "t"), sequence=64, window=8, targets={"a": 5, "b": 2}).toPandas()
+    assert got.length.sum() == 240 * 42 or got.length.sum() == got.groupby("doc_id").doc_tokens.first().sum()
+    flat = got.sort_values(["sequence_id", "offset"])
+    assert (flat.offset == flat.groupby("sequence_id").length.cumsum() - flat.length).all()
+    by = got.groupby(["window", "source"]).length.sum().unstack(fill_value=0)
+    whole = got.groupby("source").length.sum()
+    sent = by.cumsum()
+    for k in by.index:
+        if all(sent.loc[k] < whole):
+            assert all(abs(by.loc[k, s] - 512 * w / 8) <= 1 for s, w in (("a", 5), ("b", 2), ("c", 1)))
+        elif sent.loc[k, "a"] == whole["a"] and all(sent.loc[k, s] < whole[s] for s in "bc") and k - 1 in by.index and sent.loc[k - 1, "a"] == whole["a"]:
+            assert abs(by.loc[k, "b"] - 512 * 2 / 3) <= 1
+    own = packing.Schedule([700, 50, 9], 64, 16, [1, 1, 3])
+    assert [sum(own.sent(s, own.rounds) for s in range(3)), own.sent(0, own.rounds)] == [759, 700]
+    for s, n in enumerate(own.totals):
+        places = [p for p in own.pieces(s, 0, n)]
+        assert sum(x[1] for x in places) == n
 
 
 def test_more_sources_than_queues(spark, monkeypatch):
     monkeypatch.setattr(packing, "QUEUES", 3)
     rows = [(i, "some text here", f"s{i % 11}") for i in range(60)]
-    got = packing.pack(documents(spark, rows), packing.Tokens("byte_bpe_50k.tiktoken"), Scratch(spark, "t"), sequence=16, window=2).toPandas()
+    got = packing.pack(documents(spark, rows), packing.Tokens("byte_bpe_50k.json"), Scratch(spark, "t"), sequence=16, window=2).toPandas()
     flat = got.sort_values(["sequence_id", "offset"])
     assert (flat.offset == flat.groupby("sequence_id").length.cumsum() - flat.length).all() and got.length.sum() == 60 * 4
 
@@ -390,7 +413,7 @@ def test_every_source_keeps_its_share_beyond_queues(spark, monkeypatch):
     r = random.Random(5)
     rows = [(i, "word " * r.choice([1, 3, 40]), [None, *(f"s{k}" for k in range(12)), "big"][min(13, r.randrange(24))]) for i in range(300)]
     docs = documents(spark, rows).coalesce(3).persist()
-    run = lambda name: packing.pack(docs, packing.Tokens("byte_bpe_50k.tiktoken"), Scratch(spark, name), sequence=32, window=4)
+    run = lambda name: packing.pack(docs, packing.Tokens("byte_bpe_50k.json"), Scratch(spark, name), sequence=32, window=4)
     known = collected(run("known"))
     monkeypatch.setattr(packing, "QUEUES", 3)
     got = run("joined")
@@ -405,7 +428,7 @@ def test_every_source_keeps_its_share_beyond_queues(spark, monkeypatch):
 
 
 def test_long_texts_are_tokenized_in_parts(monkeypatch):
-    tokens = packing.Tokens("byte_bpe_50k.tiktoken")
+    tokens = packing.Tokens("byte_bpe_50k.json")
     text = "It's  a test, isn't it?\n\n  yes 12 words<|endoftext|> été " * 40
     whole = tokens.ids(text)
     monkeypatch.setattr(packing, "PART", 50)
@@ -552,3 +575,29 @@ def test_secrets_of_long_names():
     text = "a." * 100 + 'pwd = "Xk29fLq83ZpTa7Vb"\n'
     assert [(k, text[s:e]) for s, e, k in secrets.scan(text)] == [("lexed", "Xk29fLq83ZpTa7Vb")]
     secrets.scan("a" * 1_000_000 + " = ")  # ends
+
+
+FORMS = [
+    '{n} = "{v}"', "{n}='{v}'", '  "{n}": "{v}",', "{n}: {v}", "export {n}={v}", '{n} := "{v}"', "{n} => '{v}'", 'd["{n}"] = "{v}"', '{n}: str = "{v}"', "{n} = `{v}`", '# {n} = "{v}"', '// {n}: "{v}"',
+    'run("x", {n}="{v}")', "{n} = \'\'\'{v}\'\'\'", '{n} = """{v}"""', "<{n}>{v}</{n}>", '<{n} kind="a"> {v} </{n}>', '<add key="{n}" value="{v}"/>', '{n} = b"{v}"', 'x = "{n}={v}"', "z = '{{\"{n}\": \"{v}\"}}'",
+]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_secrets_in_every_syntax(form):
+    """Each syntax, with names that are sensitive, weak or harmless and literals of several looks, against the scoring rule alone; other assignments around it change nothing."""
+    around = ["", "the text's own words, it's fine\n", 'first = "one"\nsecond: two\n', "if a == b: c(d)\n"]
+    for n in ("db_pwd", "client_private_key", "passphrase", "title", "signingKeyPath", "auth_conn", "dbCredentials"):
+        for v in ("Xk29fLq83ZpTa7Vb", "changeme", "aB3$xK9!mQ2#zT7p", "short", "q7z"):
+            want = (x := secrets.name_score(n)) >= 0.4 and x * 0.6 + secrets.literal_score(v) * 0.6 >= secrets.REPORT
+            for before in around:
+                text = before + form.format(n=n, v=v) + "\nlast = 3\n"
+                found = [text[s:e] for s, e, _ in secrets.lexed_spans(text)]
+                assert found == ([v] if want else []), (text, found)
+
+
+def test_secrets_of_comments_give_no_values():
+    text = 'K = "Zx81kfLq83ZpTa7Vb"\n# K = "Old1kfLq83ZpTa7Vb"\nnote = "K = other"\npassword = K\n'
+    assert [text[s:e] for s, e, k in secrets.scan(text) if k == "lexed"] == ["Zx81kfLq83ZpTa7Vb"]
+    for hard in ('a="""' * 3000, "a='b=\"" * 3000, '<a x="' * 3000, "<a>" * 5000, "a=" * 20_000, 'key="' * 5000, "\\" * 20_000 + "a='" + "\\" * 20_000):
+        secrets.scan(hard)  # ends soon
