@@ -33,7 +33,7 @@ def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: one row a piece of a document, with its ids."""
-    return packing.pack(docs, packing.Tokens("byte_bpe_50k.tiktoken"), Scratch(spark, "pack"))
+    return packing.pack(docs, packing.Tokens("byte_bpe_50k.json"), Scratch(spark, "pack"))
 
 
 STAGES = [
