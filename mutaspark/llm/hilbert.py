@@ -11,6 +11,8 @@ from .shared import Scratch, ranked, table
 
 #: Bits a dimension: 64 cells each.
 BITS = 6
+#: Steps a doubling by which sizes are counted.
+STEPS = 16
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -58,29 +60,43 @@ def cell_of_order(df: DataFrame, column: str, out: str, bits: int = BITS) -> Dat
     return df.join(cells, F.col(column).eqNullSafe(F.col("value")), "left").drop("value")
 
 
+def cell_of_size(df: DataFrame, column: str, out: str, bits: int = BITS) -> DataFrame:
+    """df with the cell of a column of whole numbers from 1 on: cells hold about equal numbers of rows, cut on a logarithmic scale of STEPS steps a doubling. The steps' counts, 63 * STEPS rows at most, are ordered."""
+    step = F.floor(F.log2(column) * STEPS)
+    counts = df.groupBy(step.alias("step")).agg(F.count("*").alias("n"))
+    cells = counts.selectExpr("step", f"cast((sum(n) over (order by step) - n) * {1 << bits} div sum(n) over () as int) as {out}")
+    return df.withColumn("own_step", step).join(cells, F.col("own_step") == F.col("step")).drop("own_step", "step")
+
+
 def hilbert_shards(docs: DataFrame, shards: int, scratch: Scratch, bits: int = BITS) -> DataFrame:
     """Each document's shard and its slot there, by the law "rows": shards' counts differ by one at most.
 
-    docs: doc_id, text, lang, source. Dimensions: source and language in code point order, and the size on a
-    logarithmic scale. Files of consecutive slots so have narrow ranges of all three at once, and readers that
-    filter on any of them skip most files. Copies of one text with equal metadata have one curve index and lie
-    together. Returns doc_id, size (UTF-8 bytes of the text, null none, and 1), text_crc32, curve, shard, slot.
+    docs: doc_id, text, lang, source. Dimensions: source and language in code point order, and the size, all
+    quantised. Files of consecutive slots so have narrow ranges of all three at once, and readers that filter on any
+    of them skip most files. Documents with equal texts (told by length and two checksums, 96 bits) are a group: all
+    have the source and language of the one with the smallest doc_id, so a group lies together on the curve, and
+    only a cut between two shards can part it; there are `shards` - 1 cuts, wherever groups lie, as counts must be
+    even. Returns doc_id, size (UTF-8 bytes of the text, null none, and 1), text_crc32, curve, shard, slot.
 
-    Null texts count as empty; null sources and languages have the last cell; ties fall by the text's checksum,
+    Null texts count as empty; null sources and languages have the last cell; ties fall by the text's checksums,
     then doc_id (null first), and rows that are equal in all that are interchangeable. Repeated rows each have a
     slot. An empty table gives no rows. Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    meta = docs.select("doc_id", "lang", "source", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    meta = docs.select("doc_id", "lang", "source", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
     meta = scratch.keep(meta, "meta")
-    placed = cell_of_order(cell_of_order(meta, "source", "c0", bits), "lang", "c1", bits)
-    grid = (1 << bits) - 1
-    by_size = F.least(F.lit(grid), F.floor(F.log2("size") * (grid + 1) / 32)).cast("int")
-    placed = placed.select("doc_id", "size", "text_crc32", curve([F.col("c0"), F.col("c1"), by_size], bits).alias("curve"))
-    run = ranked(placed, ["curve", "text_crc32", "doc_id"], scratch, "ordered")
+    groups = meta.groupBy("text_hash", "text_crc32", "size").agg(F.min(F.struct("doc_id", "source", "lang")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = scratch.keep(groups.selectExpr("text_hash as h", "text_crc32 as c", "size as s", "first"), "groups")
+    meta = meta.join(groups, F.expr("text_hash = h and text_crc32 = c and size = s"), "left")
+    meta = meta.selectExpr("doc_id", "size", "text_crc32", "text_hash", "case when first is null then source else first.source end as source", "case when first is null then lang else first.lang end as lang")
+    meta = scratch.keep(meta, "grouped")
+    placed = cell_of_size(cell_of_order(cell_of_order(meta, "source", "c0", bits), "lang", "c1", bits), "size", "c2", bits)
+    placed = placed.select("doc_id", "size", "text_crc32", "text_hash", curve([F.col("c0"), F.col("c1"), F.col("c2")], bits).alias("curve"))
+    run = ranked(placed, ["curve", "text_crc32", "text_hash", "doc_id"], scratch, "ordered")
     shard = F.expr(f"cast(rank * {shards} div n_rows as int)")
     first = F.expr(f"(cast(shard as long) * n_rows + {shards - 1}) div {shards}")
-    return run.withColumn("shard", shard).withColumn("slot", F.col("rank") - first).drop("rank", "n_rows")
+    scratch.drop("meta", "groups", "grouped")
+    return run.withColumn("shard", shard).withColumn("slot", F.col("rank") - first).drop("rank", "n_rows", "text_hash")
 
 
 def op4_hilbert_shards(spark, sf_dir: str) -> DataFrame:
