@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,12 +19,13 @@ from .shared import Scratch, map_arrow, table
 PASSAGE, GRAM = 400, 24
 #: Bytes handled at once; longer texts go in overlapping pieces.
 PIECE = 1 << 18
-#: Suffixes of one gram that are sorted in one task, some 2 MB; the passages of grams with more are cut finer.
-GROUP = 2048
+#: Suffixes of one gram that are sorted in one task, some 4 MB; the passages of grams with more are cut finer.
+GROUP = 4096
 #: How many neighbouring passages a frequent gram's suffixes are cut into, again and again.
 LEVELS = (64, 8, 1)
 #: Sorted neighbours up to so many are compared with each other one by one.
 FEW = 12
+SPANS = "array<struct<from: long, to: long>>"
 PLACE = np.uint64((1 << 24) - 1)
 BASE = STEP | np.uint64(1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -312,10 +314,10 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
             yield dict(zip(("text_id", "from", "to"), map(list, zip(*out, strict=True)), strict=True))
 
     spans = each_group(contexts, ["lead", "key"], compared, "text_id binary, from long, to long", ranged=True)
+    spans = spans.groupBy("text_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     frequent = held.where(F.exists("met", lambda m: m["n_key"] > group))
     if not frequent.isEmpty():
-        spans = spans.union(_of_frequent(frequent, group, scratch))
-    spans = spans.groupBy("text_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+        spans = spans.union(_of_frequent(frequent, group, scratch)).groupBy("text_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = scratch.keep(spans, "spans", compression="snappy")
 
     schema = "id binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
@@ -351,7 +353,7 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, group: int = GROUP) ->
 
 
 def _of_frequent(held: DataFrame, group: int, scratch: Scratch) -> DataFrame:
-    """text_id, from, to: the same spans for grams with more than `group` suffixes.
+    """text_id, spans: the same for grams with more than `group` suffixes.
 
     Their passages are cut finer, into strings of neighbouring passages on a grid that hangs on the gram, of fewer
     and fewer passages. A string that occurs twice settles all of its passages; of strings that are equal one goes
@@ -370,14 +372,14 @@ def _of_frequent(held: DataFrame, group: int, scratch: Scratch) -> DataFrame:
                     yield m["anchor"] - high, high - low + 1, high
 
     texts = held.select(F.col("text_id").alias("held_id"), "packed", "size")
-    strings, spans = _digested(held.select("text_id", "packed", "size", "met"), runs, LEVELS[0]), None
+    strings, spans = _digested(held.select("text_id", "packed", "size", "met"), runs, LEVELS[0]), []
     for level, finer in zip(LEVELS, (*LEVELS[1:], 0), strict=True):
-        found, left = _settled(strings, scratch, f"level{level}")
-        spans = found if spans is None else spans.union(found)
+        found, left = _settled(strings, scratch, f"level{level}", bool(finer))
+        spans += found
         if finer:
             left = left.groupBy("text_id").agg(F.collect_list(F.struct("begin", "n", "before")).alias("rest")).join(texts, F.col("text_id") == F.col("held_id")).drop("held_id")
             strings = _digested(left, lambda r, finer=finer: (x for s in r["rest"] for x in _pieces(s["begin"], s["n"], s["before"], finer)), finer)
-    return spans
+    return functools.reduce(DataFrame.union, spans)
 
 
 def _pieces(begin: int, n: int, before: int, size: int) -> Iterator[tuple[int, int, int]]:
@@ -389,35 +391,41 @@ def _pieces(begin: int, n: int, before: int, size: int) -> Iterator[tuple[int, i
 
 
 def _digested(rows: DataFrame, strings: Callable[[dict], Iterable[tuple[int, int, int]]], size: int) -> DataFrame:
-    """text_id, begin, n, before, and digests of the string and the core of the n passages that start from `begin` on, of which the first lies `before` bytes ahead of its gram. size: of the grid's cells, in passages."""
+    """The distinct strings of each text: text_id, begin, n, before (n passages start from `begin` on, the first `before` bytes ahead of its gram), digests of the string and its core, times it occurs in the text, and spans. size: of the grid's cells, in passages."""
 
     def run(batch: pa.RecordBatch):
-        out: dict[str, list] = {c: [] for c in ("text_id", "begin", "n", "before", "digest", "core")}
+        out: dict[str, list] = {c: [] for c in ("text_id", "begin", "n", "before", "digest", "core", "times", "spans")}
         for r in batch.to_pylist():
             text = pa.decompress(r["packed"], r["size"], codec="zstd", asbytes=True)
+            own: dict[bytes, list] = {}
             for begin, n, before in strings(r):
+                digest = hashlib.blake2b(text[begin : begin + n - 1 + PASSAGE], digest_size=16, salt=b"%d,%d" % (before, n)).digest()
+                own.setdefault(digest, []).append((begin, n, before))
+            for digest, places in own.items():
+                begin, n, before = places[0]
                 cell = before // size
                 core = begin + before - cell * size
-                whole = hashlib.blake2b(text[begin : begin + n - 1 + PASSAGE], digest_size=16, salt=b"%d,%d" % (before, n))
                 shared = hashlib.blake2b(text[core : core - size + 1 + PASSAGE], digest_size=16, salt=b"%d" % cell)
-                row = (r["text_id"], begin, n, before, whole.digest(), shared.digest())
-                for c, v in zip(out, row, strict=True):
+                spans = [{"from": a, "to": b} for a, b in merged([(a, a + n - 1 + PASSAGE) for a, _, _ in places])]
+                for c, v in zip(out, (r["text_id"], begin, n, before, digest, shared.digest(), len(places), spans), strict=True):
                     out[c].append(v)
             if len(out["n"]) > 20_000:
                 yield out
                 out = {c: [] for c in out}
         yield out
 
-    return map_arrow(rows, run, "text_id binary, begin long, n int, before int, digest binary, core binary", rows=32)
+    return map_arrow(rows, run, f"text_id binary, begin long, n int, before int, digest binary, core binary, times long, spans {SPANS}", rows=32)
 
 
-def _settled(strings: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """Spans of the strings that occur more than once; and, one of each, the strings whose core another one has too. Both sides of the joins are tables, so that a frequent digest is split over tasks."""
+def _settled(strings: DataFrame, scratch: Scratch, name: str, more: bool) -> tuple[list[DataFrame], DataFrame | None]:
+    """Spans of the strings that occur more than once, in one text or in several; and, if more is asked for, one of each string whose core another one has too. Both sides of the joins are tables, so that a frequent digest is split over tasks."""
     strings = scratch.keep(strings, name)
-    row = F.struct("text_id", "begin", "n", "before", "core")
-    counts = scratch.keep(strings.groupBy("digest").agg(F.count("*").alias("times"), F.min(row).alias("one")), f"{name}-counts")
+    counts = strings.groupBy("digest").agg(F.sum("times").alias("times"), F.min(F.struct("text_id", "begin", "n", "before", "core")).alias("one"))
+    counts = scratch.keep(counts if more else counts.where("times > 1").select("digest", "times"), f"{name}-counts")
     twice = counts.where("times > 1").select(F.col("digest").alias("of"))
-    spans = strings.join(twice, F.col("digest") == F.col("of"), "left_semi").selectExpr("text_id", "begin as from", f"begin + n - 1 + {PASSAGE} as to")
+    spans = [strings.where("times > 1").select("text_id", "spans"), strings.where("times = 1").join(twice, F.col("digest") == F.col("of"), "left_semi").select("text_id", "spans")]
+    if not more:
+        return spans, None
     ones = counts.select("one.*")
     cores = scratch.keep(ones.groupBy("core").agg(F.count("*").alias("times")).where("times > 1").select(F.col("core").alias("of")), f"{name}-cores")
     return spans, ones.join(cores, F.col("core") == F.col("of"), "left_semi")
