@@ -57,7 +57,7 @@ def norm_digest(text: Column) -> Column:
 
 
 def digest_state(store: str, spark: SparkSession) -> DataFrame:
-    """Streams the rows under `store`/rows that no earlier run has seen into the state at `store`/state; digest, keep_id, file, place, group_size: one row a digest.
+    """Streams the rows under `store`/rows that no earlier run has seen into the state at `store`/state; digest, keep_id, keep_file, keep_place, group_size: one row a digest.
 
     State is keyed by digest and lives in RocksDB on the executors' disks, its changes under `store`; nothing
     expires. A key holds the largest doc_id, where that row's content lies, and the number of rows.
@@ -71,9 +71,7 @@ def digest_state(store: str, spark: SparkSession) -> DataFrame:
         (keep,) = [f.name for f in read.schema["value"].dataType.fields if isinstance(f.dataType, T.StructType)]
         (count,) = [f.name for f in read.schema["value"].dataType.fields if isinstance(f.dataType, T.LongType)]
         kept = F.col("value")[keep]
-        out = read.select(F.col("key.digest").alias("digest"), kept["doc_id"].alias("keep_id"), kept["file"].alias("file"), kept["place"].alias("place"), F.col("value")[count].alias("group_size"))
-        out.write.mode("overwrite").parquet(f"{store}/read")
-    return spark.read.schema(out.schema).parquet(f"{store}/read")
+    return read.select(F.col("key.digest").alias("digest"), kept["doc_id"].alias("keep_id"), kept["file"].alias("keep_file"), kept["place"].alias("keep_place"), F.col("value")[count].alias("group_size"))
 
 
 def exact_duplicates(docs: DataFrame, scratch: Scratch, store: str | None = None) -> DataFrame:
@@ -100,15 +98,13 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, store: str | None = None
     rows = spark.read.schema(ROWS).parquet(f"{own}/rows/run={run}")
     if rows.isEmpty():
         return rows.selectExpr("doc_id", "doc_id as keep_id", "1L as group_size", "true as kept", "'' as text_sha256", "true as stays", "file", "place")
-    state = digest_state(own, spark).withColumnsRenamed({"file": "keep_file", "place": "keep_place"})
-    found = rows.join(state, "digest", "left").withColumn("stays", F.expr("file = keep_file and place = keep_place"))
-    found = scratch.keep(found, "looked")
+    found = rows.join(digest_state(own, spark), "digest", "left").withColumn("stays", F.expr("file = keep_file and place = keep_place"))
+    with _stores(spark):
+        found = scratch.keep(found, "looked")
     if not (differ := _differing(lying.select(F.col(file).alias("at_file"), F.col(place).alias("at_place"), "text"), found, scratch)).isEmpty():
-        found = _apart(lying.select(F.col(file).alias("at_file"), F.col(place).alias("at_place"), "text"), found, differ)
-    found = found.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "stays", "file", "place")
-    found = scratch.keep(found, "found")
-    scratch.drop("looked", "differ", "store")
-    return found
+        found = scratch.keep(_apart(lying.select(F.col(file).alias("at_file"), F.col(place).alias("at_place"), "text"), found, differ), "apart")
+    scratch.drop("differ", "store/rows", "store/state")
+    return found.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "stays", "file", "place")
 
 
 def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
