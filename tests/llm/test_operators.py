@@ -1,6 +1,8 @@
 """The ten operators on small fixtures against plain definitions: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, large groups."""
 
+import bisect
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -336,13 +338,41 @@ def test_shards(spark):
     for r in got:
         by.setdefault(r.shard, []).append(r.slot)
     assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
-    curve = [r.curve for r in sorted(got, key=lambda r: (r.shard, r.slot))]
-    assert curve == sorted(curve)
+    run = sorted(got, key=lambda r: (r.shard, r.slot))
+    # The order by its definition: cells of each dimension, the curve's index, checksums, doc_id.
+    first = {}
+    for i, t, s in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        first.setdefault(t or "", (s, "en" if i is None or i % 2 else None))
+    places = lambda values: {v: k * 64 // len(order) for order in [sorted(x for x in set(values) if x is not None) + [None] * (None in values)] for k, v in enumerate(order)}
+    metas = [first[t or ""] for _, t, _ in rows]
+    sources, langs = places([m[0] for m in metas]), places([m[1] for m in metas])
+    steps = sorted(math.floor(math.log2(len((t or "").encode()) + 1) * 16) for _, t, _ in rows)
+    cells = [(sources[m[0]], langs[m[1]], bisect.bisect_left(steps, math.floor(math.log2(len((t or "").encode()) + 1) * 16)) * 64 // len(rows)) for m, (_, t, _) in zip(metas, rows, strict=True)]
+    index = hilbert.hilbert_index(np.array(cells), 6)
+    want = sorted((int(k), zlib.crc32((t or "").encode()), i is not None, i or 0) for k, (i, t, _) in zip(index, rows, strict=True))
+    assert [(r.curve, r.text_crc32, r.doc_id is not None, r.doc_id or 0) for r in run] == want
+    where = {}
+    for r in got:
+        where.setdefault(r.text_crc32, set()).add(r.shard)
+    assert sum(len(x) > 1 for x in where.values()) <= 7
     text = {i: t or "" for i, t, _ in rows if i is not None}
     assert all(r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got if r.doc_id is not None)
     assert hilbert.hilbert_shards(documents(spark, rows).limit(0), 8, Scratch(spark, "t")).count() == 0
 
 
+def test_files_along_the_curve_are_skipped(spark):
+    """Files of consecutive slots hold narrow ranges of every dimension: a filter on one of them opens few files of many."""
+    r = random.Random(4)
+    rows = [(i, f"{i:08}" + "w" * int(2 ** r.uniform(3, 14)), f"s{r.randrange(16)}", r.choice(["de", "en", "fr", "es"])) for i in range(4096)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    place = {x.doc_id: x.shard * 512 + x.slot for x in hilbert.hilbert_shards(docs, 8, Scratch(spark, "t")).collect()}
+    files = {}
+    for i, t, s, lang in rows:
+        files.setdefault(place[i] // 64, []).append((s, lang, len(t)))
+    opened = lambda k, wanted: sum(min(x[k] for x in f) <= wanted <= max(x[k] for x in f) for f in files.values()) / len(files)
+    assert np.mean([opened(0, f"s{k}") for k in range(16)]) < 0.35 and np.mean([opened(1, x) for x in ("de", "en", "es", "fr")]) < 0.6 and np.mean([opened(2, 2**k) for k in range(4, 14)]) < 0.45
+
+
 @pytest.mark.parametrize("dims, bits", [(2, 4), (3, 3)])
 def test_curve_visits_neighbours(dims, bits):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
