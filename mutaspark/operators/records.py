@@ -26,14 +26,28 @@ def typed(log: DataFrame, naming: Naming = NAMING) -> DataFrame:
     return log.withColumns({"record_type": h(naming.type_header), "key_id": h(naming.key_header), "signature": F.try_to_binary(h(naming.signature_header), F.lit("base64"))})
 
 
+FIELDS = {S.COMMAND: S.COMMAND_FIELDS, S.RESPONSE: S.RESPONSE_FIELDS, S.RESULT: S.RESULT_FIELDS}
+
+
+def json_text(value: Column) -> Column:
+    """A record's value as text where it is JSON."""
+    text = value.cast("string")
+    return F.when(F.is_valid_utf8(text) & F.try_parse_json(text).isNotNull(), text)
+
+
 def decoded(log: DataFrame, kind: str, as_: str) -> DataFrame:
     """The log with a record of one type as a struct, null where it isn't JSON of that shape, and `unknown_fields`, which strict readers refuse. Bodies stay as they are on the wire."""
-    fields = {S.COMMAND: S.COMMAND_FIELDS, S.RESPONSE: S.RESPONSE_FIELDS, S.RESULT: S.RESULT_FIELDS}[kind]
-    text = F.when(F.is_valid_utf8(F.col("value").cast("string")), F.col("value").cast("string"))
     known = F.array(*[F.lit(n.lower()) for n in KNOWN_FIELDS[kind]])
     keys = F.transform(F.json_object_keys("value_text"), lambda k: F.lower(k))
-    parsed = F.from_json("value_text", fields, {"mode": "PERMISSIVE"})
-    return log.withColumn("value_text", text).withColumns({as_: F.when(F.try_parse_json("value_text").isNotNull(), parsed), "unknown_fields": F.array_except(keys, known)}).drop("value_text")
+    parsed = F.from_json("value_text", FIELDS[kind], {"mode": "PERMISSIVE"})
+    return log.withColumn("value_text", json_text(F.col("value"))).withColumns({as_: parsed, "unknown_fields": F.array_except(keys, known)}).drop("value_text")
+
+
+def decoded_by_type(log: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The log with a column for each of several types (type: column); each record is parsed once, as its own type."""
+    rows = log.withColumn("value_text", F.when(F.col("record_type").isin(*kinds), json_text(F.col("value"))))
+    own = {as_: F.when(F.col("record_type") == kind, F.from_json("value_text", FIELDS[kind], {"mode": "PERMISSIVE"})) for kind, as_ in kinds.items()}
+    return rows.withColumns(own).drop("value_text")
 
 
 def with_bodies(records: DataFrame, wire: Column | str, as_: str = "body") -> DataFrame:
@@ -111,7 +125,7 @@ def audit_entries(log: DataFrame, keys: DataFrame | None = None, naming: Naming
     """
     rows = committed(log)
     rows = authenticated(rows, keys, naming) if keys is not None else typed(rows, naming).withColumn("authenticity", F.lit("unverified"))
-    rows = decoded(decoded(rows, S.COMMAND, "own").drop("unknown_fields"), S.RESULT, "result").drop("unknown_fields")
+    rows = decoded_by_type(rows, {S.COMMAND: "own", S.RESULT: "result"})
     is_command, is_result = F.col("record_type") == S.COMMAND, F.col("record_type") == S.RESULT
     c = F.when(is_command, F.col("own")).when(is_result, F.col("result.command"))
     r, result = F.col("result.response"), F.col("result")

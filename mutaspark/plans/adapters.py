@@ -41,9 +41,15 @@ def contract() -> Contract:
     return load(SERVICE, CONTRACT)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, which so is small, is dealt out to all of them; a larger one stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an event: who asked what of which service, and what became of it. Views are reads, which never enter the log."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
     kinds = {
         "signup": ("POST", "orders", "createOrder", "/orders", 201), "purchase": ("POST", "payments", "createCharge", "/charges", 201),
         "click": ("PUT", "orders", "replaceOrder", "/orders/{orderId}", 200), "error": ("DELETE", "orders", "deleteOrder", "/orders/{orderId}", 204),
