@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mutaspark.schema import FAULTS
 
@@ -34,23 +36,37 @@ class Entry:
         return not (self.outcome == "NotExecuted" or (self.outcome == "OutcomeUnknown" and replayable))
 
 
-@dataclass(frozen=True)
+@dataclass
 class State:
-    """A scope's entry and the requests that were answered without owning it."""
+    """A scope's entry, and until when the requests that were answered without owning it are remembered; `decide` changes it in place. pruned: how many were left when the expired ones last went."""
 
     entry: Entry | None = None
-    answered: frozenset[str] = frozenset()
+    answered: dict[str, int] = field(default_factory=dict)
+    pruned: int = 0
+
+    def remember(self, request_id: str, until: int, now: int) -> None:
+        self.answered[request_id] = until
+        if len(self.answered) > 2 * self.pruned + 64:
+            self.answered = {r: t for r, t in self.answered.items() if t >= now}
+            self.pruned = len(self.answered)
+
+    def keep_until(self) -> int | None:
+        """When nothing of it is needed any more; None while a started entry waits for its end, which may come whenever."""
+        if self.entry and not self.entry.purge_after:
+            return None
+        return max([self.entry.purge_after if self.entry else 0, *self.answered.values()])
 
 
 @dataclass(frozen=True)
 class Settings:
-    """skew and window in microseconds; memory_start by partition: nothing below is executed; blind_until: keyed requests that aren't known aren't executed before."""
+    """skew and window in microseconds; by partition: watermark, below which all is settled, and memory_start, below which nothing is executed; blind_until: keyed requests that aren't known aren't executed before; tries: of what may be run again, until its outcome is known."""
 
     skew: int = 30_000_000
     retention: int = 86_400_000_000
     memory_start: tuple[tuple[int, int], ...] = ()
     blind_until: int = 0
     tries: int = 3
+    watermark: tuple[tuple[int, int], ...] = ()
 
 
 def outcome(status: int, fault: str, upstream: int) -> str:
@@ -66,34 +82,49 @@ def decide(state: State, c: dict, settings: Settings = Settings()) -> tuple[Stat
     c: request_id, fingerprint, partition, offset, now, expires_at (microseconds), keyed, authentic, routed,
     stale, secret (whether it carries one), drift, replayable, and the recorded attempt: attempt_status (None:
     there was none), attempt_fault, attempt_upstream. A command without an attempt that isn't replayable left a
-    started entry behind when its bridge died.
+    started entry behind when its bridge died. Where they are known: own, whether an attempt of this very command
+    is under way, and called, whether its call went out (own with an attempt_status: it was answered);
+    redacted_fingerprint, of a command without its secret; and attempts, the answers (status, fault, upstream) to
+    further tries of a replayable command whose outcome stayed unknown.
     """
     e, rid = state.entry, c["request_id"]
     if e and e.purge_after and c["now"] > e.purge_after:
-        e, state = None, replace(state, entry=None)
+        e = state.entry = None
+    if c["offset"] < dict(settings.watermark).get(c["partition"], 0):
+        return state, None
     if not c["routed"] or not c["authentic"]:
         return state, None
     if rid in state.answered:
         return state, None
 
-    def end(action: str, status: int, fault: str, own: bool, upstream: int = 0) -> tuple[State, dict]:
+    def end(action: str, status: int, fault: str, own: bool, upstream: int = 0, fingerprint: str | None = None) -> tuple[State, dict]:
         what = outcome(status, fault, upstream)
         decision = {"action": action, "status": status, "fault": fault, "outcome": what, "replay_of": "", "result": True}
         keep = c["expires_at"] + 2 * settings.skew
-        if not own:
-            return replace(state, answered=state.answered | {rid}), decision
-        kept = max(keep, c["now"] + settings.retention) if c["keyed"] else keep
-        return replace(state, entry=Entry(rid, c["fingerprint"], "done", what, status, fault, True, kept)), decision
-
-    def refuse(fault: str, own: bool):
-        return end("refuse", STATUS[fault], fault, own)
+        if own:
+            kept = max(keep, c["now"] + settings.retention) if c["keyed"] else keep
+            state.entry = Entry(rid, fingerprint or c["fingerprint"], "done", what, status, fault, True, kept)
+        else:
+            state.remember(rid, keep, c["now"])
+        return state, decision
+
+    def refuse(fault: str, own: bool, fingerprint: str | None = None):
+        return end("refuse", STATUS[fault], fault, own, fingerprint=fingerprint)
+
+    def answered():
+        tries = [(c["attempt_status"], c["attempt_fault"], c["attempt_upstream"]), *((x["status"], x["fault"], x["upstream"]) for x in c.get("attempts") or ())]
+        for status, fault, upstream in tries[: settings.tries]:
+            if not (c["replayable"] and fault == "outcome_unknown"):
+                break
+        return end("execute", int(status), fault or "", True, int(upstream or 0))
 
     def execute():
-        if c["attempt_status"] is None:
-            if c["replayable"]:
-                return refuse("outcome_unknown", True)
-            return replace(state, entry=Entry(rid, c["fingerprint"], "started")), {"action": "started", "status": 0, "fault": "", "outcome": "", "replay_of": "", "result": False}
-        return end("execute", int(c["attempt_status"]), c["attempt_fault"] or "", True, int(c["attempt_upstream"] or 0))
+        if c["attempt_status"] is not None:
+            return answered()
+        if c["replayable"]:
+            return refuse("outcome_unknown", True)
+        state.entry = Entry(rid, c["fingerprint"], "started")
+        return state, {"action": "started", "status": 0, "fault": "", "outcome": "", "replay_of": "", "result": False}
 
     if c["offset"] < dict(settings.memory_start).get(c["partition"], 0):
         if e and e.request_id == rid and e.phase == "done" and e.answered:
@@ -102,13 +133,17 @@ def decide(state: State, c: dict, settings: Settings = Settings()) -> tuple[Stat
     if e and e.request_id == rid:
         if e.phase == "done":
             return state, None
+        if c.get("own") and c["attempt_status"] is not None:
+            return answered()
+        if c.get("own") and not c.get("called") and not c["drift"]:
+            return execute()
         if not c["drift"] and c["replayable"] and not c["stale"]:
             return execute()
         return refuse("outcome_unknown", True)
     if c["stale"]:
         return refuse("command_stale", e is None)
     if c["secret"]:
-        return refuse("secret_in_command", e is None)
+        return refuse("secret_in_command", e is None, c.get("redacted_fingerprint"))
     if c["drift"]:
         return refuse("operation_mismatch", e is None)
     if e:
@@ -117,20 +152,37 @@ def decide(state: State, c: dict, settings: Settings = Settings()) -> tuple[Stat
         if e.claims(c["replayable"]):
             if e.phase == "done":
                 decision = {"action": "replay", "status": e.status, "fault": e.fault, "outcome": e.outcome, "replay_of": e.request_id, "result": False}
-                return replace(state, answered=state.answered | {rid}), decision
+                state.remember(rid, c["expires_at"] + 2 * settings.skew, c["now"])
+                return state, decision
             return refuse("idempotency_in_flight", False)
     if c["keyed"] and c["now"] < settings.blind_until:
         return refuse("outcome_unknown", False)
+    if c.get("called") and c["attempt_status"] is None and not c["replayable"]:
+        return refuse("outcome_unknown", True)
     return execute()
 
 
 INPUT = ("dedup_key", "request_id", "fingerprint", "partition", "offset", "now", "expires_at", "keyed", "authentic", "routed", "stale", "secret", "drift", "replayable", "attempt_status", "attempt_fault", "attempt_upstream")
+#: What a log may hold beside; null where it doesn't.
+OPTIONAL = {"own": "boolean", "called": "boolean", "redacted_fingerprint": "string", "attempts": "array<struct<status: int, fault: string, upstream: int>>"}
 OUTPUT = "dedup_key string, request_id string, partition int, offset long, action string, status int, fault string, outcome string, replay_of string, result boolean"
 
 
+def inputs(commands: DataFrame) -> DataFrame:
+    """The columns that `decide` takes."""
+    have = set(commands.columns)
+    return commands.select(*INPUT, *[F.col(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in OPTIONAL.items()])
+
+
 def plain(row) -> dict:
     """A row of pandas or Arrow as plain values; NaN and NA are None."""
-    return {k: None if v is None or v is pd.NA or v != v else v.item() if hasattr(v, "item") else v for k, v in row.items()}
+    return {k: _plain(v) for k, v in row.items()}
+
+
+def _plain(v):
+    if isinstance(v, (list, np.ndarray)):
+        return [plain(x if isinstance(x, dict) else x.asDict()) for x in v]
+    return None if v is None or v is pd.NA or v != v else v.item() if hasattr(v, "item") else v
 
 
 def decided(c: dict, d: dict) -> dict:
@@ -153,4 +205,4 @@ def replayed(commands: DataFrame, settings: Settings = Settings()) -> DataFrame:
                     out.append(decided(c, d))
             yield pd.DataFrame(out, columns=names)
 
-    return commands.select(*INPUT).repartition("dedup_key").sortWithinPartitions("dedup_key", "partition", "offset").mapInPandas(run, OUTPUT)
+    return inputs(commands).repartition("dedup_key").sortWithinPartitions("dedup_key", "partition", "offset").mapInPandas(run, OUTPUT)

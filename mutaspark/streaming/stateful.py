@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mutaspark.operators.machine import INPUT, OUTPUT, Entry, Settings, State, decide, decided, plain
+from mutaspark.operators.machine import OUTPUT, Entry, Settings, State, decide, decided, inputs, plain
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "request_id string, partition int, offset long, completed_us long, kind string, reason string, details string, event_topic string, event_key string, event_value string"
@@ -54,39 +54,55 @@ def events_once(candidates: DataFrame, window_s: int, now_us: int | None = None)
 
 
 def packed(state: State) -> str:
-    return json.dumps({"entry": asdict(state.entry) if state.entry else None, "answered": sorted(state.answered)})
+    return json.dumps({"entry": asdict(state.entry) if state.entry else None, "answered": state.answered, "pruned": state.pruned})
 
 
 def unpacked(text: str) -> State:
     raw = json.loads(text)
-    return State(Entry(**raw["entry"]) if raw["entry"] else None, frozenset(raw["answered"]))
+    return State(Entry(**raw["entry"]) if raw["entry"] else None, raw["answered"], raw["pruned"])
 
 
 def decisions(commands: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """A stream of commands with what the bridge decides of each: `decide`, driven with one scope's state."""
+    """A stream of commands with what the bridge decides of each: `decide`, driven with one scope's state.
+
+    A scope's state goes when all it remembers has expired: the time that is left at its last command, by the
+    command's own clock, runs on by that of the machine. No command is dropped for being late.
+    """
     names = [x.split()[0] for x in OUTPUT.split(", ")]
 
     def step(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, out = unpacked(held.get[0]) if held.exists else State(), []
+        if held.hasTimedOut:
+            held.remove()
+            return
+        state, out, now = unpacked(held.get[0]) if held.exists else State(), [], 0
         for c in _in_order(frames):
+            now = max(now, c["now"])
             state, d = decide(state, c, settings)
             if d:
                 out.append(decided(c, d))
-        held.update((packed(state),))
+        if (until := state.keep_until()) == 0:
+            if held.exists:
+                held.remove()
+        else:
+            held.update((packed(state),))
+            if until is not None:
+                held.setTimeoutDuration(max(1000, (until - now) // 1000))
         yield pd.DataFrame(out, columns=names)
 
-    return commands.select(*INPUT).groupBy("dedup_key").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    return inputs(commands).groupBy("dedup_key").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, checkpoint: str, write, mode: str = "append"):
-    """Runs a stream over what there is now, with its state in RocksDB, and waits. write: a foreachBatch function."""
+    """Runs a stream over what there is now, with its state in RocksDB, and waits. write: a foreachBatch function. There are no batches without data, which timers of the machine's clock would ask for without end."""
     spark = stream.sparkSession
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return query

@@ -17,8 +17,8 @@ def command(rid="r1", **over):
     return base | over
 
 
-def play(*commands, settings=Settings(), state=State()):
-    out = []
+def play(*commands, settings=Settings(), state=None):
+    out, state = [], state or State()
     for c in commands:
         state, d = decide(state, c, settings)
         out.append(None if d is None else (d["action"], d["status"], d["fault"], d["replay_of"]))
@@ -94,6 +94,40 @@ def test_retention():
     assert play(command(), command("r2", now=late, expires_at=late + 300 * S))[0][1][0] == "execute"
 
 
+def test_below_the_watermark_all_is_settled():
+    assert play(command(offset=3), command("r2", offset=4), settings=Settings(watermark=((0, 4),)))[0] == [None, ("execute", 201, "", "")]
+
+
+def test_own_attempts_go_on():
+    """A started command whose own attempt was answered is completed with it; one whose call never went out is executed; any other ends as unknown."""
+    at = lambda **over: play(command(**over), state=State(Entry("r1", "f", "started")))[0]
+    assert at(own=True, called=True) == at(own=True, called=False) == [("execute", 201, "", "")]
+    assert at(own=True, called=False, attempt_status=None)[0][0] == "started"
+    assert at(own=True, called=True, attempt_status=None) == at(own=True, called=False, attempt_status=None, drift=True) == [("refuse", 502, "outcome_unknown", "")]
+    assert play(command(called=True, attempt_status=None))[0] == [("refuse", 502, "outcome_unknown", "")]
+
+
+def test_a_secret_is_not_part_of_what_is_remembered():
+    _, state = play(command(secret=True, redacted_fingerprint="g"))
+    assert state.entry.fingerprint == "g"
+    assert play(command("r2", fingerprint="g", now=101 * S), state=state)[0][0][0] == "execute"  # nothing ran: it claims nothing
+
+
+def test_tries_end_with_a_known_outcome():
+    unknown, known = {"status": 502, "fault": "outcome_unknown", "upstream": None}, {"status": 200, "fault": None, "upstream": None}
+    first = {"attempt_status": 502, "attempt_fault": "outcome_unknown"}
+    assert play(command(**first, replayable=True, attempts=[unknown, known]))[0] == [("execute", 200, "", "")]
+    assert play(command(**first, replayable=True, attempts=[unknown, unknown, known]))[0] == [("execute", 502, "outcome_unknown", "")]
+    assert play(command(**first, replayable=False, attempts=[known]))[0] == [("execute", 502, "outcome_unknown", "")]
+
+
+def test_answered_requests_are_forgotten():
+    state = State()
+    for i in range(1000):
+        state, _ = decide(state, command(f"r{i}", fingerprint="f" if i == 0 else "g", now=(100 + i) * S, expires_at=(110 + i) * S), Settings())
+    assert len(state.answered) < 400 and state.entry.request_id == "r0" and state.keep_until() == state.entry.purge_after
+
+
 def rows(spark):
     import random
 
