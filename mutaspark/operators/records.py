@@ -117,6 +117,32 @@ def decoded_results(log: DataFrame, keys: DataFrame, naming: Naming = NAMING) ->
     return rows.withColumn("verdict", F.when(F.col("reason").isNull(), "ok").when(undecodable, "undecodable").otherwise("not_authentic"))
 
 
+def decoded_responses(log: DataFrame, keys: DataFrame, naming: Naming = NAMING) -> DataFrame:
+    """Responses with a `verdict`: ok, not_authentic or undecodable, and `reason`. A response travels under its request's id; a genuine one under another key isn't authentic there."""
+    rows = decoded(authenticated(log, keys, naming), S.RESPONSE, "response")
+    r = F.col("response")
+    problems = V.response_problems(r)
+    reason = (
+        F.when(F.col("record_type") != S.RESPONSE, "type")
+        .when(F.col("authenticity") != "authentic", F.col("authenticity"))
+        .when(r.isNull(), "decode")
+        .when(F.size(problems) > 0, F.concat(F.lit("invalid_"), problems[0]))
+        .when(~F.col("key").cast("string").eqNullSafe(r["requestId"]), "record_key")
+    )
+    rows = rows.withColumn("reason", reason)
+    undecodable = (F.col("reason") == "decode") | F.col("reason").startswith("invalid_")
+    return rows.withColumn("verdict", F.when(F.col("reason").isNull(), "ok").when(undecodable, "undecodable").otherwise("not_authentic"))
+
+
+def new_results(commands: DataFrame, naming: Naming = NAMING) -> DataFrame:
+    """Results of answered commands, as they are made: `result` with its outcome, type and time, and `problem`, the first rule that it breaks, or null. Rows: command and response (structs of the schema) and completed_at."""
+    c, r = F.col("command"), F.col("response")
+    outcome = C.outcome_of(r["status"], r["fault"], r["upstreamStatus"])
+    at = F.date_format("completed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    made = F.struct(F.lit(S.VERSION).alias("v"), C.result_type(c["operationId"], outcome).alias("type"), outcome.alias("outcome"), c.alias("command"), r.alias("response"), at.alias("completedAt"))
+    return commands.withColumn("result", made).withColumn("problem", V.result_problem(F.col("result"), naming))
+
+
 def audit_entries(log: DataFrame, keys: DataFrame | None = None, naming: Naming = NAMING) -> DataFrame:
     """One flat row for each command or result of a log, forged ones included: who asked for what, and what became of it.
 

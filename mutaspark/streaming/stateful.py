@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from mutaspark.operators.machine import OUTPUT, Entry, Settings, State, decide, decided, inputs, plain
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-EVENTS = "request_id string, partition int, offset long, completed_us long, kind string, reason string, details string, event_topic string, event_key string, event_value string"
+EVENTS = "request_id string, partition int, offset long, completed_us long, kind string, reason string, details string, event_topic string, event_key string, event_value string, topic string, service string, operation_id string, event_type string, traceparent string"
 FIELDS = [x.split()[0] for x in EVENTS.split(", ")]
 
 
@@ -24,12 +24,14 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> list[dict]:
 
 
 def events_once(candidates: DataFrame, window_s: int, now_us: int | None = None) -> DataFrame:
-    """A stream of derived events (columns EVENTS) with duplicates and events beyond the window turned into failures; none is dropped.
+    """A stream of derived events (columns EVENTS, null where there are none) with duplicates and events beyond the window turned into failures; none is dropped.
 
     Age is judged before, without state; so no row that gets to the state is behind the watermark, which only bounds
     how long it is kept where a request's event came from: until the newest completion is two windows later.
     now_us: fixed, for tests; else the time of the batch.
     """
+    have = set(candidates.columns)
+    candidates = candidates.withColumns({n: F.lit(None).cast("string") for n in FIELDS if n not in have})
     now = F.lit(now_us) if now_us is not None else F.unix_micros(F.current_timestamp())
     old = now - F.col("completed_us") > window_s * 1_000_000
     aged = candidates.where(old).withColumns({"kind": F.lit("failure"), "reason": F.lit("beyond_dedup_window")}).select(*FIELDS)
