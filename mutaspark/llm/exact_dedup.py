@@ -101,7 +101,7 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, store: str | None = None
     found = rows.join(digest_state(own, spark), "digest", "left").withColumn("stays", F.expr("file = keep_file and place = keep_place"))
     with _stores(spark):
         found = scratch.keep(found, "looked")
-    if not (differ := _differing(lying.select(F.col(file).alias("at_file"), F.col(place).alias("at_place"), "text"), found, scratch)).isEmpty():
+    if not (differ := _differing(lying.select(F.col(file).alias("at_file"), F.col(place).alias("at_place"), "text"), found, scratch, bool(store))).isEmpty():
         found = scratch.keep(_apart(lying.select(F.col(file).alias("at_file"), F.col(place).alias("at_place"), "text"), found, differ), "apart")
     scratch.drop("differ", "store/rows", "store/state")
     return found.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "stays", "file", "place")
@@ -112,21 +112,27 @@ def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(wanted, F.expr("at_file = file and at_place = place")).select("digest", utf8_lower(F.col("text")).alias("norm"))
 
 
-def _differing(texts: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+def _differing(texts: DataFrame, found: DataFrame, scratch: Scratch, earlier_calls: bool) -> DataFrame:
     """Digests under which a text differs from another. Texts of one digest are compared in each task before any of them move on."""
     hits = found.where("group_size > 1")
     every = _texts_of(hits.select("digest", "file", "place"), texts)
-    earlier = hits.select("digest", F.col("keep_file").alias("file"), F.col("keep_place").alias("place")).join(found.select("file").distinct(), "file", "left_anti").distinct()
-    files = [r.file for r in earlier.select("file").distinct().collect()]  # names of earlier calls' files, which any reading lists
-    if files:
-        before = found.sparkSession.read.schema("text string").parquet(*files)
-        meta = before.metadataColumn("_metadata")
-        before = before.select(meta["file_path"].alias("at_file"), meta["row_index"].alias("at_place"), "text")
-        every = every.union(_texts_of(earlier.select("digest", "file", "place"), before))
+    if earlier_calls and (before := _earlier(found, hits)) is not None:
+        every = every.union(before)
     ends = every.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     return scratch.keep(ends.where("least <> most").select("digest"), "differ")
 
 
+def _earlier(found: DataFrame, hits: DataFrame) -> DataFrame | None:
+    """The texts of earlier calls' rows that stay beside the hits."""
+    earlier = hits.select("digest", F.col("keep_file").alias("file"), F.col("keep_place").alias("place")).join(found.select("file").distinct(), "file", "left_anti").distinct()
+    files = [r.file for r in earlier.select("file").distinct().collect()]  # names of earlier calls' files, which any reading lists
+    if not files:
+        return None
+    before = found.sparkSession.read.schema("text string").parquet(*files)
+    meta = before.metadataColumn("_metadata")
+    return _texts_of(earlier.select("digest", "file", "place"), before.select(meta["file_path"].alias("at_file"), meta["row_index"].alias("at_place"), "text"))
+
+
 def _apart(texts: DataFrame, found: DataFrame, differ: DataFrame) -> DataFrame:
     """found, with the rows of the digests in `differ` grouped by digest and full text."""
     doubtful = texts.join(found.join(differ, "digest", "left_semi"), F.expr("at_file = file and at_place = place")).withColumn("norm", utf8_lower(F.col("text")))
