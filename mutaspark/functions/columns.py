@@ -183,6 +183,13 @@ def caller_secrets(headers: ColumnOrName) -> Column:
 # Queries and text.
 
 
+def is_json(text: ColumnOrName) -> Column:
+    """Whether a text is one JSON value and nothing else. Spark's parsers stop after the first value; no text that goes on behind it closes both of these wrappers."""
+    t = _col(text)
+    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1, F.lit(False))
+    return alone & F.try_parse_json(F.concat(F.lit('{"x":'), t, F.lit("}"))).isNotNull()
+
+
 def query_values(raw_query: ColumnOrName, name: ColumnOrName) -> Column:
     """All decoded values of a query parameter, in order; malformed parts have a null."""
     plus = lambda x: F.try_url_decode(x)

@@ -160,6 +160,19 @@ def feed(records: DataFrame, by: list[str], after: int | None = None, most: int
     return rows.orderBy(F.desc("seq")).limit(most)
 
 
+def listed_headers(headers: Column) -> Column:
+    """Headers for display: name:value, by name, the values of one name in their order."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.transform(e["value"], lambda v, i: F.struct(e["key"].alias("name"), i.alias("place"), v.alias("value"))))
+    return F.transform(F.array_sort(F.flatten(entries)), lambda x: F.concat(x["name"], F.lit(":"), x["value"]))
+
+
+def shown_exchanges(calls: DataFrame) -> DataFrame:
+    """Calls as a page shows them: the request's line, status and duration, whether a retry is safe to offer (it has a key), and what went wrong. Rows: method, path, status, fault, idempotency_key, issued_at, completed_at."""
+    took = (F.unix_micros("completed_at") - F.unix_micros("issued_at")) / 1000
+    failure = F.when((C.empty_if_null("fault") != ""), F.col("fault")).when(~F.col("status").between(200, 299), F.concat(F.lit("status "), F.col("status").cast("string")))
+    return calls.withColumns({"call": F.concat_ws(" ", "method", "path"), "duration_ms": took, "retryable": C.empty_if_null("idempotency_key") != "", "failure": failure})
+
+
 def state_changes(health: DataFrame, component: str = "component", at: str = "at", state: str = "state") -> DataFrame:
     """Only rows in which a component's state differs from the one before."""
     before = F.expr(f"lag({state}) over (partition by {component} order by {at})")

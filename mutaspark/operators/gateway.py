@@ -100,14 +100,21 @@ def token_refusals(public: dict[str, bytes], issuer: str, audience: str, leeway:
     return refused
 
 
+def state_frame(topic: Column, partition: Column, key: Column, value: Column) -> Column:
+    """What the signature of a state record is over: its place, key and value, each with its length, and whether it deletes."""
+    nothing = F.lit("").cast("binary")
+    fields = (topic.cast("binary"), partition.cast("string").cast("binary"), F.coalesce(key, nothing), F.coalesce(value, nothing))
+    framed = [x for f in fields for x in (F.octet_length(f).cast("string").cast("binary"), F.lit(":").cast("binary"), f)]
+    return F.concat(*framed, F.when(value.isNull(), F.lit("d")).otherwise("v").cast("binary"))
+
+
 def state_records(log: DataFrame, keys: DataFrame, naming: Naming = NAMING) -> DataFrame:
     """A state changelog with `verdict`: a record's signature is over its topic, partition, key and value, deletions too, so none can be moved. A reader stops at any verdict but authentic."""
     h = lambda n: C.record_header("headers", n)
     rows = log.withColumns({"key_id": h(naming.key_header), "signature": F.try_to_binary(h(naming.signature_header), F.lit("base64"))})
     trusted = keys.where("role = 'bridge'").select(F.col("kid").alias("trusted_kid"), "public")
     rows = rows.join(trusted, F.col("key_id") == F.col("trusted_kid"), "left")
-    nothing = F.lit("").cast("binary")
-    framed = F.concat(*[x for f in (F.col("topic").cast("binary"), F.col("partition").cast("string").cast("binary"), F.coalesce("key", nothing), F.coalesce("value", nothing)) for x in (F.octet_length(f).cast("string").cast("binary"), F.lit(":").cast("binary"), f)], F.when(F.col("value").isNull(), F.lit("d")).otherwise("v").cast("binary"))
+    framed = state_frame(F.col("topic"), F.col("partition"), F.col("key"), F.col("value"))
     holds = signature_holds(F.col("public"), F.lit(f"{naming.sign_domain}state/v1"), framed, F.col("signature"))
     early = F.when(F.coalesce(F.octet_length("signature"), F.lit(0)) == 0, "unsigned").when(F.col("public").isNull(), "unknown_key")
     return rows.withColumns({"early": early, "holds": holds}).withColumn("verdict", F.coalesce("early", F.when(F.col("holds"), "authentic").otherwise("altered"))).drop("early", "holds", "public", "trusted_kid")
@@ -117,7 +124,7 @@ def feed_items(log: DataFrame, naming: Naming = NAMING) -> DataFrame:
     """Records of all topics for display: kind (command, result, response, event or unreadable), what identifies them, value and key as text, which secret headers they carry, and what is wrong."""
     kind_header, id_header = C.record_header("headers", naming.type_header), C.record_header("headers", "ce_id")
     text = F.when(F.is_valid_utf8(F.col("value").cast("string")), F.col("value").cast("string"))
-    good = F.try_parse_json(text).isNotNull()
+    good = C.is_json(text)
     at = lambda *paths: F.coalesce(*[F.get_json_object(text, p) for p in paths])
     kind = F.when(id_header != "", "event").when(~F.coalesce(good, F.lit(False)), "unreadable").when(kind_header == S.COMMAND, "command").when(kind_header == S.RESULT, "result").when(kind_header == S.RESPONSE, "response").otherwise("unreadable")
     rid = F.when(id_header != "", id_header).otherwise(at("$.command.requestId", "$.requestId"))
@@ -157,4 +164,4 @@ def strict_json(content_type: Column, text: Column, known: list[str], most: int
     """The status with which a strict reader refuses a JSON request, or null: 415 another media type, 413 too large, 400 not one object or unknown fields."""
     media = F.lower(F.trim(F.split_part(C.empty_if_null(content_type), F.lit(";"), F.lit(1))))
     unknown = F.size(F.array_except(F.json_object_keys(text), F.array(*[F.lit(k) for k in known])))
-    return F.when(media != "application/json", 415).when(F.octet_length(text) > most, 413).when(F.try_parse_json(text).isNull() | F.json_object_keys(text).isNull() | (unknown > 0), 400)
+    return F.when(media != "application/json", 415).when(F.octet_length(text) > most, 413).when(~F.coalesce(C.is_json(text), F.lit(False)) | F.json_object_keys(text).isNull() | (unknown > 0), 400)

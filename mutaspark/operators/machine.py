@@ -206,3 +206,22 @@ def replayed(commands: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield pd.DataFrame(out, columns=names)
 
     return inputs(commands).repartition("dedup_key").sortWithinPartitions("dedup_key", "partition", "offset").mapInPandas(run, OUTPUT)
+
+
+def remembered(commands: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """What is left in memory at the end of a bounded log: dedup_key, the request that owns it, and until when it is kept (null: a started one waits for its end)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, State()
+        row = lambda: [(key, state.entry.request_id, state.entry.purge_after or None)] if state.entry else []
+        for frame in frames:
+            out = []
+            for c in map(plain, frame.to_dict("records")):
+                if c["dedup_key"] != key:
+                    out += row()
+                    key, state = c["dedup_key"], State()
+                state, _ = decide(state, c, settings)
+            yield pd.DataFrame(out, columns=["dedup_key", "request_id", "purge_after"])
+        yield pd.DataFrame(row(), columns=["dedup_key", "request_id", "purge_after"])
+
+    return inputs(commands).repartition("dedup_key").sortWithinPartitions("dedup_key", "partition", "offset").mapInPandas(run, "dedup_key string, request_id string, purge_after long")

@@ -32,7 +32,7 @@ FIELDS = {S.COMMAND: S.COMMAND_FIELDS, S.RESPONSE: S.RESPONSE_FIELDS, S.RESULT:
 def json_text(value: Column) -> Column:
     """A record's value as text where it is JSON."""
     text = value.cast("string")
-    return F.when(F.is_valid_utf8(text) & F.try_parse_json(text).isNotNull(), text)
+    return F.when(F.is_valid_utf8(text) & C.is_json(text), text)
 
 
 def decoded(log: DataFrame, kind: str, as_: str) -> DataFrame:
@@ -137,10 +137,15 @@ def decoded_responses(log: DataFrame, keys: DataFrame, naming: Naming = NAMING)
 def new_results(commands: DataFrame, naming: Naming = NAMING) -> DataFrame:
     """Results of answered commands, as they are made: `result` with its outcome, type and time, and `problem`, the first rule that it breaks, or null. Rows: command and response (structs of the schema) and completed_at."""
     c, r = F.col("command"), F.col("response")
-    outcome = C.outcome_of(r["status"], r["fault"], r["upstreamStatus"])
+    bad = {"outcome_made": C.outcome_of(r["status"], r["fault"], r["upstreamStatus"]), "command_bad": V.command_problems(c, naming=naming), "response_bad": V.response_problems(r)}
+    rows, outcome = commands.withColumns(bad), F.col("outcome_made")
     at = F.date_format("completed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     made = F.struct(F.lit(S.VERSION).alias("v"), C.result_type(c["operationId"], outcome).alias("type"), outcome.alias("outcome"), c.alias("command"), r.alias("response"), at.alias("completedAt"))
-    return commands.withColumn("result", made).withColumn("problem", V.result_problem(F.col("result"), naming))
+    problem = (
+        F.when(F.size("command_bad") > 0, F.concat(F.lit("command_"), F.col("command_bad")[0])).when(F.size("response_bad") > 0, F.concat(F.lit("response_"), F.col("response_bad")[0]))
+        .when(r["requestId"] != c["requestId"], "request_ids_differ").when(C.empty_if_null(r["replayOf"]) != "", "replayed").when(F.col("completed_at").isNull(), "completed_at")
+    )
+    return rows.withColumns({"result": made, "problem": problem}).drop(*bad)
 
 
 def audit_entries(log: DataFrame, keys: DataFrame | None = None, naming: Naming = NAMING) -> DataFrame:

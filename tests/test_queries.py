@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from mutaspark.plans import catalogue
+from mutaspark.plans import catalogue, wire
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -40,6 +40,10 @@ def test_query(spark, duck, name):
     assert rows == sorted(tuple(plain(r[i]) for i in order) for r in rel.fetchall())
 
 
+def test_wire_queries_are_registered():
+    assert catalogue.QUERIES["request_urls"] is wire.request_urls
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
