@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of two numbers that are worth a file.
+FILE_ROWS = 500_000
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -112,18 +114,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, maps, k = scratch.keep(edges, f"{name}-e0"), [], 0
-    while not edges.isEmpty():
+    while n := edges.count():
+        few = lambda df, rows: df.coalesce(-(-rows // FILE_ROWS))  # noqa: E731  # such tables shrink fast: no more files than their rows need
         both = edges.union(edges.select("b", "a"))
         point = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("p"))
-        point = scratch.keep(point, f"{name}-p{k}a")
+        point = scratch.keep(few(point, 2 * n), f"{name}-p{k}a")
         for hop in "bc":
             up = point.select(F.col("node").alias("p"), F.col("p").alias("q"))
-            point = scratch.keep(point.join(up, "p").select("node", F.col("q").alias("p")), f"{name}-p{k}{hop}")
+            point = scratch.keep(few(point.join(up, "p").select("node", F.col("q").alias("p")), 2 * n), f"{name}-p{k}{hop}")
         of = lambda end, to: point.select(F.col("node").alias(end), F.col("p").alias(to))
         nxt = edges.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
         nxt = nxt.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         maps.append(point)
-        edges = scratch.keep(nxt, f"{name}-e{k + 1}")
+        edges = scratch.keep(few(nxt, n), f"{name}-e{k + 1}")
         k += 1
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
