@@ -154,10 +154,14 @@ def traces(records: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def feed(records: DataFrame, by: list[str], after: int | None = None, most: int = 500) -> DataFrame:
-    """The last records of a feed by its sequence number, newest first; with `after`, those beyond a reader's place. A feed without `seq` gets one from its order, which is total work in one task: number it where it is written."""
-    rows = records if "seq" in records.columns else records.withColumn("seq", F.expr(f"row_number() over (order by {', '.join(by)})"))
-    rows = rows if after is None else rows.where(F.col("seq") > after)
-    return rows.orderBy(F.desc("seq")).limit(most)
+    """The last records of a feed by its sequence number, newest first; with `after`, those beyond a reader's place. A feed without `seq` is numbered from 1 in its order: its newest records are picked first, and only they are numbered, down from the count of all."""
+    if "seq" in records.columns:
+        rows = records if after is None else records.where(F.col("seq") > after)
+        return rows.orderBy(F.desc("seq")).limit(most)
+    last = records.orderBy(*[F.desc(c) for c in by]).limit(most)
+    back = F.expr("row_number() over (order by " + ", ".join(f"{c} desc" for c in by) + ")")
+    rows = last.withColumn("seq", records.agg(F.count("*")).scalar() - back + 1)
+    return (rows if after is None else rows.where(F.col("seq") > after)).orderBy(F.desc("seq"))
 
 
 def listed_headers(headers: Column) -> Column:

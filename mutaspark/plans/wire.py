@@ -228,6 +228,12 @@ def feed_of_topics(spark, sf_dir):
     return items.groupBy("kind", C.service_of_topic("topic").alias("service")).agg(F.count("*").alias("n"), F.countDistinct("request_id").alias("requests"))
 
 
+@query("""select n as seq, request_id from (select request_id, row_number() over (order by event_id) as n from m) order by n desc limit 500""")
+def feed_numbered(spark, sf_dir):
+    """A feed that nobody has numbered: its last records, with their places in the whole."""
+    return W.feed(mutations(spark, sf_dir), ["event_id"]).select("seq", "request_id")
+
+
 @query("select unnest(['http.requests.orders', 'http.results.orders', 'orders.events']) as topic")
 def watched_topics(spark, sf_dir):
     c = contract()
