@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import each_group, paired_blocks, repeated
+from .blocks import each_group, repeated
 from .shared import Scratch, components, fresh, map_arrow, table
 
 #: Registers, and the bits of each that follow its leading one.
@@ -125,13 +125,15 @@ def estimates(one: np.ndarray, many: np.ndarray, n_one: int, n_many: np.ndarray)
     return np.maximum(same - chance, 0) / used, used
 
 
-def likely(regs: np.ndarray, n: np.ndarray, i: int, js: np.ndarray, band: int, threshold: float) -> np.ndarray:
-    """Those of js worth verifying against i that `band` is the first to bring together with it."""
+def likely(regs: np.ndarray, n: np.ndarray, i: int, js: np.ndarray, threshold: float, band: int | None = None) -> np.ndarray:
+    """Those of js worth verifying against i; with a band, those alone that it is the first to bring together with i."""
     js = js[np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i])]
     if not len(js):
         return js
     estimate, used = estimates(regs[i], regs[js], int(n[i]), n[js])
     js = js[estimate >= threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / used)]
+    if band is None:
+        return js
     bands = regs[:, : BANDS * BAND].reshape(-1, BANDS, BAND)
     agree = (bands[js] == bands[i]).all(axis=2) & bands[i].any(axis=1)
     return js[agree.argmax(axis=1) == band]
@@ -142,24 +144,24 @@ def candidates(group: pa.Table, threshold: float):
     group = group.sort_by("rep")
     rep, n, band = group.column("rep").to_numpy(), group.column("n").to_numpy(), group.column("band")[0].as_py()
     regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
-    found = [(i, j) for i in range(1, len(rep)) for j in likely(regs, n, i, np.arange(i), band, threshold)]
+    found = [(i, j) for i in range(1, len(rep)) for j in likely(regs, n, i, np.arange(i), threshold, band)]
     if found:
         one, two = np.array(found).T
         yield {"a": rep[one], "b": rep[two]}
 
 
 def verified_here(group: pa.Table, threshold: float):
-    """Of one pair of blocks of a large bucket, whose rows bring their full sets: edges that span what is linked. Pairs that earlier links have joined are skipped."""
-    group = group.sort_by("rep")
-    rep, n, block, band = group.column("rep").to_numpy(), group.column("n").to_numpy(), group.column("block").to_numpy(), group.column("band")[0].as_py()
-    across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
+    """Of a block of a large bucket, whose rows bring their full sets: edges that span what is linked. Rows of one label are linked already. Visitors are compared with residents, or where there are none, all rows with each other."""
+    group = group.sort_by([("visitor", "ascending"), ("rep", "ascending")])
+    rep, n, label = group.column("rep").to_numpy(), group.column("n").to_numpy(), group.column("label").to_numpy()
+    visitors = int(group.column("visitor").to_numpy(zero_copy_only=False).sum())
+    residents = len(rep) - visitors
     regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
     sets = [np.frombuffer(x, "<u8") for x in group.column("hashes").to_pylist()]
-    root = np.arange(len(rep))
+    root = np.unique(label, return_inverse=True)[1].astype(np.int64)
     a, b = [], []
-    for i in range(1, len(rep)):
-        js = np.flatnonzero((root[:i] != root[i]) & ((block[:i] != block[i]) if across else True))
-        js = likely(regs, n, i, js, band, threshold)
+    for i in range(residents if visitors else 1, len(rep)):
+        js = likely(regs, n, i, np.flatnonzero(root[: residents if visitors else i] != root[i]), threshold)
         for at in range(0, len(js), 256):
             some = js[at : at + 256]
             some = some[root[some] != root[i]]
@@ -189,8 +191,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     component_id is the smallest doc_id reachable by links, itself included; kept marks that one. Documents of
     equal sets are one class, and only a class's smallest doc_id goes on. Bands of registers bring classes
     together, estimates from registers drop pairs far below the threshold, and the rest is verified on full
-    sets: pairs of small buckets after a join with both sets, larger buckets in place. These are dealt into pairs
-    of blocks whose rows bring their sets; each emits edges that span what it has linked, never its pairs.
+    sets: pairs of small buckets after a join with both sets, larger buckets in place. These are dealt into blocks,
+    in each bucket anew, whose rows bring their sets; each emits edges that span what it has linked, never its
+    pairs. Most families are one component after that, however large. Only buckets that still hold several
+    components go on: all rows but those of the largest one visit every block (see _across).
 
     Null and empty texts have empty sets and are linked with nothing. Rows repeated with one doc_id are one
     document; rows without doc_id are alone, with a null component_id. An empty table gives no rows. Other
@@ -229,18 +233,39 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 5, threshold
     whole = _whole_sets(docs, need, width, scratch)
     with scratch.small_batches():
         links = scratch.keep(_verified(pairs, whole, threshold), "links")
-        met = paired_blocks(many.join(members, "rep"), "key", "rep", BLOCK).join(whole.withColumnRenamed("doc_id", "rep"), "rep")
-        inside = scratch.keep(each_group(met, ["key", "lo", "hi"], lambda g: verified_here(g, threshold), "a long, b long"), "inside")
-    labels = components(links.union(inside), scratch)
+        dealt = many.withColumn("block", F.expr(f"pmod(xxhash64(rep, key), ceil(n_key / {BLOCK}))"))
+        full = members.join(whole.withColumnRenamed("doc_id", "rep"), "rep")
+        met = dealt.withColumns({"label": F.col("rep"), "visitor": F.lit(False)}).join(full, "rep")
+        inside = scratch.keep(each_group(met, ["key", "block"], lambda g: verified_here(g, threshold), "a long, b long"), "inside")
+        labels = components(links.union(inside), scratch)
+        across = _across(dealt.where(F.col("n_key") > BLOCK), labels, full, threshold, scratch)
+        if not across.isEmpty():
+            labels = components(links.union(inside).union(across), scratch, "cc2")
     classes = reps.select("sig1", "sig2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("sig1").alias("s1"), F.col("sig2").alias("s2"), F.coalesce("label", "rep").alias("component"))
     out = rows.select("doc_id", "n", "sig1", "sig2").join(classes, (F.col("sig1") == F.col("s1")) & (F.col("sig2") == F.col("s2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     out = scratch.keep(out, "components")
-    scratch.drop("sets", "reps", "keys", "buckets", "members", "pairs", "whole", "links", "inside", "cc-found")
+    scratch.drop("sets", "reps", "keys", "buckets", "members", "pairs", "whole", "links", "inside", "labelled", "open", "across", "cc-found", "cc2-found")
     return out
 
 
+def _across(dealt: DataFrame, labels: DataFrame, full: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Edges between blocks of one bucket. Its rows of the label that most of them have are linked already, so of any two rows that aren't yet, one has another label: these rows, in parts of BLOCK, visit all blocks."""
+    rows = dealt.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "key", "band", "n_key", "block", F.coalesce("label", "rep").alias("label"))
+    rows = scratch.keep(rows, "labelled")
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("size"))
+    opened = each.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("total")).where("total > most.size")
+    opened = opened.select(F.col("key").alias("of_key"), F.col("most.label").alias("common"), (F.col("total") - F.col("most.size")).alias("others"))
+    opened = scratch.keep(opened, "open")
+    rows = rows.join(opened, F.col("key") == F.col("of_key")).drop("of_key").withColumn("parts", F.expr(f"ceil(others / {BLOCK})"))
+    residents = rows.withColumn("visitor", F.lit(False)).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
+    visitors = rows.where("label <> common").withColumn("visitor", F.lit(True)).withColumn("part", F.expr("pmod(xxhash64(rep, key, 1), parts)")).withColumn("block", F.explode(F.expr(f"sequence(0L, ceil(n_key / {BLOCK}) - 1)")))
+    columns = ["rep", "key", "band", "block", "part", "label", "visitor"]
+    met = residents.select(columns).unionByName(visitors.select(columns)).join(full, "rep")
+    return scratch.keep(each_group(met, ["key", "block", "part"], lambda g: verified_here(g, threshold), "a long, b long"), "across")
+
+
 def _whole_sets(docs: DataFrame, need: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """doc_id and full set of the documents in `need` (id). Texts move compressed, and sets are made anew rather than kept for all documents."""
 
