@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. Only a local session without one gets a temporary folder."""
+    """The folder all executors share: spark.checkpoint.dir, or a warehouse that isn't on a machine's own disk. Only a local session without one gets a temporary folder, and keeps it for its other queries."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
@@ -33,7 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
         return f"file://{folder}"
-    return spark.conf.get("spark.sql.warehouse.dir")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return warehouse
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -50,11 +53,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 class Scratch:
     """Tables that cut the lineage, in a folder of their own under the shared one.
 
-    A written table survives the loss of an executor, is read by column, and tells the planner its size.
+    A written table survives the loss of an executor, is read by column, and tells the planner its size. What isn't
+    dropped before goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+        self.spark, self.folder, self.passing = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}", False
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -62,6 +66,9 @@ class Scratch:
     def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Writes df and returns it as read again."""
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        if not self.passing:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            self.passing = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def has(self, name: str) -> bool:
