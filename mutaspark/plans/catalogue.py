@@ -14,6 +14,7 @@ from mutaspark.operators import events as E
 from mutaspark.operators import flows as W
 from mutaspark.operators import machine as M
 from mutaspark.operators import records as R
+from mutaspark.schema import FAULTS
 from mutaspark.plans.adapters import DEDUP_KEY_SQL, FINGERPRINT_SQL, HASH, SERVICE, SQL, contract, exchanges, keyed, mutations
 
 QUERIES: dict[str, Callable] = {}
@@ -134,7 +135,39 @@ def _recorded(spark, sf_dir, faults: bool) -> DataFrame:
     )
 
 
-@query()
+def _machine_sql() -> str:
+    """The decision table as a recursive query: each step decides a scope's next command from what the step before left."""
+    refused = "case when stale then 'command_stale' when secret then 'secret_in_command' when drift then 'operation_mismatch' end"
+    status = "case {f} " + " ".join(f"when '{f}' then {s}" for f, s, _ in FAULTS) + " end"
+    ran = "case {f} " + " ".join(f"when '{f}' then '{r}'" for f, _, r in FAULTS) + " end"
+    live = "(k.rn > 1 and r.owner is not null and k.now <= r.purge)"
+    claimed = f"({live} and not (r.entry_outcome = 'NotExecuted' or (r.entry_outcome = 'OutcomeUnknown' and k.replayable)))"
+    action = f"case when k.refused is not null then 'refuse' when {live} and r.entry_print <> k.fingerprint then 'reuse' when {claimed} then 'replay' else 'execute' end"
+
+    def step(source: str) -> str:
+        return f"""select k.*, {action} as act, {live} as was, r.owner as o, r.entry_print as p, r.entry_outcome as eo, r.entry_status as es, r.entry_fault as ef, r.purge as pu from {source}"""
+
+    made = "case when act = 'refuse' then 'NotExecuted' else own_outcome end"
+    owns = "(act = 'execute' or (act = 'refuse' and not was))"
+    carried = f"""select * exclude (act, was, o, p, eo, es, ef, pu), act, o as before_owner, eo as before_outcome, es as before_status, ef as before_fault, {made} as made_outcome,
+      case when {owns} then request_id when was then o end as owner, case when {owns} then fingerprint when was then p end as entry_print, case when {owns} then {made} when was then eo end as entry_outcome,
+      case when {owns} then case when act = 'refuse' then {status.format(f="refused")} else attempt_status end when was then es end as entry_status, case when {owns} then coalesce(case when act = 'refuse' then refused else attempt_fault end, '') when was then ef end as entry_fault,
+      case when {owns} then greatest(expires + {60 * US}, case when keyed then now + {86_400 * US} else 0 end) when was then pu end as purge"""
+    nothing = "(select null::varchar as owner, null::varchar as entry_print, null::varchar as entry_outcome, null::int as entry_status, null::varchar as entry_fault, null::bigint as purge) r"
+    attempt = "case when fault in ('outcome_unknown', 'upstream_unavailable', 'response_too_large', 'response_incomplete') then fault end"
+    return f"""with recursive {SQL}, s as (select *, {DEDUP_KEY_SQL} as dedup_key, {FINGERPRINT_SQL} as fingerprint, epoch_us(issued_at) as now, epoch_us(expires_at) as expires, idempotency_key is not null as keyed,
+  coalesce(fault = 'command_stale', false) as stale, coalesce(fault = 'secret_in_command', false) as secret, coalesce(fault = 'operation_mismatch', false) as drift, method in ('PUT', 'DELETE') as replayable, {attempt} as attempt_fault from m),
+a as (select *, {refused} as refused, coalesce({status.format(f="attempt_fault")}, b_status) as attempt_status from s),
+k as (select dedup_key, request_id, "offset", fingerprint, now, expires, keyed, replayable, refused, attempt_fault, attempt_status, row_number() over (partition by dedup_key order by "offset") as rn,
+  case when attempt_fault is null or {ran.format(f="attempt_fault")} = 'done' then case when b_status between 200 and 299 then 'Succeeded' else 'Failed' end when {ran.format(f="attempt_fault")} = 'unknown' then 'OutcomeUnknown' else 'NotExecuted' end as own_outcome from a),
+d as ({carried} from ({step(f"k, {nothing} where k.rn = 1")}) union all {carried} from ({step("k join d r on k.dedup_key = r.dedup_key and k.rn = r.rn + 1")}))
+select dedup_key, request_id, 0 as "partition", "offset", case act when 'reuse' then 'refuse' else act end as action,
+  case act when 'refuse' then {status.format(f="refused")} when 'reuse' then 422 when 'replay' then before_status else attempt_status end as status,
+  case act when 'refuse' then refused when 'reuse' then 'idempotency_key_reused' when 'replay' then before_fault else coalesce(attempt_fault, '') end as fault,
+  case act when 'reuse' then 'NotExecuted' when 'replay' then before_outcome else made_outcome end as outcome, case act when 'replay' then before_owner else '' end as replay_of, act <> 'replay' as result from d"""
+
+
+@query(_machine_sql())
 def command_machine_replay(spark, sf_dir):
     return M.replayed(_recorded(spark, sf_dir, True))
 

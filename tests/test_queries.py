@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from mutaspark.plans import catalogue, wire
 
-SMALL = "/root/testdata/sf0.001"
+SMALL = os.environ.get("TEST_TABLES", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
