@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, Scratch, fresh, table
+from .shared import WORD, Scratch, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -77,18 +79,30 @@ def pareto_mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEI
     certain number of times. Rows repeated with one doc_id have one u. An empty table gives no rows. Other
     columns are ignored.
     """
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch.keep(docs.select("doc_id", "source", words.alias("size")), "sizes")
+    rows, decided = _scheme(docs, scratch, weights, share, cap, seed)
+    return decided(rows).select("doc_id", "source", "size", "source_size", "target", "copies").withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _scheme(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: int = CAP, seed: str = SEED) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """doc_id, source and size of docs; and what adds source_size, target and copies to any rows that have these three. All it needs are tables of a row a source."""
+    rows = scratch.keep(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
     aims = scratch.keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
     aims = aims.selectExpr("source as aim_source", "source_size", "target", "case when source_size > 0 then floor(target / source_size) else 0 end as whole")
     aims = aims.selectExpr("*", "case when source_size > 0 then target - whole * source_size else 0D end as rest")
     plan = aims.drop("rest").join(odds_of_size(rows, aims, scratch), F.expr("aim_source <=> of"), "left").drop("of")
     plan = scratch.keep(plan, "plan")  # its size is known from here on, so that rows aren't dealt out by source where it is small
-    drawn = rows.join(plan, rows.source.eqNullSafe(plan.aim_source)).drop("aim_source").withColumn("u", uniform(F.col("doc_id"), seed))
-    drawn = drawn.withColumn("p", F.expr("case when size > 0 then case when size > sure then 1D else rate * size end end"))
-    drawn = drawn.withColumn("q", F.expr("case when p < 1 and p > 0 then (u / (1 - u)) / (p / (1 - p)) end"))
-    drawn = drawn.withColumn("z", F.expr(f"q / (1 + q) * {CELLS}")).withColumn("c1", F.floor("z")).withColumn("c2", F.expr(f"floor((z - c1) * {CELLS})"))
-    sampled = drawn.where("q is not null").select("source", "doc_id", "size", "left", "q", "c1", "c2")
+
+    def ranked(some: DataFrame) -> DataFrame:
+        drawn = some.join(plan, some.source.eqNullSafe(plan.aim_source)).drop("aim_source").withColumn("u", uniform(F.col("doc_id"), seed))
+        drawn = drawn.withColumn("p", F.expr("case when size > 0 then case when size > sure then 1D else rate * size end end"))
+        drawn = drawn.withColumn("q", F.expr("case when p < 1 and p > 0 then (u / (1 - u)) / (p / (1 - p)) end"))
+        return drawn.withColumn("z", F.expr(f"q / (1 + q) * {CELLS}")).withColumn("c1", F.floor("z")).withColumn("c2", F.expr(f"floor((z - c1) * {CELLS})"))
+
+    sampled = ranked(rows).where("q is not null").select("source", "doc_id", "size", "left", "q", "c1", "c2")
     cut1 = scratch.keep(_crossing(sampled.groupBy("source", "left", "c1").agg(F.sum("size").alias("n")), "c1", F.lit(0)), "cut1")
     in1 = sampled.join(F.broadcast(cut1) if _small(cut1) else cut1, sampled.source.eqNullSafe(cut1.at_source) & (sampled.c1 == cut1.at)).drop("at_source", "at")
     cut2 = scratch.keep(_crossing(in1.groupBy("source", "left", "c1", "before", "c2").agg(F.sum("size").alias("n")), "c2", F.col("before")).withColumnRenamed("at", "at2").withColumnRenamed("before", "before2"), "cut2")
@@ -98,16 +112,23 @@ def pareto_mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEI
     cut = cut1.select("at_source", F.col("at").alias("at1")).join(cut2.select(F.col("at_source").alias("s2"), "at2"), F.expr("at_source <=> s2"), "left").drop("s2")
     cut = scratch.keep(cut.join(ends.withColumnRenamed("source", "s3"), F.expr("at_source <=> s3"), "left").drop("s3"), "cut")
     earlier = "coalesce(c1 < at1 or (c1 = at1 and (c2 < at2 or (c2 = at2 and struct(q, doc_id) <= end))), false)"
-    taken = drawn.join(cut, drawn.source.eqNullSafe(cut.at_source), "left").withColumn("one", F.expr(f"coalesce(p >= 1 or (q is not null and (at_source is null or {earlier})), false)"))
+
+    def picked(some: DataFrame) -> DataFrame:
+        some = ranked(some)
+        return some.join(cut, some.source.eqNullSafe(cut.at_source), "left").withColumn("one", F.expr(f"coalesce(p >= 1 or (q is not null and (at_source is null or {earlier})), false)"))
+
+    taken = picked(rows)
     gap = taken.where("q is not null").groupBy("source", "left").agg(F.coalesce(F.sum(F.when(F.col("one"), F.col("size"))), F.lit(0)).alias("got")).selectExpr("source as gap_source", "left - got as gap")
     gap = scratch.keep(gap, "gap")
     fill = taken.where("q is not null and not one").join(F.broadcast(gap) if _small(gap) else gap, F.expr("source <=> gap_source")).where("abs(gap - size) < gap")
     fill = fill.groupBy("source").agg(F.min(F.struct(F.expr("abs(gap - size)").alias("off"), "q", "doc_id")).alias("best")).select(F.col("source").alias("fill_source"), "best")
     fill = scratch.keep(fill, "fill")
-    out = taken.join(fill, F.expr("source <=> fill_source"), "left")
-    more = "not one and q is not null and struct(q, doc_id) <=> struct(best.q, best.doc_id)"
-    copies = F.expr(f"whole + case when one or ({more}) then 1 else 0 end")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+    def decided(some: DataFrame) -> DataFrame:
+        more = "not one and q is not null and struct(q, doc_id) <=> struct(best.q, best.doc_id)"
+        return picked(some).join(fill, F.expr("source <=> fill_source"), "left").withColumn("copies", F.expr(f"cast(whole + case when one or ({more}) then 1 else 0 end as long)"))
+
+    return rows, decided
 
 
 def _crossing(cells: DataFrame, cell: str, base: Column) -> DataFrame:
@@ -122,15 +143,11 @@ def _small(cut: DataFrame) -> bool:
 
 
 def mixed(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """The mix itself: rows of docs, with all their columns, each as often as it is taken. Rows with one doc_id, source and size are taken alike."""
-    taken = pareto_mix(docs, scratch, **how).where("copies > 0")
-    own = fresh(docs, "mix_id", "mix_source", "mix_size", "mix_copies", "mix_copy")
-    mix_id, source, size, copies, copy = own
-    taken = taken.groupBy(F.col("doc_id").alias(mix_id), F.col("source").alias(source), F.col("size").alias(size)).agg(F.max("copies").alias(copies))
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col(mix_id)) & F.col("source").eqNullSafe(F.col(source)) & (words == F.col(size))
-    times = F.explode(F.expr(f"array_repeat(true, cast({copies} as int))"))
-    return docs.join(taken, same).withColumn(copy, times).drop(*own)
+    """The mix itself: rows of docs, with all their columns, each as often as it is taken. Rows stay where they are; rows with one doc_id, source and size are taken alike."""
+    _, decided = _scheme(docs, scratch, **how)
+    rows = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    times = F.explode(F.expr("array_repeat(true, cast(copies as int))"))
+    return decided(rows).where("copies > 0").select("row", times.alias("once")).select("row.*")
 
 
 def op3_pareto_mix(spark, sf_dir: str) -> DataFrame:
