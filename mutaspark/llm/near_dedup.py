@@ -17,7 +17,7 @@ BANDS, BAND = 25, 5
 #: Candidates are verified unless their estimate lies so many standard deviations below the threshold.
 DEVIATIONS = 5.0
 #: Buckets of so many rows or fewer are emitted as pairs; larger ones are verified in place, in blocks of so many rows.
-SMALL, BLOCK = 32, 1024
+SMALL, BLOCK = 32, 256
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 21
 
