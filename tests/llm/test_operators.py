@@ -147,12 +147,41 @@ def test_near_family_in_large_buckets(spark, monkeypatch):
             w[r.randrange(150)] = f"x{r.randrange(9999)}"
         rows.append((i, " ".join(w), "s"))
     monkeypatch.setattr(near_dedup, "SMALL", 4)
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
     got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(documents(spark, rows), Scratch(spark, "t"), 3, 0.85).collect()}
     sets = {i: shingles(t, 3) for i, t, _ in rows}
     assert got == linked(sets, lambda a, b: 100 * len(a & b) >= 85 * len(a | b))
 
 
+def test_near_visitors_find_what_blocks_do_not(spark, monkeypatch):
+    """One bucket in four blocks, each with its own components: what visitors add joins all that is linked."""
+    r = random.Random(18)
+    families = [[f"w{f}_{r.randrange(400)}" for _ in range(120)] for f in range(3)]
+    rows = []
+    for i in range(70):
+        w = list(families[min(2, i % 5)])
+        for _ in range(r.choice([1, 2, 4, 5])):
+            w[r.randrange(120)] = f"x{r.randrange(9999)}"
+        rows.append((i, " ".join(w)))
+    sets, similar = {i: shingles(t, 3) for i, t in rows}, lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    hashes = near_dedup.shingle_sets([t for _, t in rows], 3)
+    block = {i: r.randrange(4) for i, _ in rows}
+    inside = {}
+    for k in range(4):
+        inside |= linked({i: s for i, s in sets.items() if block[i] == k}, similar)
+    want = linked(sets, similar)
+    assert len(set(inside.values())) > len(set(want.values())) > 3
+    monkeypatch.setattr(near_dedup, "BLOCK", 18)  # 70 rows: four blocks
+    dealt = spark.createDataFrame([(7, 0, i, 70, block[i]) for i, _ in rows], "key long, band int, rep long, n_key long, block long")
+    labels = spark.createDataFrame([(i, x) for i, x in inside.items() if i % 7 or i != x], "node long, label long")
+    full = spark.createDataFrame([(i, len(h), near_dedup.registers(h).astype("<u2").tobytes(), h.astype("<u8").tobytes()) for (i, _), h in zip(rows, hashes, strict=True)], "rep long, n long, regs binary, hashes binary")
+    root = dict(inside)
+    for a, b in near_dedup._across(dealt, labels, full, 0.85, Scratch(spark, "t")).collect():
+        x, y = root[a], root[b]
+        root = {i: min(x, y) if v in (x, y) else v for i, v in root.items()}
+    assert root == want
+
+
 def test_near_empty(spark):
     docs = documents(spark, rows_of())
     assert near_dedup.near_duplicates(docs.limit(0), Scratch(spark, "t")).count() == 0
