@@ -183,6 +183,20 @@ def state_changes(health: DataFrame, component: str = "component", at: str = "at
     return health.withColumn("before", before).where(~F.col(state).eqNullSafe(F.col("before"))).drop("before")
 
 
+# Commits.
+
+
+def commit_groups(records: DataFrame, most: int = 256) -> DataFrame:
+    """Records with the transaction they are written in: `commit`, from 0 in each partition, of up to `most` neighbours in log order. A partition is written in its order by one writer, so its size bounds the work."""
+    place = F.expr("row_number() over (partition by topic, partition order by offset)")
+    return records.withColumn("commit", F.floor((place - 1) / most))
+
+
+def purgeable(state: DataFrame, now: Column, most: int = 512, key: str = "dedup_key") -> DataFrame:
+    """The entries that one round of purging removes: at most `most` of those that have expired, the longest expired first."""
+    return state.where(F.col("purge_after") < F.unix_micros(now)).orderBy("purge_after", key).limit(most)
+
+
 # Ledgers.
 
 

@@ -376,6 +376,21 @@ def purge_times(spark, sf_dir):
     return M.remembered(_recorded(spark, sf_dir, False), M.Settings(retention=10_000 * 86_400 * US))
 
 
+@query("""select "partition", "commit", count(*) as n, min("offset") as first, max("offset") as last from (
+  select "partition", "offset", (row_number() over (partition by "partition" order by "offset") - 1) // 256 as "commit" from m) group by all""")
+def group_commits(spark, sf_dir):
+    rows = W.commit_groups(mutations(spark, sf_dir).select(F.lit("t").alias("topic"), "partition", "offset"))
+    return rows.groupBy("partition", "commit").agg(F.count("*").alias("n"), F.min("offset").alias("first"), F.max("offset").alias("last"))
+
+
+@query("""select request_id, epoch_us(expires_at) + 60000000 as purge_after from m where idempotency_key is null and epoch_us(expires_at) + 60000000 < epoch_us(timestamp '2024-01-20 00:00:00')
+  order by purge_after, 'r:' || request_id limit 512""")
+def purged_entries(spark, sf_dir):
+    """One round of purging what the machine remembers of requests without a key."""
+    state = M.remembered(_recorded(spark, sf_dir, False)).where("dedup_key like 'r:%'")
+    return W.purgeable(state, F.expr("timestamp '2024-01-20 00:00:00'")).select("request_id", "purge_after")
+
+
 @query("select count(*) filter (epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(issued_at) > 90060::bigint * 1000000) as forgotten, count(*) as n, 90060 as window_s from m")
 def memory_window(spark, sf_dir):
     window = G.idempotency_window_s()
