@@ -29,7 +29,7 @@ def test_oracle(spark, name):
 
 
 def test_one_query_an_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):
@@ -70,6 +70,18 @@ def test_quality_on_held_out_labels(spark):
     assert len(bad) >= 5 and auc > 0.97 and np.mean(good >= 0.7) > 0.9
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Labels that no fit has seen. The smallest tables have a few dozen toxic texts to learn from, so a larger one is used."""
+    tables = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{tables}/labels.parquet").where("toxic is not null").collect()}
+    rows = registry.QUERIES["op11_toxicity"](spark, tables).collect()
+    assert len(rows) == spark.read.parquet(f"{tables}/documents.parquet").count() and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    scored = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    toxic, clean = np.array([s for s, y in scored if y == 1]), np.array([s for s, y in scored if y == 0])
+    auc = np.mean(toxic[:, None] > clean) + 0.5 * np.mean(toxic[:, None] == clean)
+    assert auc > 0.97 and np.mean(toxic >= 0.3) > 0.85 and np.mean(clean >= 0.3) < 0.01
+
+
 def test_pipeline_stages_by_their_definitions(spark):
     """Each filtering stage against the plain definition of what it keeps, on its own input."""
     stages = dict(corpus_pipeline.STAGES)
