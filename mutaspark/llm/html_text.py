@@ -39,6 +39,8 @@ CLOSES = {
 TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)>|<[!?/][^>]*+>?""", re.DOTALL
 )
+#: What may stand behind the last end of a tag, besides text.
+UNCLOSED = re.compile(r"<!--.*\Z|<[!?/][^>]*+", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 LABEL = re.compile(r"""(?<![^\s"'/])data-block=([0-9]+)""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -64,6 +66,8 @@ def parse(page: str, labelled: bool = False) -> list[Node]:
     """The page's block elements and, as leaves, its blocks of text, parents before children. Tolerates what browsers do: tags left open or never opened, raw script, text outside of body. labelled: a training page, whose data-block attributes number its blocks."""
     nodes = [Node("#root", -1)]
     stack: list[tuple[str, int, bool]] = [("#root", 0, True)]  # open elements, inline ones as well, with the node each belongs to, and whether they are blocks
+    places: dict[str, list[int]] = {}  # where on the stack each tag is open
+    blocks = [0]  # where blocks are
     held: list[str] = []
     state = {"linked": 0, "links": 0, "unseen": 0, "foreign": 0}
     last_end: dict[str, int] = {}
@@ -71,7 +75,7 @@ def parse(page: str, labelled: bool = False) -> list[Node]:
 
     def flush():
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+            text = " ".join("".join(held).split())
             held.clear()
             if text:
                 at = stack[-1][1]
@@ -82,12 +86,19 @@ def parse(page: str, labelled: bool = False) -> list[Node]:
     def pop_to(k: int):
         nonlocal hidden
         while len(stack) > k:
-            tag = stack.pop()[0]
+            tag, _, block = stack.pop()
+            places[tag].pop()
+            if block:
+                blocks.pop()
             hidden -= tag in UNREAD
             state["links"] -= tag == "a"
             state["unseen"] -= tag in UNSEEN
             state["foreign"] -= tag in FOREIGN
 
+    def last_open(tag: str) -> int:
+        """The tag's last place on the stack, or 0."""
+        return on[-1] if (on := places.get(tag)) else 0
+
     def end_head():
         if stack[-1][0] == "head":
             pop_to(len(stack) - 1)
@@ -96,6 +107,7 @@ def parse(page: str, labelled: bool = False) -> list[Node]:
         if hidden and text.strip(SPACE):
             end_head()
         if text and not hidden:
+            text = entities.unescape(text) if "&" in text else text  # a reference ends where its text does
             held.append(text)
             if state["links"]:
                 state["linked"] += len(text.strip())
@@ -106,14 +118,19 @@ def parse(page: str, labelled: bool = False) -> list[Node]:
         return last_end[tag] >= at
 
     at, end = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends after it; what opens one there is looked at once
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, last) if at < last else UNCLOSED.search(page, at)
         if not m:
-            say(page[at:])
-            break
+            stop = last if at < last else end
+            say(page[at:stop])
+            at = stop
+            continue
         say(page[at : m.start()])
         at = m.end()
-        if not (tag := m["tag"]):
+        if m.re is UNCLOSED or not (tag := m["tag"]):
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = end
             continue
         tag = tag.lower()
         if m["close"]:
@@ -122,14 +139,11 @@ def parse(page: str, labelled: bool = False) -> list[Node]:
             if tag == "br":
                 say(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if stack[k][2]:
-                        flush()
-                    pop_to(k)
-                    break
-                if stack[k][2] and inline(tag):  # not open in this block
-                    break
+            k = last_open(tag)
+            if k > (blocks[-1] if inline(tag) else 0):  # else it isn't open, or not in this block
+                if stack[k][2]:
+                    flush()
+                pop_to(k)
             continue
         if state["foreign"] and m["attrs"].endswith("/"):
             continue
@@ -148,17 +162,11 @@ def parse(page: str, labelled: bool = False) -> list[Node]:
             flush()
             if tag in CLOSES:
                 ends, scope = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in scope:
-                        break
-                    if stack[k][0] in ends:
-                        pop_to(k)
-            for k in range(len(stack) - 1, 0, -1):  # a block closes an open paragraph
-                if stack[k][0] == "p":
+                within = max(map(last_open, scope))
+                while (k := max(map(last_open, ends))) > within:
                     pop_to(k)
-                    break
-                if stack[k][2]:
-                    break
+            if stack[blocks[-1]][0] == "p":  # a block closes an open paragraph
+                pop_to(blocks[-1])
         if tag in VOID:
             continue
         owner = stack[-1][1]
@@ -168,6 +176,9 @@ def parse(page: str, labelled: bool = False) -> list[Node]:
             owner = len(nodes) - 1
         if labelled and (label := LABEL.search(m["attrs"])):
             nodes[owner].own = int(label[1])
+        places.setdefault(tag, []).append(len(stack))
+        if block:
+            blocks.append(len(stack))
         stack.append((tag, owner, block))
         hidden += tag in UNREAD
         state["links"] += tag == "a"
@@ -319,19 +330,42 @@ def trained(pages: int = 250) -> Model:
     return fit(labelled_pages(pages))
 
 
+#: Elements that are furniture whatever they are called.
+FURNITURE = frozenset("nav aside header footer form button fieldset menu dialog".split())
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def plain(nodes: list[Node], model: Model) -> list[bool]:
+    """Of a page in which nothing looks like an article (short posts, bare paragraphs, text without markup), the blocks to take: those that aren't mostly links and stand in nothing that shows a sign of furniture, such an element, a name that speaks against content, or being hidden."""
+
+    @functools.cache
+    def sign(tag: str, attrs: str) -> bool:
+        return tag in FURNITURE or any(f == "hidden" or f.startswith("name:") and model.weights.get(f, 0.0) < 0 for f in element_features(tag, attrs))
+
+    clear = [True] * len(nodes)
+    for i, x in enumerate(nodes[1:], 1):
+        clear[i] = clear[x.parent] and (2 * x.linked < len(x.text) if x.text is not None else not sign(x.tag, x.attrs))
+    return clear
+
+
 def main_blocks(page: str | None, model: Model) -> list[str]:
-    """The article's blocks of text in page order."""
+    """The article's blocks of text in page order; where none but headings look like one, those as well that show no sign of furniture."""
     if not page:
         return []
     nodes = parse(page)
-    content = marginals(nodes, model)[0]
-    return [x.text for x, odds in zip(nodes, content, strict=True) if x.text is not None and odds > 0]
+    content = [odds > 0 for odds in marginals(nodes, model)[0]]
+    if not any(good and x.text is not None and nodes[x.parent].tag not in HEADINGS for x, good in zip(nodes, content, strict=True)):
+        content = [a or b for a, b in zip(content, plain(nodes, model), strict=True)]
+    return [x.text for x, good in zip(nodes, content, strict=True) if x.text is not None and good]
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:
     """page_id, url and blocks, the main text of each whole page as an array. One pass without a shuffle; the model (a few KB) goes with the tasks.
 
-    Null and empty pages have no blocks; malformed markup is read as browsers do; repeated rows each have a row;
+    Null and empty pages have no blocks; malformed markup is read as browsers do, in time that follows the page's
+    length; white space is what Unicode calls so, no-break spaces included; repeated rows each have a row;
     an empty table gives none; other columns are ignored.
     """
 

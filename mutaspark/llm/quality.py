@@ -17,7 +17,7 @@ CHUNK, OVERLAP = 512, 32
 FILTERS, WIDTH = 24, 6
 #: Labelled rows of each class that the network learns from, at most: the bound of the sample.
 SAMPLE = 1500
-#: Chunks of one training document that take part in one step, drawn from its whole text; others take part in other epochs.
+#: Chunks of one training document that take part in one step at least; over the epochs all of its whole text do.
 STEP_CHUNKS = 6
 EPOCHS = 14
 CUT = 0.7
@@ -67,13 +67,16 @@ def chunks(data: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step]
 
 
-def drawn(data: bytes, rng: np.random.Generator, most: int = STEP_CHUNKS) -> np.ndarray:
-    """All of a text's chunks, or so many of them at random."""
+def drawn(data: bytes, epoch: int, epochs: int, seed: int) -> np.ndarray:
+    """The chunks of a text that take part in an epoch: all of a short one; of a long one the next of a shuffled row of all, as many as it takes to have used each by the last epoch."""
     n, step = chunk_count(len(data)), CHUNK - OVERLAP
-    if n <= most:
+    if n <= STEP_CHUNKS:
         return chunks(data)
-    out = np.full((most, CHUNK), 256, np.int32)
-    for row, k in zip(out, rng.choice(n, most, replace=False), strict=True):
+    most = max(STEP_CHUNKS, -(-n // epochs))
+    turn = np.random.default_rng([seed, len(data)]).permutation(n)
+    picks = turn[(epoch * most + np.arange(min(most, n))) % n]
+    out = np.full((len(picks), CHUNK), 256, np.int32)
+    for row, k in zip(out, picks, strict=True):
         part = np.frombuffer(data, np.uint8, min(CHUNK, len(data) - k * step), k * step)
         row[: len(part)] = part
     return out
@@ -136,13 +139,14 @@ def score(net: Network, pairs: list[np.ndarray], texts: list[str | None], most:
 
 
 def train(docs: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """A network from whole texts, by Adam on the log loss. Each step takes a few chunks of each of 64 documents."""
+    """A network from whole texts, by Adam on the log loss. Each step takes chunks of each of 64 documents; over all epochs every chunk takes part. Labels of one class alone, or none, give a network that scores their share whatever the text."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(seed)
     keep = [i for i, d in enumerate(docs) if len(d)]
     labels = np.asarray(labels, np.float32)
     net.prior = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     if not keep or labels.min() == labels.max():
+        net.out[:], net.out_bias = 0, float(np.log(net.prior / (1 - net.prior)))
         return net
     params = [net.table, net.bias, net.hidden, net.hidden_bias, net.out, np.zeros(1, np.float32)]
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -151,7 +155,7 @@ def train(docs: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         order = rng.permutation(keep)
         for start in range(0, len(order), 64):
             batch = order[start : start + 64]
-            picks = [drawn(docs[i], rng) for i in batch]
+            picks = [drawn(docs[i], epoch, epochs, seed) for i in batch]
             block, owner = np.concatenate(picks), np.repeat(np.arange(len(batch)), [len(p) for p in picks])
             share = (1 / np.bincount(owner))[owner][:, None].astype(np.float32)
             pooled, where = convolve_plain(net, block)
@@ -225,8 +229,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Networ
 def with_scores(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id and score of each document's whole text, in one pass without a shuffle.
 
-    Null and empty texts have the labels' share of 1 as their score; repeated rows each have a row; an empty
-    table gives none; other columns are ignored. The network (200 KB) goes with the tasks.
+    Null and empty texts have the labels' share of 1 as their score, 0.5 where there are no labels; repeated rows
+    each have a row; an empty table gives none; other columns are ignored. The network (200 KB) goes with the tasks.
     """
 
     state: dict = {}

@@ -7,6 +7,8 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,9 @@ HARMLESS = {"file", "path", "url", "uri", "name", "id", "type", "length", "len",
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|changeme|change_me|example|placeholder|your.*|todo|none|null|nil|true|false|undefined|test|dummy|sample|<.*>|\$\{.*\}|\{\{.*\}\}|%\(?\w+\)?s?)$", re.ASCII)
 #: A literal is reported from this score on.
 REPORT = 0.8
+#: The longest joined value that is kept as text; of longer ones so many characters at either end, and counts of up to so many different ones.
+LONGEST, ENDS, DISTINCT = 4096, 64, 256
+KIND_PATTERNS = [re.compile(p) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
 
 #: name = "literal", name: literal, "name": "literal", d["name"] = ..., name: type = ..., name := ..., NAME => ... Names have any length: what may follow one is none of its characters, so nothing is tried again. One statement's left side and operator.
 LEFT = re.compile(r"""(?<![A-Za-z0-9_$.-])(?P<q>["'`]?)(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)(?P=q)(?:\x20*\])?(?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_\[\]|]*(?=\x20*=))?\x20*(?P<op>:=|=>|=(?![=>])|:(?![:/]))[\x20\t]*""", re.ASCII)
@@ -79,22 +84,86 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def literal_score(value: str) -> float:
+@dataclass(frozen=True)
+class Long:
+    """What a score looks at of a value that is longer than LONGEST: names that are joined again and again would else double it with every line. counts: of its characters, or None for more than DISTINCT different ones, which count as high entropy."""
+
+    length: float
+    head: str
+    tail: str
+    counts: dict[str, float] | None
+    kinds: int  # bits, see KIND_PATTERNS
+    spaced: bool
+
+    @staticmethod
+    def of(piece: str | Long) -> Long:
+        if isinstance(piece, Long):
+            return piece
+        counts = Counter(piece)
+        kinds = sum(1 << k for k, p in enumerate(KIND_PATTERNS) if p.search(piece))
+        return Long(float(len(piece)), piece[:ENDS], piece[-ENDS:], counts if len(counts) <= DISTINCT else None, kinds, any(c.isspace() for c in counts))
+
+    def __add__(self, other: Long) -> Long:
+        head = self.head + other.head if self.length < ENDS else self.head
+        tail = self.tail + other.tail if other.length < ENDS else other.tail
+        counts = None if self.counts is None or other.counts is None else Counter(self.counts) + Counter(other.counts)
+        length = self.length + other.length
+        if length > 1e60:  # only shares count by now
+            length, counts = length / 1e40, counts and {c: n / 1e40 for c, n in counts.items()}
+        return Long(length, head[:ENDS], tail[-ENDS:], counts if counts is not None and len(counts) <= DISTINCT else None, self.kinds | other.kinds, self.spaced or other.spaced)
+
+
+def joined_value(pieces: list[str | Long]) -> str | Long:
+    if all(isinstance(p, str) for p in pieces) and sum(map(len, pieces)) <= LONGEST:
+        return "".join(pieces)
+    total = Long.of(pieces[0])
+    for p in pieces[1:]:
+        total = total + Long.of(p)
+    return total
+
+
+def literal_score(value: str | Long) -> float:
     """How much a literal looks like a secret, 0 to 1."""
+    if isinstance(value, Long):
+        if value.spaced:
+            return 0.0
+        if value.counts is not None:  # stands for the value: its ends, and between them what else it holds
+            middle = "".join(c for c in value.counts if c not in value.head and c not in value.tail)
+            if PLACEHOLDER.match(value.head + middle + value.tail):
+                return 0.0
+        high = value.counts is None or -sum(c / value.length * math.log2(c / value.length) for c in value.counts.values()) >= 3
+        return min(1.0, 0.25 + 0.07 * 12 / 2 + 0.1 * (value.kinds.bit_count() - 1) + 0.1 * high)
     if len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
         return 0.0
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    kinds = sum(bool(p.search(value)) for p in KIND_PATTERNS)
     return min(1.0, 0.25 + 0.07 * min(len(value), 12) / 2 + 0.1 * (kinds - 1) + 0.1 * (entropy(value) >= 3))
 
 
-def lex(text: str) -> list[tuple[str, int, int, str, bool, list[tuple[int, int]]]]:
+#: Where a name's value comes from: places of literals, and of what other names they were joined with.
+Origin = tuple[tuple[tuple[int, int], ...], tuple["Origin", ...]]
+
+
+def places(origins: Iterable[Origin]) -> list[tuple[int, int]]:
+    """The places of all literals behind some names, each once; what is behind several names is walked once."""
+    seen, out, left = set(), {}, list(origins)
+    while left:
+        node = left.pop()
+        if id(node) not in seen:
+            seen.add(id(node))
+            out.update(dict.fromkeys(node[0]))
+            left += node[1]
+    return [*out]
+
+
+def lex(text: str) -> list[tuple[str, int, int, str | Long, bool, tuple[Origin, ...]]]:
     """(name, start, end, value, own, behind) of each assignment, in order: the right side's place and the value after constants are propagated.
 
     A right side may join literals and earlier names; a name has the value last given to it above. Assignments in
     comments and those inside a literal are read, but give no name its value. own: the right side has a literal
-    itself. behind: the places of the literals that names on it stand for, each once.
+    itself. behind: where the names on it have their values from. A value and its origin are held by reference, so
+    memory follows the text's length, however names are joined.
     """
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    known: dict[str, tuple[str | Long, Origin]] = {}
     out = []
     at = quoted = seen = 0
     commented = False
@@ -102,23 +171,24 @@ def lex(text: str) -> list[tuple[str, int, int, str, bool, list[tuple[int, int]]
         line = text.rfind("\n", seen, m.start()) + 1
         commented = bool((commented and not line) or COMMENT.search(text[line or max(0, seen - 1) : m.start()]))
         seen = m.start()
-        at, value, start, whole = m.end(), "", m.end(), True
+        at, pieces, start, whole = m.end(), [], m.end(), True
         end, own, behind = at, [], {}
         while atom := ATOM.match(text, end):
             if atom["lit"] is not None:
                 quotes = 3 if len(atom["lit"]) >= 6 and atom["lit"][:3] in ('"' * 3, "'" * 3) else 1
-                value += atom["lit"][quotes:-quotes]
+                pieces.append(atom["lit"][quotes:-quotes])
                 own.append((atom.start("lit") + quotes, atom.end("lit") - quotes))
             elif atom["ref"] is not None and (ref := atom["ref"].strip("${}")) in known:
-                value += known[ref][0]
-                behind |= dict.fromkeys(known[ref][1])
+                pieces.append(known[ref][0])
+                behind[id(known[ref][1])] = known[ref][1]
             elif start == end and atom["ref"] is not None and not JOIN.match(text, atom.end()):  # a bare word of a configuration file
                 bare = BARE.match(text, end)
                 value, end = (bare[0], bare.end()) if bare else (atom[0], atom.end())
+                pieces = [value]
                 own.append((atom.start(), end))
                 break
             elif atom["bare"] is not None and start == end:
-                value, end = atom["bare"], atom.end()
+                pieces, end = [atom["bare"]], atom.end()
                 own.append((atom.start(), end))
                 break
             else:
@@ -128,9 +198,10 @@ def lex(text: str) -> list[tuple[str, int, int, str, bool, list[tuple[int, int]]
             if not (more := JOIN.match(text, end)):
                 break
             end = more.end()
+        value = joined_value(pieces) if pieces else ""
         if end > start and whole and value:
             if m.start() >= quoted and not commented:
-                known[m["name"]] = value, [*dict.fromkeys([*behind, *own])]
+                known[m["name"]] = value, (tuple(own), tuple(behind.values()))
             literal = text[start:end].lstrip("bBfFrRuU")[:1] in ("'", '"', "`") and bool(own)
             if literal and len(own) == 1 and not behind:
                 start, end = own[0]
@@ -138,17 +209,17 @@ def lex(text: str) -> list[tuple[str, int, int, str, bool, list[tuple[int, int]]
                 start, end = own[0][0], own[-1][1]
             else:
                 start, end = start + (text[start] in "\"'`"), end - (text[end - 1] in "\"'`")
-            out.append((m["name"], start, end, value, bool(own), [*behind]))
+            out.append((m["name"], start, end, value, bool(own), tuple(behind.values())))
             if literal:  # what the literals hold is read next
                 quoted = max(quoted, end)
             else:
                 at = max(at, end)
     if "<" in text:
-        out += [(x["name"], *x.span("lit"), x["lit"], True, []) for p in (ELEMENT, ENTRY) for x in p.finditer(text)]
+        out += [(x["name"], *x.span("lit"), x["lit"], True, ()) for p in (ELEMENT, ENTRY) for x in p.finditer(text)]
     return out
 
 
-def likely(text: str) -> list[tuple[int, int, bool, list[tuple[int, int]]]]:
+def likely(text: str) -> list[tuple[int, int, bool, tuple[Origin, ...]]]:
     """(start, end, own, behind) of the right sides that their targets' names and their value's look make likely secrets."""
     if "=" not in text and ":" not in text and "</" not in text:  # every operator and element has one of them
         return []
@@ -157,13 +228,14 @@ def likely(text: str) -> list[tuple[int, int, bool, list[tuple[int, int]]]]:
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """Likely secrets: right sides with a literal of their own; of names alone, the literals that they stand for."""
-    found = (place for start, end, own, behind in likely(text) for place in ([(start, end)] if own else behind))
-    return [(*place, "lexed") for place in dict.fromkeys(found)]
+    found = likely(text)
+    own = [(start, end) for start, end, own, _ in found if own]
+    return [(*place, "lexed") for place in dict.fromkeys([*own, *places(x for _, _, own, behind in found if not own for x in behind)])]
 
 
 def joined_literals(text: str | None) -> list[tuple[int, int]]:
     """Literals that reach a likely secret by a name that is joined with others there; the secret's span is the joined expression."""
-    return sorted({place for _, _, own, behind in likely(text or "") if own for place in behind})
+    return sorted(places(x for _, _, own, behind in likely(text or "") if own for x in behind))
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:
