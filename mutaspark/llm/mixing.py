@@ -38,9 +38,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return levels.selectExpr("source", "source_size", "case when at is null or most / w <= at then cast(most as double) else at * w end as target")
 
 
-def uniform(key: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) that depends on the key and seed alone: 48 bits of an MD5, so that other engines can draw it too."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("double")
+def uniform(key: Column, seed: str = SEED, nth: Column | None = None) -> Column:
+    """A number in (0, 1) that depends on the key, its repetition and the seed alone: 48 bits of an MD5, so that other engines can draw it too."""
+    again = F.lit("") if nth is None else F.when(nth > 0, F.concat(F.lit("#"), nth.cast("string"))).otherwise("")
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")), again).cast("binary")), 1, 12), 16, 10).cast("double")
     return (bits + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
@@ -76,10 +77,10 @@ def pareto_mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEI
     a source's rows, and only those are sorted.
 
     Null sources are one source, the last. Null texts and texts without words have size 0 and are taken the
-    certain number of times. Rows repeated with one doc_id have one u. An empty table gives no rows. Other
-    columns are ignored.
+    certain number of times. Rows that share doc_id, source and size are numbered, and each number has a u of its
+    own, so they are taken one by one as others are. An empty table gives no rows. Other columns are ignored.
     """
-    rows, decided = _scheme(docs, scratch, weights, share, cap, seed)
+    rows, _, decided = _scheme(docs, scratch, weights, share, cap, seed)
     return decided(rows).select("doc_id", "source", "size", "source_size", "target", "copies").withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -87,9 +88,33 @@ def word_count() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _scheme(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: int = CAP, seed: str = SEED) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """doc_id, source and size of docs; and what adds source_size, target and copies to any rows that have these three. All it needs are tables of a row a source."""
-    rows = scratch.keep(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
+def numbered(rows: DataFrame, repeats: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
+    """rows (doc_id, source, size and more) with `nth`: from 0 within equal doc_id, source and size, in any order. repeats: those of the three that occur more than once; None for none.
+
+    Repeated rows are set aside with their partition and place in it; they are counted by partition, and the counts
+    before each give its first number. So however many rows repeat, each task numbers those of one partition.
+    """
+    if repeats is None:
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    again = repeats.selectExpr("doc_id as d", "source as s", "size as z")
+    same = F.expr("doc_id <=> d and source <=> s and size = z")
+    alone = rows.join(again, same, "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    aside = scratch.keep(rows.join(again, same, "left_semi").withColumn("place", F.monotonically_increasing_id()), name).withColumn("part", F.expr("shiftright(place, 33)"))
+    counts = aside.groupBy("doc_id", "source", "size", "part").agg(F.count("*").alias("n"))
+    first = counts.selectExpr("doc_id as d", "source as s", "size as z", "part as p", "coalesce(sum(n) over (partition by doc_id, source, size order by part rows between unbounded preceding and 1 preceding), 0) as first")
+    within = aside.withColumn("at", F.expr("row_number() over (partition by doc_id, source, size, part order by place) - 1"))
+    placed = within.join(first, same & (F.col("part") == F.col("p"))).withColumn("nth", F.col("first") + F.col("at"))
+    return alone.unionByName(placed.select(*alone.columns))
+
+
+def _scheme(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: int = CAP, seed: str = SEED) -> tuple[DataFrame, DataFrame | None, Callable[[DataFrame], DataFrame]]:
+    """doc_id, source, size and nth of docs; what of the first three repeats; and what adds source_size, target and copies to any rows that have these four. All it needs are tables of a row a source."""
+    sizes = scratch.keep(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
+    repeats = scratch.keep(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeats")
+    repeats = None if repeats.isEmpty() else repeats
+    rows = numbered(sizes, repeats, scratch, "repeated")
+    if repeats is not None:
+        rows = scratch.keep(rows, "numbered")
     aims = scratch.keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
     aims = aims.selectExpr("source as aim_source", "source_size", "target", "case when source_size > 0 then floor(target / source_size) else 0 end as whole")
     aims = aims.selectExpr("*", "case when source_size > 0 then target - whole * source_size else 0D end as rest")
@@ -97,7 +122,7 @@ def _scheme(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHT
     plan = scratch.keep(plan, "plan")  # its size is known from here on, so that rows aren't dealt out by source where it is small
 
     def ranked(some: DataFrame) -> DataFrame:
-        drawn = some.join(plan, some.source.eqNullSafe(plan.aim_source)).drop("aim_source").withColumn("u", uniform(F.col("doc_id"), seed))
+        drawn = some.join(plan, some.source.eqNullSafe(plan.aim_source)).drop("aim_source").withColumn("u", uniform(F.col("doc_id"), seed, F.col("nth")))
         drawn = drawn.withColumn("p", F.expr("case when size > 0 then case when size > sure then 1D else rate * size end end"))
         drawn = drawn.withColumn("q", F.expr("case when p < 1 and p > 0 then (u / (1 - u)) / (p / (1 - p)) end"))
         return drawn.withColumn("z", F.expr(f"q / (1 + q) * {CELLS}")).withColumn("c1", F.floor("z")).withColumn("c2", F.expr(f"floor((z - c1) * {CELLS})"))
@@ -128,7 +153,7 @@ def _scheme(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHT
         more = "not one and q is not null and struct(q, doc_id) <=> struct(best.q, best.doc_id)"
         return picked(some).join(fill, F.expr("source <=> fill_source"), "left").withColumn("copies", F.expr(f"cast(whole + case when one or ({more}) then 1 else 0 end as long)"))
 
-    return rows, decided
+    return rows, repeats, decided
 
 
 def _crossing(cells: DataFrame, cell: str, base: Column) -> DataFrame:
@@ -143,11 +168,11 @@ def _small(cut: DataFrame) -> bool:
 
 
 def mixed(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """The mix itself: rows of docs, with all their columns, each as often as it is taken. Rows stay where they are; rows with one doc_id, source and size are taken alike."""
-    _, decided = _scheme(docs, scratch, **how)
+    """The mix itself: rows of docs, with all their columns, each as often as it is taken. Rows stay where they are, but for those that repeat in doc_id, source and size."""
+    _, repeats, decided = _scheme(docs, scratch, **how)
     rows = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     times = F.explode(F.expr("array_repeat(true, cast(copies as int))"))
-    return decided(rows).where("copies > 0").select("row", times.alias("once")).select("row.*")
+    return decided(numbered(rows, repeats, scratch, "repeated-rows")).where("copies > 0").select("row", times.alias("once")).select("row.*")
 
 
 def op3_pareto_mix(spark, sf_dir: str) -> DataFrame:
@@ -159,7 +184,8 @@ def op3_pareto_mix(spark, sf_dir: str) -> DataFrame:
 def op3_sql(seed: str = SEED) -> str:
     """The same mix by plain sorts over all rows of a source, for other engines."""
     return rf"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+with d0 as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+d as (select *, row_number() over (partition by doc_id, source, size) - 1 as nth from d0),
 s as (select source, sum(size)::bigint as source_size, sum(size)::bigint * {CAP} as most,
   (array[{", ".join(map(str, WEIGHTS))}])[((row_number() over (order by source asc nulls last) - 1) % {len(WEIGHTS)} + 1)::int] as w from d group by source),
 r as (select *, sum(source_size) over ()::double as total,
@@ -168,7 +194,7 @@ r as (select *, sum(source_size) over ()::double as total,
 l as (select *, max(case when (total - filled) / remaining <= most::double / w then (total - filled) / remaining end) over () as lvl from r),
 t as (select source, source_size, case when lvl is null or most::double / w <= lvl then most::double else lvl * w end as target from l),
 a as (select d.doc_id, d.size, d.source, t.source_size, t.target, case when source_size > 0 then floor(target / source_size) else 0 end as whole,
-  ((('0x' || substr(md5('{seed}:' || coalesce(d.doc_id::varchar, 'null')), 1, 12))::bigint)::double + 0.5) / {float(1 << 48)!r}::double as u
+  ((('0x' || substr(md5('{seed}:' || coalesce(d.doc_id::varchar, 'null') || case when nth > 0 then '#' || nth else '' end), 1, 12))::bigint)::double + 0.5) / {float(1 << 48)!r}::double as u
   from d join t on d.source is not distinct from t.source),
 b as (select *, case when source_size > 0 then target - whole * source_size else 0 end as rest from a),
 -- Larger documents are certain as long as the rate that is left for this one and smaller ones is above 1.

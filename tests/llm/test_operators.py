@@ -345,6 +345,24 @@ def test_mix(spark):
     assert mixing.pareto_mix(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_mix_takes_repeated_rows_one_by_one(spark):
+    """Sources of rows of one doc_id, of none, and of both kinds come as near to their target as others do, and SQL agrees."""
+    rows = [(7, "w " * 8, "a")] * 40 + [(None, "w " * 8, "b")] * 30 + [(9, "w " * 5, "b")] * 3 + [(100 + k, "w " * (3 + k % 9), "c") for k in range(60)] + [(200, "w " * 4, "c")] * 25 + [(300, "x", None)] * 2
+    docs = documents(spark, rows)
+    got = mixing.pareto_mix(docs, Scratch(spark, "t")).collect()
+    assert len(got) == len(rows)
+    for s in ("a", "b", "c"):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2 and max(r.copies for r in own) - min(r.copies for r in own) <= 2
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    assert sorted(map(str, con.sql(mixing.OP3_SQL).fetchall())) == sorted(str((r.doc_id, r.size, r.source_size, r.target, r.taken)) for r in got)
+    mixed = mixing.mixed(docs, Scratch(spark, "t"))
+    count = lambda pairs: sorted(map(str, pairs))
+    assert mixed.columns == docs.columns and count((r.doc_id, r.source) for r in mixed.collect()) == count((r.doc_id, r.source) for r in got for _ in range(r.copies))
+
+
 def test_mix_takes_documents_by_their_inclusion_probability():
     """Over many seeds, each document is taken as often as its probability says, in proportion to its size; small ones somewhat more, as the last one is picked by fit."""
     sizes = [10 + 7 * k % 61 for k in range(60)]
