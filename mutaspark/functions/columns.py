@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def _literals(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f uses it. Without this, a filter on f copies the value's whole expression to each of its uses."""
+    return F.transform(F.array(value), f)[0]
+
+
 def empty_if_null(x: ColumnOrName) -> Column:
     return F.coalesce(_col(x), F.lit(""))
 
@@ -93,6 +100,12 @@ def is_ulid(text: ColumnOrName) -> Column:
     return F.coalesce(_col(text).rlike(ULID), F.lit(False))
 
 
+def ulid(millis: ColumnOrName, high: ColumnOrName, low: ColumnOrName) -> Column:
+    """A new id: 48 bits of time, then 80 bits of chance as two whole numbers of 40 bits, in digits of base 32."""
+    digits = lambda x, n: F.lpad(F.translate(F.lower(F.conv(_col(x).cast("string"), 10, 32)), "abcdefghijklmnopqrstuv", "ABCDEFGHJKMNPQRSTVWXYZ"), n, "0")
+    return F.concat(digits(millis, 10), digits(high, 8), digits(low, 8))
+
+
 def ulid_millis(text: ColumnOrName) -> Column:
     """Milliseconds since 1970 in a ULID's first ten characters; null if it isn't one."""
     plain = F.translate(F.upper(F.substring(_col(text), 1, 10)), "ABCDEFGHJKMNPQRSTVWXYZ", "abcdefghijklmnopqrstuv")

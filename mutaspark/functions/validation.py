@@ -15,12 +15,16 @@ def broken(*rules: tuple[str, Column]) -> Column:
 
 
 def command_problems(c: Column, body_bytes: Column | None = None, naming: Naming = NAMING) -> Column:
-    """All rules that a command breaks."""
+    """All rules that a command, a struct, breaks. The struct is computed once."""
+    size = F.lit(0) if body_bytes is None else body_bytes
+    return C.bound(F.struct(c.alias("command"), size.alias("size")), lambda x: _command_problems(x["command"], x["size"], naming))
+
+
+def _command_problems(c: Column, size: Column, naming: Naming) -> Column:
     key = C.empty_if_null(c["idempotencyKey"])
     where = F.concat(C.empty_if_null(c["path"]), C.empty_if_null(c["rawQuery"]))
     instance = F.substring(c["replyTo"], len(naming.reply_topics) + 1, 1 << 30)
     issued, deadline, expires = (c[x].cast("timestamp") for x in ("issuedAt", "deadline", "expiresAt"))
-    size = F.lit(0) if body_bytes is None else body_bytes
     rules = broken(
         ("version", c["v"] != VERSION),
         ("request_id", ~C.is_ulid(c["requestId"])),
@@ -40,7 +44,11 @@ def command_problems(c: Column, body_bytes: Column | None = None, naming: Naming
 
 
 def response_problems(r: Column) -> Column:
-    """All rules that a response breaks. A service's own status goes with a fault exactly where the service ran."""
+    """All rules that a response, a struct, breaks. A service's own status goes with a fault exactly where the service ran."""
+    return C.bound(r, _response_problems)
+
+
+def _response_problems(r: Column) -> Column:
     fault, upstream = C.empty_if_null(r["fault"]), F.coalesce(r["upstreamStatus"], F.lit(0))
     ran = (fault != "") & F.coalesce(C.fault_execution(fault) == "done", F.lit(False))
     known = C.fault_status(fault)
@@ -58,10 +66,13 @@ def response_problems(r: Column) -> Column:
 
 
 def result_problem(res: Column, naming: Naming = NAMING) -> Column:
-    """The first rule that a result breaks, or null."""
+    """The first rule that a result, a struct, breaks, or null."""
+    return C.bound(res, lambda x: C.bound(F.struct(x.alias("result"), _command_problems(x["command"], F.lit(0), naming).alias("command"), _response_problems(x["response"]).alias("response")), lambda y: _result_problem(y["result"], y["command"], y["response"])))
+
+
+def _result_problem(res: Column, command: Column, response: Column) -> Column:
     c, r = res["command"], res["response"]
     outcome = C.outcome_of(r["status"], r["fault"], r["upstreamStatus"])
-    command, response = command_problems(c, naming=naming), response_problems(r)
     return (
         F.when(F.coalesce(res["v"] != VERSION, F.lit(True)), "version")
         .when(F.size(command) > 0, F.concat(F.lit("command_"), command[0]))

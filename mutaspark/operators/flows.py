@@ -237,30 +237,35 @@ def resolved(requests: DataFrame, contract: Contract, method: str = "method", pa
     for a path, a literal before a parameter from the left, is chosen before its methods are looked at.
     """
     templates = sorted({o.template for o in contract.operations}, key=specificity)
+
+    def routed(x: Column) -> Column:
+        """template, path_params, operation_id, allow of a row's method, path and decoded segments."""
+        segments = x["segments"]
+        usable = segments.isNotNull() & F.forall(segments, lambda s: F.coalesce(~s.isin("", ".", ".."), F.lit(False)))
+        chosen = F.lit(None).cast("struct<template:string,path_params:map<string,string>,operation_id:string,allow:array<string>>")
+        for t in reversed(templates):
+            parts = segments_of(t)
+            fits = usable & (F.size(segments) == len(parts))
+            names = {}
+            for i, p in enumerate(parts):
+                here = F.try_element_at(segments, F.lit(i + 1))
+                if m := PARAMETER.fullmatch(p):
+                    names[m[1]] = here
+                else:
+                    fits = fits & (here == p)
+            own = {o.method: o.id for o in contract.operations if o.template == t}
+            by_method = F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), x["method"])
+            made = F.create_map(*[x for n, v in names.items() for x in (F.lit(n), v)]) if names else F.create_map().cast("map<string,string>")
+            chosen = F.when(fits, F.struct(F.lit(t).alias("template"), made.alias("path_params"), by_method.alias("operation_id"), F.array(*[F.lit(m) for m in sorted(own)]).alias("allow"))).otherwise(chosen)
+        return chosen
+
     raw = F.when(F.col(path) == "/", F.array().cast("array<string>")).otherwise(F.split(F.substring(F.col(path), 2, 1 << 30), "/"))
     # A plus is itself in a path.
-    segments = F.transform(raw, lambda s: F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))))
-    rows = requests.withColumn("route_segments", F.when(F.col(path).startswith("/"), segments))
-    usable = F.col("route_segments").isNotNull() & F.forall("route_segments", lambda s: F.coalesce(~s.isin("", ".", ".."), F.lit(False)))
-    chosen, params, operation, allow = (F.lit(None).cast(t) for t in ("string", "map<string,string>", "string", "array<string>"))
-    for t in reversed(templates):
-        parts = segments_of(t)
-        fits = usable & (F.size("route_segments") == len(parts))
-        names = {}
-        for i, p in enumerate(parts):
-            here = F.try_element_at("route_segments", F.lit(i + 1))
-            if m := PARAMETER.fullmatch(p):
-                names[m[1]] = here
-            else:
-                fits = fits & (here == p)
-        own = {o.method: o.id for o in contract.operations if o.template == t}
-        by_method = F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), F.col(method))
-        made = F.create_map(*[x for n, v in names.items() for x in (F.lit(n), v)]) if names else F.create_map().cast("map<string,string>")
-        chosen, params = F.when(fits, F.lit(t)).otherwise(chosen), F.when(fits, made).otherwise(params)
-        operation, allow = F.when(fits, by_method).otherwise(operation), F.when(fits, F.array(*[F.lit(m) for m in sorted(own)])).otherwise(allow)
-    rows = rows.withColumns({"template": chosen, "path_params": params, "operation_id": operation, "allow": allow})
-    route = F.when(F.col("template").isNull(), "not_found").when(F.col("operation_id").isNull(), "method_not_allowed").otherwise("found")
-    return rows.withColumn("route", route).withColumn("allow", F.when(F.col("route") == "method_not_allowed", F.col("allow"))).drop("route_segments")
+    segments = F.when(F.col(path).startswith("/"), F.transform(raw, lambda s: F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))))
+    rows = requests.withColumn("routed", C.bound(F.struct(segments.alias("segments"), F.col(method).alias("method")), routed))
+    rows = rows.withColumns({n: F.col(f"routed.{n}") for n in ("template", "path_params", "operation_id", "allow")})
+    route = F.when(F.col("routed").isNull(), "not_found").when(F.col("operation_id").isNull(), "method_not_allowed").otherwise("found")
+    return rows.withColumn("route", route).withColumn("allow", F.when(F.col("route") == "method_not_allowed", F.col("allow"))).drop("routed")
 
 
 def drifted(commands: DataFrame, contract: Contract) -> DataFrame:

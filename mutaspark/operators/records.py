@@ -31,8 +31,7 @@ FIELDS = {S.COMMAND: S.COMMAND_FIELDS, S.RESPONSE: S.RESPONSE_FIELDS, S.RESULT:
 
 def json_text(value: Column) -> Column:
     """A record's value as text where it is JSON."""
-    text = value.cast("string")
-    return F.when(F.is_valid_utf8(text) & C.is_json(text), text)
+    return C.bound(value.cast("string"), lambda text: F.when(F.is_valid_utf8(text) & C.is_json(text), text))
 
 
 def decoded(log: DataFrame, kind: str, as_: str) -> DataFrame:
