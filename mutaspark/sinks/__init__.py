@@ -37,9 +37,13 @@ def latency_report(rows: DataFrame) -> str:
 
 
 def topic_table(spark, services: dict[str, int], naming) -> DataFrame:
-    """The topics that services need: name, partitions, cleanup policy, retention and size limit."""
-    rows = []
-    for s, n in services.items():
-        rows += [(f"{naming.command_topics}{s}", n, "delete", None, 8 << 20), (f"{naming.result_topics}{s}", n, "delete", None, 8 << 20), (f"state.{s}", n, "compact", None, 8 << 20)]
-        rows.append((f"{naming.reply_topics}{s}", 1, "delete", 3_600_000, 8 << 20))
-    return spark.createDataFrame(rows, "topic string, partitions int, cleanup string, retention_ms long, max_message_bytes long").orderBy(F.col("topic"))
+    """`topics_needed` of services by name, with their partitions."""
+    return topics_needed(spark.createDataFrame([*services.items()], "service string, partitions int"), naming).orderBy("topic")
+
+
+def topics_needed(services: DataFrame, naming) -> DataFrame:
+    """The topics that services (service, partitions) need: name, partitions, cleanup policy, retention and size limit."""
+    topic = lambda prefix, n, cleanup, kept: F.struct(F.concat(F.lit(prefix), "service").alias("topic"), n.cast("int").alias("partitions"), F.lit(cleanup).alias("cleanup"), F.lit(kept).cast("long").alias("retention_ms"), F.lit(8 << 20).cast("long").alias("max_message_bytes"))
+    n = F.col("partitions")
+    each = [topic(naming.command_topics, n, "delete", None), topic(naming.reply_topics, F.lit(1), "delete", 3_600_000), topic(naming.result_topics, n, "delete", None), topic("state.", n, "compact", None)]
+    return services.select(F.explode(F.array(*each)).alias("t")).select("t.*")

@@ -9,8 +9,8 @@ from mutaspark.contract import Contract
 from mutaspark.operators import events as E
 from mutaspark.operators import records as R
 from mutaspark.schema import NAMING, Naming
-from mutaspark.sinks import write_outputs
-from mutaspark.streaming import stateful
+from mutaspark.sinks.commits import Commits, publish_outputs
+from mutaspark.streaming import metrics, stateful
 
 
 def derivations(log: DataFrame, keys: DataFrame, contract: Contract, partitions: int | None = None, naming: Naming = NAMING) -> DataFrame:
@@ -38,15 +38,27 @@ def outputs(rows: DataFrame) -> dict[str, DataFrame]:
     return {"events": E.cloud_events(rows), "failures": E.failure_pointers(rows)}
 
 
+def positions(rows: DataFrame) -> DataFrame:
+    """How far results were read: for each partition the offset after the last."""
+    return rows.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("position"))
+
+
+def reached(commits: Commits) -> DataFrame | None:
+    """Positions that all published batches together have reached."""
+    rows = commits.read("positions")
+    return None if rows is None else rows.groupBy("topic", "partition").agg(F.max("position").alias("position"))
+
+
 def run(log: DataFrame, keys: DataFrame, contract: Contract, path: str, checkpoint: str, window_s: int, partitions: int | None = None, now_us: int | None = None, naming: Naming = NAMING):
-    """Runs over what there is of a streamed log, and goes on from its checkpoint the next time. Each batch writes its events and failures to folders of its own under `path`, and writes the same again if it has to run again."""
-    rows = derivations(log, keys, contract, partitions, naming).where("kind <> 'none'")
+    """Runs over what there is of a streamed log, and goes on from its checkpoint the next time. Each batch publishes its events, its failures and how far it has read at once, under `path` (see `Commits`); a batch that has to run again is published once. A `metrics.Progress` that listens to the session gets each batch's counts."""
+    rows = derivations(R.committed(log), keys, contract, partitions, naming)
     rows = rows.withColumns({"completed_us": F.unix_micros("completed_at"), "details": F.to_json("details")})
     rows = rows.select(*stateful.FIELDS)
-    once = stateful.events_once(rows.where("kind = 'event'"), window_s, now_us).union(rows.where("kind = 'failure'"))
+    once = stateful.events_once(rows.where("kind = 'event'"), window_s, now_us).union(rows.where("kind <> 'event'"))
+    once = metrics.counted(once, metrics.derivation_counts())
 
     def split(batch: DataFrame) -> dict[str, DataFrame]:
         texts = F.coalesce(F.from_json("details", "array<string>"), F.when(F.col("details").isNotNull(), F.array("details")))
-        return outputs(batch.withColumns({"details": texts, "completed_at": F.timestamp_micros("completed_us")}))
+        return outputs(batch.withColumns({"details": texts, "completed_at": F.timestamp_micros("completed_us")})) | {"positions": positions(batch)}
 
-    return stateful.run_to_end(once, checkpoint, write_outputs(path, split))
+    return stateful.run_to_end(once, checkpoint, publish_outputs(path, split))

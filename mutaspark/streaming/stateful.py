@@ -94,10 +94,10 @@ def decisions(commands: DataFrame, settings: Settings = Settings()) -> DataFrame
     return inputs(commands).groupBy("dedup_key").applyInPandasWithState(step, OUTPUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, write, mode: str = "append"):
-    """Runs a stream over what there is now, with its state in RocksDB, and waits. write: a foreachBatch function. There are no batches without data, which timers of the machine's clock would ask for without end."""
+def run_to_end(stream: DataFrame, checkpoint: str, write, mode: str = "append", empty_batches: bool = False):
+    """Runs a stream over what there is now, with its state in RocksDB, and waits. write: a foreachBatch function. empty_batches: whether a batch without data follows where the watermark has moved; timers of the machine's clock would ask for such batches without end."""
     spark = stream.sparkSession
-    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower()}
     before = {key: spark.conf.get(key, None) for key in own}
     for key, value in own.items():
         spark.conf.set(key, value)
