@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -189,8 +189,13 @@ def decided(c: dict, d: dict) -> dict:
     return {"dedup_key": c["dedup_key"], "request_id": c["request_id"], "partition": c["partition"], "offset": c["offset"], **d}
 
 
-def replayed(commands: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Decisions over a bounded log. A scope's commands are decided in log order, in one pass over sorted partitions: only one scope's state is held, however many commands it has."""
+#: An entry of a scope as a row: what a snapshot of the memory holds, and what a machine may start from.
+ENTRY = "dedup_key string, request_id string, fingerprint string, phase string, outcome string, status int, fault string, answered boolean, purge_after long"
+_SEED = "struct<" + ",".join(x.strip().replace(" ", ":") for x in ENTRY.split(",")[1:]) + ">"
+
+
+def replayed(commands: DataFrame, settings: Settings = Settings(), entries: DataFrame | None = None) -> DataFrame:
+    """Decisions over a bounded log. A scope's commands are decided in log order, in one pass over sorted partitions: only one scope's state is held, however many commands it has. entries (columns ENTRY): what the memory holds at the start."""
     names = [x.split()[0] for x in OUTPUT.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,12 +205,53 @@ def replayed(commands: DataFrame, settings: Settings = Settings()) -> DataFrame:
             for c in map(plain, frame.to_dict("records")):
                 if c["dedup_key"] != key:
                     key, state = c["dedup_key"], State()
+                if c["seed"] is not None:  # sorts before the scope's commands
+                    state.entry = entry_of(c["seed"])
+                    continue
                 state, d = decide(state, c, settings)
                 if d:
                     out.append(decided(c, d))
             yield pd.DataFrame(out, columns=names)
 
-    return inputs(commands).repartition("dedup_key").sortWithinPartitions("dedup_key", "partition", "offset").mapInPandas(run, OUTPUT)
+    rows = inputs(commands).withColumn("seed", F.lit(None).cast(_SEED)).withColumn("last", F.lit(1))
+    if entries is not None:
+        seeds = entries.select("dedup_key", F.struct(*[x.split()[0] for x in ENTRY.split(", ")][1:]).cast(_SEED).alias("seed"), F.lit(0).alias("last"))
+        rows = rows.unionByName(seeds, allowMissingColumns=True)
+    return rows.repartition("dedup_key").sortWithinPartitions("dedup_key", "last", "partition", "offset").drop("last").mapInPandas(run, OUTPUT)
+
+
+def entry_of(seed) -> Entry:
+    """An entry from a row of ENTRY's fields, without its key."""
+    x = plain(seed if isinstance(seed, dict) else seed.asDict())
+    return Entry(x["request_id"], x["fingerprint"], x["phase"], x["outcome"] or "", int(x["status"] or 0), x["fault"] or "", bool(x["answered"]), int(x["purge_after"] or 0))
+
+
+def genesis(log: DataFrame, now_us: int, window_us: int) -> DataFrame:
+    """Where a memory starts that knows nothing: for each partition of a command log (partition, offset, timestamp) memory_start, below which nothing is executed; scan_from, from where commands of the idempotency window claim their scopes; and blind, whether some of those may have been deleted already."""
+    rows = log.groupBy("partition").agg((F.max("offset") + 1).alias("memory_start"), F.min("offset").alias("first"), F.min(F.when(F.unix_micros("timestamp") >= now_us - window_us, F.col("offset"))).alias("in_window"))
+    rows = rows.withColumn("scan_from", F.coalesce("in_window", "memory_start"))
+    return rows.select("partition", "memory_start", "scan_from", ((F.col("first") > 0) & (F.col("scan_from") <= F.col("first"))).alias("blind"))
+
+
+def started(settings: Settings, starts: DataFrame, now_us: int, window_us: int) -> Settings:
+    """Settings of a machine whose memory starts so: a row a partition."""
+    rows = starts.collect()
+    blind = now_us + window_us if any(r.blind for r in rows) else 0
+    return replace(settings, memory_start=tuple(sorted((r.partition, r.memory_start) for r in rows)), blind_until=max(settings.blind_until, blind))
+
+
+def claims(commands: DataFrame, starts: DataFrame, window_us: int, state: DataFrame | None = None) -> DataFrame:
+    """Entries (ENTRY) that keyed commands between scan_from and memory_start leave in a memory that starts after them: their outcome is unknown, and a retry gets that instead of a run. commands: columns of INPUT, verified or not, as a claim only ever withholds a run. state: entries that are there, which stay.
+
+    A scope's first command claims it. Partial aggregation; a scope that occurs often is no heavier than others.
+    """
+    rows = commands.where("keyed").join(starts.select("partition", "scan_from", "memory_start"), "partition").where("offset >= scan_from and offset < memory_start")
+    if state is not None:
+        rows = rows.join(state.select("dedup_key"), "dedup_key", "left_anti")
+    first = rows.groupBy("dedup_key").agg(F.min(F.struct("partition", "offset", "request_id", "fingerprint", "now")).alias("first"))
+    return first.selectExpr(
+        "dedup_key", "first.request_id", "first.fingerprint", "'done' as phase", "'OutcomeUnknown' as outcome", f"{STATUS['outcome_unknown']} as status", "'outcome_unknown' as fault", "false as answered", f"first.now + {window_us}L as purge_after"
+    )
 
 
 def remembered(commands: DataFrame, settings: Settings = Settings()) -> DataFrame:
