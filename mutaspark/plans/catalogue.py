@@ -14,6 +14,7 @@ from mutaspark.operators import events as E
 from mutaspark.operators import flows as W
 from mutaspark.operators import machine as M
 from mutaspark.operators import records as R
+from mutaspark.operators import routes
 from mutaspark.schema import FAULTS
 from mutaspark.plans.adapters import DEDUP_KEY_SQL, FINGERPRINT_SQL, HASH, SERVICE, SQL, contract, exchanges, keyed, mutations
 
@@ -135,12 +136,12 @@ def _recorded(spark, sf_dir, faults: bool) -> DataFrame:
     )
 
 
-def _machine_sql() -> str:
-    """The decision table as a recursive query: each step decides a scope's next command from what the step before left."""
+def _machine_sql(of: str = "m", seeds: str = "") -> str:
+    """The decision table as a recursive query: each step decides a scope's next command from what the step before left. of: the mutations; seeds: a CTE of that name with what scopes start from."""
     refused = "case when stale then 'command_stale' when secret then 'secret_in_command' when drift then 'operation_mismatch' end"
     status = "case {f} " + " ".join(f"when '{f}' then {s}" for f, s, _ in FAULTS) + " end"
     ran = "case {f} " + " ".join(f"when '{f}' then '{r}'" for f, _, r in FAULTS) + " end"
-    live = "(k.rn > 1 and r.owner is not null and k.now <= r.purge)"
+    live = "(r.owner is not null and k.now <= r.purge)"
     claimed = f"({live} and not (r.entry_outcome = 'NotExecuted' or (r.entry_outcome = 'OutcomeUnknown' and k.replayable)))"
     action = f"case when k.refused is not null then 'refuse' when {live} and r.entry_print <> k.fingerprint then 'reuse' when {claimed} then 'replay' else 'execute' end"
 
@@ -156,11 +157,11 @@ def _machine_sql() -> str:
     nothing = "(select null::varchar as owner, null::varchar as entry_print, null::varchar as entry_outcome, null::int as entry_status, null::varchar as entry_fault, null::bigint as purge) r"
     attempt = "case when fault in ('outcome_unknown', 'upstream_unavailable', 'response_too_large', 'response_incomplete') then fault end"
     return f"""with recursive {SQL}, s as (select *, {DEDUP_KEY_SQL} as dedup_key, {FINGERPRINT_SQL} as fingerprint, epoch_us(issued_at) as now, epoch_us(expires_at) as expires, idempotency_key is not null as keyed,
-  coalesce(fault = 'command_stale', false) as stale, coalesce(fault = 'secret_in_command', false) as secret, coalesce(fault = 'operation_mismatch', false) as drift, method in ('PUT', 'DELETE') as replayable, {attempt} as attempt_fault from m),
-a as (select *, {refused} as refused, coalesce({status.format(f="attempt_fault")}, b_status) as attempt_status from s),
+  coalesce(fault = 'command_stale', false) as stale, coalesce(fault = 'secret_in_command', false) as secret, coalesce(fault = 'operation_mismatch', false) as drift, method in ('PUT', 'DELETE') as replayable, {attempt} as attempt_fault from {of}),
+{seeds}a as (select *, {refused} as refused, coalesce({status.format(f="attempt_fault")}, b_status) as attempt_status from s),
 k as (select dedup_key, request_id, "offset", fingerprint, now, expires, keyed, replayable, refused, attempt_fault, attempt_status, row_number() over (partition by dedup_key order by "offset") as rn,
   case when attempt_fault is null or {ran.format(f="attempt_fault")} = 'done' then case when b_status between 200 and 299 then 'Succeeded' else 'Failed' end when {ran.format(f="attempt_fault")} = 'unknown' then 'OutcomeUnknown' else 'NotExecuted' end as own_outcome from a),
-d as ({carried} from ({step(f"k, {nothing} where k.rn = 1")}) union all {carried} from ({step("k join d r on k.dedup_key = r.dedup_key and k.rn = r.rn + 1")}))
+d as ({carried} from ({step("k left join seeds r on k.dedup_key = r.dedup_key where k.rn = 1" if seeds else f"k, {nothing} where k.rn = 1")}) union all {carried} from ({step("k join d r on k.dedup_key = r.dedup_key and k.rn = r.rn + 1")}))
 select dedup_key, request_id, 0 as "partition", "offset", case act when 'reuse' then 'refuse' else act end as action,
   case act when 'refuse' then {status.format(f="refused")} when 'reuse' then 422 when 'replay' then before_status else attempt_status end as status,
   case act when 'refuse' then refused when 'reuse' then 'idempotency_key_reused' when 'replay' then before_fault else coalesce(attempt_fault, '') end as fault,
@@ -435,6 +436,13 @@ def route_resolution(spark, sf_dir):
     return W.resolved(_requests(spark, sf_dir), contract()).select("event_id", "template", "operation_id", "route", F.try_element_at("path_params", F.lit("orderId")).alias("order_id"))
 
 
+@query(_ROUTED + """select event_id, template, operation_id, case when template is null then 'not_found' when operation_id is null then 'method_not_allowed' else 'found' end as route,
+  case when event_id % 8 = 2 then 'o/' || user_id::varchar when event_id % 8 = 7 then 'o-' || user_id::varchar end as order_id from rt""")
+def route_lookup(spark, sf_dir):
+    """The same against a table of templates."""
+    return routes.looked_up(_requests(spark, sf_dir), [contract()]).select("event_id", "template", "operation_id", "route", F.try_element_at("path_params", F.lit("orderId")).alias("order_id"))
+
+
 @query(_ROUTED + """select template, method, case template when '/orders' then 'GET,POST' when '/orders/search' then 'POST' else 'DELETE,GET,PUT' end as allow, count(*) as n from rt where template is not null and operation_id is null group by all""")
 def method_not_allowed(spark, sf_dir):
     rows = W.resolved(_requests(spark, sf_dir), contract()).where("route = 'method_not_allowed'")
@@ -589,12 +597,12 @@ def consumer_lag(spark, sf_dir):
     return R.consumer_lag(_positions(spark, sf_dir), read)
 
 
-@query("""with c(name, brokers, rf, isr, unclean) as (values ('dev', 1, 1, 1, false), ('dev-unclean', 1, 1, 1, true), ('rf1', 3, 1, 1, false), ('isr1', 3, 3, 1, false), ('good', 3, 3, 2, false), ('two', 2, 2, 2, false), ('unclean', 3, 3, 2, true))
-select name, case when unclean then 'unclean_election' when brokers <= 1 then null when rf < 2 then 'single_replica' when isr < 2 then 'single_acknowledgement' end as problem from c""")
+@query("""select event_id, case when event_id % 13 = 0 then 'unclean_election' when 1 + k % 4 <= 1 then null when least(1 + k % 4, 1 + user_id % 3) < 2 then 'single_replica' when 1 + event_id % 3 < 2 then 'single_acknowledgement' end as problem from x""")
 def state_health(spark, sf_dir):
-    rows = [("dev", 1, 1, 1, False), ("dev-unclean", 1, 1, 1, True), ("rf1", 3, 1, 1, False), ("isr1", 3, 3, 1, False), ("good", 3, 3, 2, False), ("two", 2, 2, 2, False), ("unclean", 3, 3, 2, True)]
-    table = spark.createDataFrame(rows, "name string, brokers int, rf int, isr int, unclean boolean")
-    return table.select("name", V.durability_problem(F.col("brokers"), F.col("rf"), F.col("isr"), F.col("unclean")).alias("problem"))
+    """Whether state topics could lose what they acknowledged: each event describes one, its brokers, replicas, acknowledgements and elections."""
+    x, k = exchanges(spark, sf_dir), F.col("k") % 4 + 1
+    replicas = F.least(k, F.col("user_id") % 3 + 1)  # no more than brokers
+    return x.select("event_id", V.durability_problem(k, replicas, F.col("event_id") % 3 + 1, F.col("event_id") % 13 == 0).alias("problem"))
 
 
 @query("""select service, count(distinct "partition") as partitions, count(distinct "partition") = 4 as as_laid_out from m group by service""")

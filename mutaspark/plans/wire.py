@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mutaspark import schema as S
-from mutaspark.contract import ContractError, load
+from mutaspark.contract import load
 from mutaspark.functions import codec as K
 from mutaspark.functions import columns as C
 from mutaspark.functions import validation as V
@@ -20,10 +20,11 @@ from mutaspark.operators import flows as W
 from mutaspark.operators import gateway as G
 from mutaspark.operators import machine as M
 from mutaspark.operators import records as R
+from mutaspark.operators import routes
 from mutaspark.plans.adapters import DEDUP_KEY_SQL, SERVICE, contract, exchanges, keyed, mutations
 from mutaspark.plans.catalogue import US, _log, _recorded, query
 from mutaspark.schema import NAMING
-from mutaspark.sinks import topic_table
+from mutaspark.sinks import topics_needed
 from mutaspark.sources import logs
 from mutaspark.streaming import deriver
 
@@ -50,6 +51,18 @@ def ulid_times(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", C.ulid_millis(mixed).alias("millis"))
 
 
+_DIGITS = lambda x, n: f"list_aggregate(list_transform(range({n}), lambda i: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', ((({x}) >> (5 * ({n - 1} - i::int))) & 31)::int + 1, 1)), 'string_agg', '')"
+
+
+@query(f"""select event_id, {_DIGITS("epoch_us(ts) // 1000", 10)} || {_DIGITS("('0x' || substr(md5(event_id::varchar), 1, 10))::bigint", 8)} || {_DIGITS("('0x' || substr(md5(event_id::varchar), 11, 10))::bigint", 8)} as ulid, true as valid, epoch_us(ts) // 1000 as millis from x""")
+def ulids_minted(spark, sf_dir):
+    """An id for every event, of its time and 80 bits of its digest, and its time read back."""
+    x = exchanges(spark, sf_dir)
+    bits = lambda at: F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), at, 10), 16, 10)
+    made = x.select("event_id", C.ulid(F.unix_millis("ts"), bits(1), bits(11)).alias("ulid"))
+    return made.select("event_id", "ulid", C.is_ulid("ulid").alias("valid"), C.ulid_millis("ulid").alias("millis"))
+
+
 @query("""select topic, service, count(*) as n from (select unnest([('http.requests.' || service, service), ('http.responses.' || instance, instance), ('http.results.' || service, service), (service || '.events', null)]) as x from m) s(x),
   lateral (select x[1] as topic, x[2] as service) group by all""")
 def topic_services(spark, sf_dir):
@@ -234,17 +247,23 @@ def feed_numbered(spark, sf_dir):
     return W.feed(mutations(spark, sf_dir), ["event_id"]).select("seq", "request_id")
 
 
-@query("select unnest(['http.requests.orders', 'http.results.orders', 'orders.events']) as topic")
+@query("""select topic, count(*) as n from (select unnest(['http.requests.' || service, 'http.results.' || service]) as topic from m union all select 'orders.events' from m where operation_id = 'createOrder' and outcome = 'Succeeded' union all
+  select 'stock.events' from m where operation_id = 'replaceOrder') where topic <> 'stock.events' group by topic""")
 def watched_topics(spark, sf_dir):
-    c = contract()
-    names = [NAMING.command_topics + c.service, NAMING.result_topics + c.service, *G.event_topics([c, c])]
-    return spark.createDataFrame([(n,) for n in names], "topic string").distinct()
+    """Of all topics with records, those that a watcher follows: the stream's own by pattern, and the event topics that contracts declare."""
+    x = mutations(spark, sf_dir)
+    events = x.where("operation_id = 'createOrder' and outcome = 'Succeeded'").select(F.lit("orders.events").alias("topic"))
+    others = x.where("operation_id = 'replaceOrder'").select(F.lit("stock.events").alias("topic"))
+    records = _log(spark, sf_dir).select("topic").union(events).union(others)
+    return logs.of_topics(records, logs.stream_topics(G.event_topics([contract()]))).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query("""select topic, partitions, cleanup, retention_ms::bigint as retention_ms, 8388608::bigint as max_message_bytes from (values ('http.requests.orders', 4, 'delete', null), ('http.responses.orders', 1, 'delete', 3600000),
-  ('http.results.orders', 4, 'delete', null), ('state.orders', 4, 'compact', null)) t(topic, partitions, cleanup, retention_ms)""")
+@query(""", s as (select service, count(distinct "partition")::int as n from m group by service) select topic, partitions, cleanup, retention_ms::bigint as retention_ms, 8388608::bigint as max_message_bytes from s,
+  lateral (values ('http.requests.' || service, n, 'delete', null), ('http.responses.' || service, 1, 'delete', 3600000), ('http.results.' || service, n, 'delete', null), ('state.' || service, n, 'compact', null)) t(topic, partitions, cleanup, retention_ms)""")
 def topic_layout(spark, sf_dir):
-    return topic_table(spark, {SERVICE: 4}, NAMING)
+    """The topics that the log's services need, by the partitions their commands have."""
+    services = mutations(spark, sf_dir).groupBy("service").agg(F.countDistinct("partition").cast("int").alias("partitions"))
+    return topics_needed(services, NAMING)
 
 
 @query(f"""select dedup_key, min(request_id) as first, count(*) as n from (select *, {DEDUP_KEY_SQL} as dedup_key from m where service = 'orders') group by dedup_key""")
@@ -304,6 +323,29 @@ def verified_results(spark, sf_dir):
     return R.decoded_results(logs.of_topics(log, r"http\.results\..*"), keys).groupBy("verdict", "reason").agg(F.count("*").alias("n"))
 
 
+@query("""select case when reason is null then 'ok' when reason in ('decode', 'invalid_status_range') then 'undecodable' else 'not_authentic' end as verdict, reason, count(*) as n from (
+  select case when event_id % 31 = 5 then 'unsigned' when event_id % 31 in (3, 7) then 'altered' when event_id % 19 = 0 then 'decode' when event_id % 23 = 0 then 'invalid_status_range' when event_id % 17 = 0 then 'record_key' end as reason from m) group by all""")
+def verified_responses(spark, sf_dir):
+    """Every answer as a signed response; some altered, unsigned, signed by the other role, cut, out of range, or under another request's key."""
+    x, e = mutations(spark, sf_dir), F.col("event_id")
+    headers = F.create_map(F.lit("content-type"), F.array(F.lit("application/json")))
+    answer = F.struct(F.lit(S.VERSION).alias("v"), F.col("request_id").alias("requestId"), F.when(e % 23 == 0, 99).otherwise(F.col("status")).alias("status"), headers.alias("headers"), "fault", F.col("upstream_status").alias("upstreamStatus"))
+    value = F.when(e % 19 == 0, "{").otherwise(F.to_json(answer)).cast("binary")
+    rows = x.select("event_id", "request_id", "instance", "completed_at", value.alias("value"))
+    domain = F.lit(f"{NAMING.sign_domain}{S.RESPONSE.replace('.', '/')}")
+    by_gateway = e % 31 == 7
+    made = F.when(by_gateway, K.signatures(GATEWAY)(F.when(by_gateway, domain), F.when(by_gateway, F.col("value")))).otherwise(K.signatures(BRIDGE)(F.when(~by_gateway, domain), F.when(~by_gateway, F.col("value"))))
+    header = lambda n, v: F.struct(F.lit(n).alias("key"), v.cast("binary").alias("value"))
+    own = F.array(header(NAMING.type_header, F.lit(S.RESPONSE)), header(NAMING.key_header, F.lit("b")), header(NAMING.signature_header, F.when(e % 31 != 5, F.col("made"))))
+    rows = rows.withColumn("made", made).withColumn("headers", F.filter(own, lambda h: h["value"].isNotNull()))
+    log = rows.select(
+        F.when(e % 17 == 0, "another").otherwise(F.col("request_id")).cast("binary").alias("key"), F.when(e % 31 == 3, F.concat("value", F.lit(" ").cast("binary"))).otherwise(F.col("value")).alias("value"),
+        C.topic_of("reply", "instance").alias("topic"), F.lit(0).alias("partition"), e.alias("offset"), F.col("completed_at").alias("timestamp"), "headers",
+    )
+    keys = R.key_trust([("gateway", "g", K.public_key(GATEWAY)), ("bridge", "b", K.public_key(BRIDGE))], spark)
+    return R.decoded_responses(log, keys).groupBy("verdict", "reason").agg(F.count("*").alias("n"))
+
+
 @query(f"""select kind, reason, count(*) as n from (select case when a <> 'authentic' or event_id % 97 = 0 then 'failure' when operation_id = 'createOrder' and upstream_status = 201 and fault is not null then 'failure' when operation_id = 'createOrder' and status = 201 and fault is null then 'event' else 'none' end as kind,
   case when a <> 'authentic' then 'not_authentic' when event_id % 97 = 0 then 'undecodable_result' when operation_id = 'createOrder' and upstream_status = 201 and fault is not null then 'body_not_relayed' end as reason
   from (select *, {_AUTHENTIC_SQL} as a from m where service = 'orders' and event_id % 101 <> 0)) group by all""")
@@ -398,23 +440,27 @@ def memory_window(spark, sf_dir):
     return mutations(spark, sf_dir).agg(F.count_if(age > window * US).alias("forgotten"), F.count("*").alias("n"), F.lit(window).alias("window_s"))
 
 
-#: Where a bridge died: what it left, whether the operation may run again, and what a second delivery of the same command ends in.
-CRASHES = [
-    ("before the state was written", False, False, None, True, "execute", "Succeeded"), ("after started, before the call", True, False, None, False, "refuse", "OutcomeUnknown"), ("after the call, before its answer", True, True, None, False, "refuse", "OutcomeUnknown"),
-    ("after the call of what may run again", True, True, 201, True, "execute", "Succeeded"), ("after the end was written", None, None, 201, False, "", ""),
-]
+#: What a bridge that died left of a command, by the command's id: nothing, a started entry, or its end.
+_LEFT = "case event_id % 3 when 1 then 'started' when 2 then 'done' end"
+_OWN_OUTCOME = "case when attempt_fault in ('response_too_large', 'response_incomplete') or attempt_fault is null then case when b_status between 200 and 299 then 'Succeeded' else 'Failed' end when attempt_fault = 'outcome_unknown' then 'OutcomeUnknown' else 'NotExecuted' end"
 
 
-@query("select * from (values " + ", ".join(f"('{w}', '{a}', '{o}')" for w, *_, a, o in CRASHES) + ") t(crash, action, outcome)")
+@query(f"""select request_id, case when refused is not null and (entry is null or refused = 'outcome_unknown') then 'refuse' when entry = 'started' and not replayable then 'refuse' else 'execute' end as action,
+    case when refused is not null and entry is null then 'NotExecuted' when refused is not null or (entry = 'started' and not replayable) then 'OutcomeUnknown' else {_OWN_OUTCOME} end as outcome
+  from (select *, {_LEFT} as entry, method in ('PUT', 'DELETE') as replayable, case when fault in ('outcome_unknown', 'upstream_unavailable', 'response_too_large', 'response_incomplete') then fault end as attempt_fault,
+    case when {_LEFT} = 'started' and fault in ('command_stale', 'operation_mismatch') then 'outcome_unknown' when {_LEFT} is null and fault in ('command_stale', 'secret_in_command', 'operation_mismatch') then fault end as refused from m)
+  where coalesce(entry <> 'done', true)""")
 def crash_outcomes(spark, sf_dir):
-    rows = []
-    for where, started, _, attempt, replayable, _, _ in CRASHES:
-        c = {"dedup_key": "k", "request_id": "r", "fingerprint": "f", "partition": 0, "offset": 1, "now": 100 * US, "expires_at": 400 * US, "keyed": True, "authentic": True, "routed": True, "stale": False, "secret": False, "drift": False}
-        c |= {"replayable": replayable, "attempt_status": 201 if started is False else attempt, "attempt_fault": None, "attempt_upstream": None}
-        entry = M.Entry("r", "f", "started") if started else M.Entry("r", "f", "done", "Succeeded", 201, "", True, 10**12) if started is None else None
-        decision = M.decide(M.State(entry), c)[1] or {"action": "", "outcome": ""}
-        rows.append((where, decision["action"], decision["outcome"]))
-    return spark.createDataFrame(rows, "crash string, action string, outcome string")
+    """Every command delivered again to a bridge that comes back: where one had started, it is run again only if it may be; where it had ended, nothing is said twice."""
+    x = mutations(spark, sf_dir).select(F.col("request_id").alias("id"), F.expr(_LEFT).alias("left"))
+    commands = _recorded(spark, sf_dir, True).withColumn("dedup_key", F.concat(F.lit("r:"), F.col("request_id")))
+    entries = commands.join(x, F.col("request_id") == F.col("id")).where("left is not null")
+    done = F.col("left") == "done"
+    entries = entries.select(
+        "dedup_key", "request_id", "fingerprint", F.col("left").alias("phase"), F.when(done, "Succeeded").otherwise("").alias("outcome"), F.when(done, 201).otherwise(0).alias("status"), F.lit("").alias("fault"), F.lit(True).alias("answered"),
+        F.when(done, F.col("expires_at")).otherwise(F.lit(0)).alias("purge_after"),
+    )
+    return M.replayed(commands, entries=entries).select("request_id", "action", "outcome")
 
 
 @query("""select count(*) filter (action = 'execute') as executed, count(*) filter (action = 'replay') as replayed, count(*) filter (action = 'refuse') as refused, 0::bigint as started, count(*) filter (action <> 'replay') as results from (
@@ -446,25 +492,30 @@ def derivation_counts(spark, sf_dir):
 
 # Contracts.
 
-_OPERATION = {"operationId": "lend", "responses": {"200": {"description": "done"}}}
-#: Documents, and whether they are served.
+#: Documents by the remainder of a supplier's key: paths, as JSON with the supplier's name in it.
+_OPERATION = '"responses": {"200": {"description": "done"}}'
 DOCUMENTS = [
-    ("plain", {"/loans": {"post": _OPERATION}}, True), ("two shapes", {"/{a}/x": {"post": _OPERATION}, "/{b}/x": {"put": {**_OPERATION, "operationId": "b"}}}, False), ("unnamed mutation", {"/loans": {"put": {"responses": {}}}}, False),
-    ("unnamed read", {"/loans": {"get": {"responses": {}}}}, True), ("part of a segment", {"/loans.{kind}": {"post": _OPERATION}}, False), ("id twice", {"/a": {"post": _OPERATION}, "/b": {"post": _OPERATION}}, False),
-    ("unknown extension", {"/loans": {"post": {**_OPERATION, NAMING.extensions + "x": 1}}}, False), ("retry as a word", {"/loans": {"post": {**_OPERATION, NAMING.retry_extension: "yes"}}}, False),
-]
-
-
-@query("select * from (values " + ", ".join(f"('{n}', {str(ok).lower()})" for n, _, ok in DOCUMENTS) + ") t(document, served)")
+    f'"/NAME": {{"post": {{"operationId": "lend", {_OPERATION}}}}}',
+    f'"/{{a}}/NAME": {{"post": {{"operationId": "a", {_OPERATION}}}}}, "/{{b}}/NAME": {{"put": {{"operationId": "b", {_OPERATION}}}}}',
+    f'"/NAME": {{"put": {{{_OPERATION}}}}}',
+    f'"/NAME": {{"get": {{{_OPERATION}}}}}',
+    f'"/NAME.{{kind}}": {{"post": {{"operationId": "lend", {_OPERATION}}}}}',
+    f'"/NAME": {{"post": {{"operationId": "lend", {_OPERATION}}}}}, "/b": {{"post": {{"operationId": "lend", {_OPERATION}}}}}',
+    f'"/NAME": {{"post": {{"operationId": "lend", "{NAMING.extensions}x": 1, {_OPERATION}}}}}',
+    f'"/NAME": {{"post": {{"operationId": "lend", "{NAMING.retry_extension}": "yes", {_OPERATION}}}}}',
+    f'"/NAME": {{"post": {{"operationId": "lend", "{NAMING.retry_extension}": true, {_OPERATION}}}, "put": {{"operationId": "set", {_OPERATION}}}}}',
+]
+
+
+@query("""select s_suppkey, s_suppkey % 9 in (0, 3, 8) as served, case s_suppkey % 9 when 0 then 1 when 3 then 1 when 8 then 2 else 0 end as operations,
+  case when s_suppkey % 9 in (0, 3, 8) then '/supplier-' || s_suppkey end as template from supplier""")
 def contracts_served(spark, sf_dir):
-    rows = []
-    for name, paths, _ in DOCUMENTS:
-        try:
-            load("library", json.dumps({"openapi": "3.0.0", "info": {}, "paths": paths}))
-            rows.append((name, True))
-        except ContractError:
-            rows.append((name, False))
-    return spark.createDataFrame(rows, "document string, served boolean")
+    """A document a supplier, each compiled where it lies: what is ambiguous, unnamed or unknown is refused."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    paths = F.get(F.array(*map(F.lit, DOCUMENTS)), F.col("s_suppkey").cast("long") % len(DOCUMENTS))
+    text = F.concat(F.lit('{"openapi": "3.0.0", "info": {}, "paths": {'), F.replace(paths, F.lit("NAME"), F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string"))), F.lit("}}"))
+    found = routes.compiled_documents(s.select("s_suppkey", F.lit("library").alias("service"), text.alias("document")))
+    return found.select("s_suppkey", "served", F.size("operations").alias("operations"), F.get("operations", F.lit(0))["template"].alias("template"))
 
 
 @query("""select request_id, '{"exact":' || (9007199254740993 + event_id)::varchar || ',"text":"a\\u003cb","zeros":' || k || '.50}' as value from m where operation_id = 'createOrder'""")
