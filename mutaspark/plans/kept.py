@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutaspark.operators import machine as M
+from mutaspark.operators import records as R
 from mutaspark.plans.adapters import DEDUP_KEY_SQL, FINGERPRINT_SQL, contract, mutations
 from mutaspark.plans.catalogue import US, _log, _machine_sql, _recorded, query
 from mutaspark.plans.wire import _AUTHENTIC_SQL, signed_log
 from mutaspark.schema import LOG
+from mutaspark.sinks import json_lines
 from mutaspark.sinks.commits import Commits, numbered, publish_outputs
 from mutaspark.sources import logs
 from mutaspark.sources.state import Snapshots
@@ -54,14 +56,14 @@ def parts(rows: DataFrame, by: str, n: int) -> list[Column]:
 @query("""select request_id, min(told) as replied_at, case when min(told) is null then 'none' when min(told) > any_value(due) then 'late' else 'in_time' end as delivery, greatest(count(told) - 1, 0) as dropped
   from (select request_id, ts + interval 10 seconds as due, unnest(case when event_id % 7 = 0 then [cast(null as timestamp)] when event_id % 11 = 0 then [completed_at, completed_at + interval 2 seconds] else [completed_at] end) as told from m) group by request_id""")
 def replies_streamed(spark, sf_dir):
-    """Requests and replies as two streams that arrive in three batches, each run a restart: of every seven requests one is never answered, of every eleven one twice; answers of over ten seconds are late."""
+    """Requests and replies as two streams that arrive in two batches, each run a restart: of every seven requests one is never answered, of every eleven one twice; answers of over ten seconds are late."""
     folder = working_folder(spark, "replies")
     x = mutations(spark, sf_dir).select("event_id", "request_id", "issued_at", "deadline", "completed_at")
     replies = F.when(F.col("event_id") % 7 == 0, F.array()).when(F.col("event_id") % 11 == 0, F.array("completed_at", F.col("completed_at") + F.expr("interval 2 seconds"))).otherwise(F.array("completed_at"))
     commands = x.select("request_id", "issued_at", "deadline")
     answers = x.select("request_id", F.explode(replies.cast("array<timestamp>")).alias("replied_at"))
     sides = {"commands": (commands, "issued_at"), "replies": (answers, "replied_at")}
-    cuts = parts(commands, "issued_at", 3)
+    cuts = parts(commands, "issued_at", 2)
     # What follows a day after the last record: it moves the clock on, and isn't decided itself.
     last = answers.agg((F.max("replied_at") + F.expr("interval 1 day")).alias("at")).where("at is not null")
     after = {"commands": last.select(F.lit("end").alias("request_id"), F.col("at").alias("issued_at"), F.col("at").alias("deadline")), "replies": last.select(F.lit("end").alias("request_id"), F.col("at").alias("replied_at"))}
@@ -84,14 +86,14 @@ def replies_streamed(spark, sf_dir):
     from (select *, {_AUTHENTIC_SQL} as a from m where service = 'orders' and event_id % 101 <> 0)) where kind <> 'none') group by all
   union all select 'positions', "partition"::varchar, max("offset") + 1 from m where service = 'orders' and event_id % 101 <> 0 group by "partition\"""")
 def outputs_published(spark, sf_dir):
-    """The deriver as a stream over three parts of a signed log, each run a restart. A writer that died before it published has left files behind in the second batch's place; nobody sees them."""
+    """The deriver as a stream over two parts of a signed log, each run a restart. A writer that died before it published has left files behind in the second batch's place; nobody sees them."""
     folder = working_folder(spark, "published")
     log, keys = signed_log(spark, sf_dir)
     log = logs.of_topics(log, r"http\.results\.orders").select(*[f.name if f.name in log.columns else F.lit(True).alias(f.name) for f in LOG.fields])
     keys = spark.createDataFrame(keys.collect(), keys.schema)
     commits = Commits(spark, f"{folder}/out")
-    for k in range(3):
-        log.where(F.col("offset") % 3 == k).write.mode("append").parquet(f"{folder}/log")
+    for k in range(2):
+        log.where(F.col("offset") % 2 == k).write.mode("append").parquet(f"{folder}/log")
         deriver.run(spark.readStream.schema(LOG).parquet(f"{folder}/log"), keys, contract(), commits.path, f"{folder}/checkpoint", 60 * 86_400, now_us=1_706_659_200_000_000)
         if k == 0:
             commits.read("events").drop("batch").write.parquet(commits.place("events", 1, "died"))
@@ -101,7 +103,7 @@ def outputs_published(spark, sf_dir):
     return counts.union(deriver.reached(commits).select(F.lit("positions"), F.col("partition").cast("string"), F.col("position").cast("long")))
 
 
-@query(f"""select "offset" % 3 as batch, count(*) filter (kind = 'event') as events, count(*) filter (kind = 'failure') as failures, count(*) filter (kind = 'none') as nothing from (
+@query(f"""select "offset" % 2 as batch, count(*) filter (kind = 'event') as events, count(*) filter (kind = 'failure') as failures, count(*) filter (kind = 'none') as nothing from (
     select "offset", case when a <> 'authentic' or event_id % 97 = 0 then 'failure' when operation_id = 'createOrder' and upstream_status = 201 and fault is not null then 'failure' when operation_id = 'createOrder' and status = 201 and fault is null then 'event' else 'none' end as kind
     from (select *, {_AUTHENTIC_SQL} as a from m where service = 'orders' and event_id % 101 <> 0)) group by all""")
 def derivation_progress(spark, sf_dir):
@@ -113,8 +115,8 @@ def derivation_progress(spark, sf_dir):
     progress = metrics.Progress()
     spark.streams.addListener(progress)
     try:
-        for k in range(3):
-            log.where(F.col("offset") % 3 == k).write.mode("append").parquet(f"{folder}/log")
+        for k in range(2):
+            log.where(F.col("offset") % 2 == k).write.mode("append").parquet(f"{folder}/log")
             progress.ended.clear()
             deriver.run(spark.readStream.schema(LOG).parquet(f"{folder}/log"), keys, contract(), f"{folder}/out", f"{folder}/checkpoint", 60 * 86_400, now_us=1_706_659_200_000_000)
             progress.ended.wait(60)  # what a listener is told comes after the query's end
@@ -124,6 +126,19 @@ def derivation_progress(spark, sf_dir):
     return told.select("batch", *[F.col("counted")[n].alias(n) for n in ("events", "failures", "nothing")])
 
 
+@query("""select kind, count(*) as n, sum(n) as written from (select 'requested' as kind, case when event_id % 7 = 0 then 2 else 1 end as n from m where event_id % 101 <> 0
+  union all select case when event_id % 97 = 0 then 'unreadable' else 'completed' end, case when event_id % 7 = 0 then 2 else 1 end from m where event_id % 101 <> 0) group by kind""")
+def audit_lines(spark, sf_dir):
+    """Audit rows as JSON lines, written at least once: a part is written again, as after a writer's restart, and a reader tells rows by their place in the log."""
+    folder = f"{working_folder(spark, 'lines')}/audit"
+    rows = R.audit_entries(_log(spark, sf_dir))
+    json_lines(rows, folder)
+    json_lines(rows.where("offset % 7 = 0"), folder)
+    read = spark.read.schema("kind string, topic string, partition int, offset long").json(folder)
+    once = read.groupBy("topic", "partition", "offset").agg(F.first("kind").alias("kind"), F.count("*").alias("written"))
+    return once.groupBy("kind").agg(F.count("*").alias("n"), F.sum("written").alias("written"))
+
+
 # Feeds and snapshots.
 
 
@@ -192,10 +207,10 @@ def topics_streamed(spark, sf_dir):
     log = _log(spark, sf_dir)
     log = log.select(*[f.name if f.name in log.columns else F.lit(True).alias(f.name) for f in LOG.fields])
     commits = Commits(spark, f"{folder}/out")
-    for k, cut in enumerate(parts(log, "offset", 3)):
-        some = log.where(cut & ((F.lit(k) > 0) | F.col("topic").startswith("http.requests.")))
-        if k == 1:  # the new topics' earlier records
-            some = some.unionByName(log.where(parts(log, "offset", 3)[0] & ~F.col("topic").startswith("http.requests.")))
+    requests = F.col("topic").startswith("http.requests.")
+    first, _ = cuts = parts(mutations(spark, sf_dir).select("offset"), "offset", 2)
+    for k, cut in enumerate(cuts):
+        some = log.where(cut & requests) if k == 0 else log.where(cut | (first & ~requests))  # with the new topics' earlier records
         some.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset").write.mode("append").partitionBy("topic", "partition").parquet(f"{folder}/log")
         stream = spark.readStream.format("topic_log").option("path", f"{folder}/log").option("pattern", r"http\.requests\.orders|http\.results\..*").load()
         stateful.run_to_end(stream.select("topic", "partition", "offset"), f"{folder}/checkpoint", publish_outputs(commits.path, lambda b: {"read": b}))

@@ -169,6 +169,32 @@ def strict_requests(spark, sf_dir):
     return mutations(spark, sf_dir).select("request_id", G.strict_json(kind, text, ["a", "b"], 1000).alias("refused"))
 
 
+@query("""select event_id, case when user_id % 3 = 2 then 415 when strlen(body) > 16 then 413 when not json_valid(body) then 400 when len(list_filter(json_keys(body), lambda k: k <> 'k')) > 0 then 400 end as refused from (
+  select event_id, user_id, case event_type when 'purchase' then props || props when 'click' then replace(props, '"k"', '"z"') when 'error' then substr(props, 1, length(props) - 1) else props end as body from events)""")
+def uploads_checked(spark, sf_dir):
+    """Every event's properties as a request's body: as they are, twice, under another name, or cut; sent under three media types."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.get(F.array(F.lit("application/json"), F.lit("APPLICATION/JSON ; charset=utf-8"), F.lit("text/plain")), F.col("user_id") % 3)
+    body = F.expr("""case event_type when 'purchase' then props || props when 'click' then replace(props, '"k"', '"z"') when 'error' then substring(props, 1, length(props) - 1) else props end""")
+    return e.select("event_id", G.strict_json(kind, body, ["k"], 16).alias("refused"))
+
+
+@query("""with i as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, sku, quantity) - 1 as place from (
+    select l_orderkey, l_linenumber, l_partkey, case when l_discount < 0.005 then ' ' else 'p-' || l_partkey end as sku, cast(floor(l_quantity) as int) - 3 as quantity from lineitem)),
+  p as (select l_orderkey, string_agg('item:' || place, ',' order by place) filter (trim(sku) = '' or quantity < 1) as bad from i group by l_orderkey)
+select o_orderkey, concat_ws(',', case when c_name is null or c_acctbal < 0 then 'customer' end, case when p.l_orderkey is null then 'items' end, bad) as problems from orders left join customer on c_custkey = o_custkey left join p on l_orderkey = o_orderkey""")
+def orders_validated(spark, sf_dir):
+    """Every order with its lines and its customer, as a request: customers in debt are left out, lines without discount have no article, and three of each line's pieces are gone."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    sku = F.when(F.col("l_discount") < 0.005, " ").otherwise(F.concat(F.lit("p-"), F.col("l_partkey").cast("string")))
+    line = F.struct("l_linenumber", "l_partkey", sku.alias("sku"), (F.floor("l_quantity").cast("int") - 3).alias("quantity"))
+    items = read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # an order's lines
+    customer = F.when(F.col("c_acctbal") < 0, " ").otherwise(F.col("c_name"))
+    rows = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    shown = F.transform("lines", lambda x: F.struct(x["sku"].alias("sku"), x["quantity"].alias("quantity")))
+    return rows.select("o_orderkey", F.array_join(W.order_problems(customer, shown), ",").alias("problems"))
+
+
 @query("""select charge, count(*) as n from (select case when event_id % 9 = 0 then case when event_id % 2 = 0 then 'amount,currency' else 'currency' end when event_id % 2 = 0 then 'amount' else '' end as charge from m where service = 'payments') group by charge""")
 def charge_checks(spark, sf_dir):
     amount, currency = F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("k")), F.when(F.col("event_id") % 9 == 0, "eur").otherwise("EUR")
@@ -210,15 +236,14 @@ def exchanges_shown(spark, sf_dir):
 # Logs.
 
 
-@query("""select case when event_id % 2 = 0 then 'command' else 'result' end as kind, count(*) as n, min("offset") as first from m where service = 'orders' and event_id % 101 <> 0 and issued_at >= timestamp '2024-01-10 00:00:00' group by 1""")
+@query("""select kind, count(*) as n, min("offset") as first from (select 'command' as kind, "offset", issued_at as written, service, event_id from m union all select 'result', "offset", completed_at, service, event_id from m)
+  where service = 'orders' and event_id % 101 <> 0 and written >= timestamp '2024-01-10 00:00:00' group by kind""")
 def log_slice(spark, sf_dir):
-    """Records of chosen topics from a time on: commands with even, results with odd ids."""
+    """Committed records of chosen topics from a time on."""
     log = R.committed(logs.of_topics(_log(spark, sf_dir), r"http\.(requests|results)\.orders"))
-    late = logs.since(log.withColumn("timestamp", F.col("timestamp")), F.expr("timestamp '2024-01-10 00:00:00'"))
-    command = F.col("topic").startswith("http.requests.")
-    own = late.where(F.when(command, F.col("offset") % 2 == 0).otherwise(F.col("offset") % 2 == 1))
-    rows = own.join(mutations(spark, sf_dir).where("issued_at >= timestamp '2024-01-10 00:00:00'").select(F.col("offset").alias("at")), F.col("offset") == F.col("at"), "left_semi")
-    return rows.groupBy(F.when(F.col("offset") % 2 == 0, "command").otherwise("result").alias("kind")).agg(F.count("*").alias("n"), F.min("offset").alias("first"))
+    late = logs.since(log, F.expr("timestamp '2024-01-10 00:00:00'"))
+    kind = F.when(F.col("topic").startswith("http.requests."), "command").otherwise("result")
+    return late.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.min("offset").alias("first"))
 
 
 @query("""select 'http.results.' || service as topic, "partition", max("offset") + 1 as end_offset, count(*) filter ("offset" between 1000 and 1999) as between_n from m group by service, "partition" """)
@@ -278,6 +303,44 @@ def commands_of_requests(spark, sf_dir):
     return good.groupBy("dedup_key").agg(F.min("command.requestId").alias("first"), F.count("*").alias("n"))
 
 
+@query("""select kind, count(*) as n, count(*) filter (json_valid(body)) as json from (select 'props' as kind, props as body from events union all select 'cut', substr(props, 1, length(props) - 1) from events union all select 'twice', props || props from events
+  union all select 'text', text from documents union all select 'page', html from pages union all select 'said', '"' || replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t') || '"' from conversations) where body is not null group by kind""")
+def json_bodies(spark, sf_dir):
+    """Which of all bodies that the tables hold are one JSON value and nothing else, whatever they are said to be."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    props = read("events").select("props")
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit('"'))
+    kinds = {
+        "props": props.select(F.col("props").alias("body")), "cut": props.select(F.expr("substring(props, 1, length(props) - 1)").alias("body")), "twice": props.select(F.concat("props", "props").alias("body")),
+        "text": read("documents").select(F.col("text").alias("body")), "page": read("pages").select(F.col("html").alias("body")), "said": read("conversations").select(quoted.alias("body")),
+    }
+    rows = None
+    for kind, df in kinds.items():
+        own = df.where("body is not null").groupBy(F.lit(kind).alias("kind")).agg(F.count("*").alias("n"), F.count_if(C.is_json("body")).alias("json"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+@query("""select request_id, 'c-' || user_id as key, '{"first":"' || event_type || '"}' as value from (select m.*, event_type from m join events using (event_id)) where operation_id = 'createOrder' and event_id % 5 <> 0""")
+def header_mappings(spark, sf_dir):
+    """Mappings that read headers, whatever the case of their names: the first value counts; where there is none, there is no event."""
+    document = json.dumps({"openapi": "3.0.0", "info": {}, "paths": {"/o": {"post": {"operationId": "createOrder", "responses": {"201": {}}, NAMING.event_extension: {
+        "on": 201, "topic": "t", "type": "T", "key": "$.request.headers.X-Customer", "value": {"first": "$.response.headers.x-kind"}}}}}})
+    x = mutations(spark, sf_dir).where("operation_id = 'createOrder'")
+    sent = F.create_map(F.lit("x-customer"), F.when(F.col("event_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("c-"), F.col("user_id").cast("string")), F.lit("another"))))
+    received = F.create_map(F.lit("x-kind"), F.array(F.lit("signup"), F.lit("x")))
+    nothing = F.lit(b"")
+    rendered = E.renderer(load("orders", document))(F.col("operation_id"), nothing, nothing, F.create_map().cast("map<string,string>"), F.lit(""), sent, received)
+    return x.select("request_id", rendered["key"].alias("key"), rendered["value"].alias("value")).where("key is not null")
+
+
+@query("""select doc_id, sha256(unhex(substr(hex(encode(text)), 1, 400))) as digest, least(strlen(text), 200) as bytes from documents""")
+def cut_texts(spark, sf_dir):
+    """Every document's first 200 bytes, wherever they fall in a character."""
+    cut = C.cut_bytes("text", 200)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(cut, 256).alias("digest"), F.octet_length(cut).cast("long").alias("bytes"))
+
+
 # Signed logs.
 
 
@@ -356,11 +419,11 @@ def derivation_of_signed_log(spark, sf_dir):
     return rows.groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
-@query("""select 'CreateOrder' || outcome as type, count(*) as n, 0::bigint as broken from m where operation_id = 'createOrder' group by outcome""")
+@query("""select upper(operation_id[1]) || operation_id[2:] || outcome as type, count(*) as n, 0::bigint as broken from m group by all""")
 def results_made(spark, sf_dir):
     """Results as a bridge makes them of a command and its answer, each checked by the rules of results."""
     log = _log(spark, sf_dir)
-    x = mutations(spark, sf_dir).where("operation_id = 'createOrder'").select(F.col("offset").alias("at"), "status", "fault", F.col("upstream_status").alias("up"), "completed_at")
+    x = mutations(spark, sf_dir).select(F.col("offset").alias("at"), "status", "fault", F.col("upstream_status").alias("up"), "completed_at")
     commands = R.decoded_by_type(R.typed(log).where(F.col("topic").startswith(NAMING.command_topics)), {S.COMMAND: "command"}).join(x, F.col("offset") == F.col("at"))
     blank = F.create_map().cast("map<string,array<string>>")
     response = F.struct(F.lit(1).alias("v"), F.col("command.requestId").alias("requestId"), "status", blank.alias("headers"), F.lit(None).cast("string").alias("body"), "fault", F.col("up").alias("upstreamStatus"), F.lit(None).cast("string").alias("replayOf"))
@@ -368,10 +431,10 @@ def results_made(spark, sf_dir):
     return made.groupBy("result.type").agg(F.count("*").alias("n"), F.count_if(F.col("problem").isNotNull()).alias("broken"))
 
 
-@query("""select case when event_id % 4 = 0 then 'altered' when event_id % 4 = 1 then 'unsigned' else 'authentic' end as verdict, count(*) as n from events where event_id % 5 = 0 group by 1""")
+@query("""select case when event_id % 4 = 0 then 'altered' when event_id % 4 = 1 then 'unsigned' else 'authentic' end as verdict, count(*) as n from events group by 1""")
 def state_record_verdicts(spark, sf_dir):
-    """A changelog of one event in five, deletions among them; every fourth record was moved to another partition, every fourth isn't signed."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 5 = 0")
+    """A changelog of all events, deletions among them; every fourth record was moved to another partition, every fourth isn't signed."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     key, value = F.col("user_id").cast("string").cast("binary"), F.when(F.col("event_id") % 3 != 0, F.col("event_type").cast("binary"))
     log = e.select("event_id", key.alias("key"), value.alias("value"), F.lit("state.orders").alias("topic"), (F.col("event_id") % 4).cast("int").alias("partition"))
     framed = G.state_frame(F.col("topic"), F.when(F.col("event_id") % 4 == 0, F.col("partition") + 1).otherwise(F.col("partition")), F.col("key"), F.col("value"))
@@ -518,13 +581,13 @@ def contracts_served(spark, sf_dir):
     return found.select("s_suppkey", "served", F.size("operations").alias("operations"), F.get("operations", F.lit(0))["template"].alias("template"))
 
 
-@query("""select request_id, '{"exact":' || (9007199254740993 + event_id)::varchar || ',"text":"a\\u003cb","zeros":' || k || '.50}' as value from m where operation_id = 'createOrder'""")
+@query("""select request_id, '{"exact":' || (9007199254740993 + event_id)::varchar || ',"text":"a\\u003cb","zeros":' || k || '.50}' as value from m""")
 def exact_numbers(spark, sf_dir):
     """A mapping's template over numbers that doubles can't hold: their digits stay."""
     document = json.dumps({"openapi": "3.0.0", "info": {}, "paths": {"/o": {"post": {"operationId": "createOrder", "responses": {"201": {}}, NAMING.event_extension: {
         "on": 201, "topic": "t", "type": "T", "key": "$.response.body.id", "value": {"zeros": "$.response.body.zeros", "exact": "$.response.body.id", "text": "a<b"}}}}}})
-    x = mutations(spark, sf_dir).where("operation_id = 'createOrder'")
+    x = mutations(spark, sf_dir)
     body = F.format_string('{"id":%d,"zeros":%d.50}', F.col("event_id") + F.lit(9007199254740993), F.col("k")).cast("binary")
     none = F.create_map().cast("map<string,array<string>>")
-    rendered = E.renderer(load("orders", document))(F.col("operation_id"), F.lit(b""), body, F.create_map().cast("map<string,string>"), F.lit(""), none, none)
+    rendered = E.renderer(load("orders", document))(F.lit("createOrder"), F.lit(b""), body, F.create_map().cast("map<string,string>"), F.lit(""), none, none)
     return x.select("request_id", rendered["value"].alias("value"))

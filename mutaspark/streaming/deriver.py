@@ -54,8 +54,7 @@ def run(log: DataFrame, keys: DataFrame, contract: Contract, path: str, checkpoi
     rows = derivations(R.committed(log), keys, contract, partitions, naming)
     rows = rows.withColumns({"completed_us": F.unix_micros("completed_at"), "details": F.to_json("details")})
     rows = rows.select(*stateful.FIELDS)
-    once = stateful.events_once(rows.where("kind = 'event'"), window_s, now_us).union(rows.where("kind <> 'event'"))
-    once = metrics.counted(once, metrics.derivation_counts())
+    once = metrics.counted(stateful.events_once(rows, window_s, now_us), metrics.derivation_counts())
 
     def split(batch: DataFrame) -> dict[str, DataFrame]:
         texts = F.coalesce(F.from_json("details", "array<string>"), F.when(F.col("details").isNotNull(), F.array("details")))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mutaspark.functions import columns as C
 from mutaspark.operators.machine import OUTPUT, Entry, Settings, State, decide, decided, inputs, plain
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,23 +24,33 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> list[dict]:
     return [plain(r) for r in pd.concat(list(frames)).sort_values(["partition", "offset"]).to_dict("records")]
 
 
+#: Keys under which rows pass that need no state.
+PASSING = 64
+
+
 def events_once(candidates: DataFrame, window_s: int, now_us: int | None = None) -> DataFrame:
-    """A stream of derived events (columns EVENTS, null where there are none) with duplicates and events beyond the window turned into failures; none is dropped.
+    """A stream of derived events (columns EVENTS, null where there are none) with duplicates and events beyond the window turned into failures; none is dropped, and rows that aren't events pass as they are.
 
-    Age is judged before, without state; so no row that gets to the state is behind the watermark, which only bounds
-    how long it is kept where a request's event came from: until the newest completion is two windows later.
-    now_us: fixed, for tests; else the time of the batch.
+    Age is judged before, without state. An event that gets to the state is younger than the window, and the
+    watermark is older than that and an hour, as other rows carry the batch's own time; so no row is late, and the
+    watermark only bounds how long it is kept where a request's event came from. All rows take one way through one
+    plan: what derives them runs once. now_us: fixed, for tests; else the time of the batch.
     """
     have = set(candidates.columns)
     candidates = candidates.withColumns({n: F.lit(None).cast("string") for n in FIELDS if n not in have})
     now = F.lit(now_us) if now_us is not None else F.unix_micros(F.current_timestamp())
-    old = now - F.col("completed_us") > window_s * 1_000_000
-    aged = candidates.where(old).withColumns({"kind": F.lit("failure"), "reason": F.lit("beyond_dedup_window")}).select(*FIELDS)
+    old = (F.col("kind") == "event") & (now - F.col("completed_us") > window_s * 1_000_000)
+    rows = candidates.withColumns({"kind": F.when(old, "failure").otherwise(F.col("kind")), "reason": F.when(old, "beyond_dedup_window").otherwise(F.col("reason"))}).select(*FIELDS)
+    event = F.coalesce(F.col("kind") == "event", F.lit(False))
 
     def once(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        if key[0].startswith("~"):
+            for frame in frames:
+                yield frame[FIELDS]
+            return
         out = []
         for r in _in_order(frames):
             if state.exists:
@@ -51,8 +62,10 @@ def events_once(candidates: DataFrame, window_s: int, now_us: int | None = None)
         yield pd.DataFrame(out, columns=FIELDS)
 
     # Clocks may differ by less than an hour.
-    timed = candidates.where(~old).withColumn("completed_at", F.timestamp_micros("completed_us")).withWatermark("completed_at", f"{window_s + 3600} seconds")
-    return timed.groupBy("request_id").applyInPandasWithState(once, EVENTS, "partition int, offset long", "append", GroupStateTimeout.EventTimeTimeout).union(aged)
+    timed = rows.withColumn("completed_at", F.timestamp_micros(F.when(event, F.col("completed_us")).otherwise(now))).withWatermark("completed_at", f"{window_s + 3600} seconds")
+    passing = F.concat(F.lit("~"), F.pmod(F.xxhash64("topic", "partition", "offset"), F.lit(PASSING)).cast("string"))
+    keyed = timed.withColumn("once_key", F.when(event, F.concat(F.lit("="), C.empty_if_null("request_id"))).otherwise(passing))
+    return keyed.groupBy("once_key").applyInPandasWithState(once, EVENTS, "partition int, offset long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def packed(state: State) -> str:
