@@ -205,7 +205,7 @@ def replayed(commands: DataFrame, settings: Settings = Settings(), entries: Data
             for c in map(plain, frame.to_dict("records")):
                 if c["dedup_key"] != key:
                     key, state = c["dedup_key"], State()
-                if c["seed"] is not None:  # sorts before the scope's commands
+                if c.get("seed") is not None:  # sorts before the scope's commands
                     state.entry = entry_of(c["seed"])
                     continue
                 state, d = decide(state, c, settings)
@@ -213,11 +213,12 @@ def replayed(commands: DataFrame, settings: Settings = Settings(), entries: Data
                     out.append(decided(c, d))
             yield pd.DataFrame(out, columns=names)
 
-    rows = inputs(commands).withColumn("seed", F.lit(None).cast(_SEED)).withColumn("last", F.lit(1))
+    rows, order = inputs(commands), ["dedup_key", "partition", "offset"]
     if entries is not None:
+        rows, order = rows.withColumn("seed", F.lit(None).cast(_SEED)).withColumn("last", F.lit(1)), ["dedup_key", "last", "partition", "offset"]
         seeds = entries.select("dedup_key", F.struct(*[x.split()[0] for x in ENTRY.split(", ")][1:]).cast(_SEED).alias("seed"), F.lit(0).alias("last"))
         rows = rows.unionByName(seeds, allowMissingColumns=True)
-    return rows.repartition("dedup_key").sortWithinPartitions("dedup_key", "last", "partition", "offset").drop("last").mapInPandas(run, OUTPUT)
+    return rows.repartition("dedup_key").sortWithinPartitions(*order).drop("last").mapInPandas(run, OUTPUT)
 
 
 def entry_of(seed) -> Entry:
