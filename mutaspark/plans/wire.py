@@ -21,7 +21,7 @@ from mutaspark.operators import gateway as G
 from mutaspark.operators import machine as M
 from mutaspark.operators import records as R
 from mutaspark.operators import routes
-from mutaspark.plans.adapters import DEDUP_KEY_SQL, SERVICE, contract, exchanges, keyed, mutations
+from mutaspark.plans.adapters import DEDUP_KEY_SQL, SERVICE, contract, exchanges, keyed, mutations, spread
 from mutaspark.plans.catalogue import US, _log, _recorded, query
 from mutaspark.schema import NAMING
 from mutaspark.sinks import topics_needed
@@ -434,7 +434,7 @@ def results_made(spark, sf_dir):
 @query("""select case when event_id % 4 = 0 then 'altered' when event_id % 4 = 1 then 'unsigned' else 'authentic' end as verdict, count(*) as n from events group by 1""")
 def state_record_verdicts(spark, sf_dir):
     """A changelog of all events, deletions among them; every fourth record was moved to another partition, every fourth isn't signed."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     key, value = F.col("user_id").cast("string").cast("binary"), F.when(F.col("event_id") % 3 != 0, F.col("event_type").cast("binary"))
     log = e.select("event_id", key.alias("key"), value.alias("value"), F.lit("state.orders").alias("topic"), (F.col("event_id") % 4).cast("int").alias("partition"))
     framed = G.state_frame(F.col("topic"), F.when(F.col("event_id") % 4 == 0, F.col("partition") + 1).otherwise(F.col("partition")), F.col("key"), F.col("value"))

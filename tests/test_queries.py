@@ -4,9 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from mutaspark.plans import catalogue, wire
+from mutaspark.plans.adapters import spread
 
 SMALL = os.environ.get("TEST_TABLES", "/root/testdata/sf0.001")
 
@@ -62,3 +64,15 @@ def test_documents_are_shown_and_digested_whole(spark, tmp_path):
     assert {r.doc_id: (r.shown, r.cut) for r in catalogue.QUERIES["printable_documents"](spark, str(tmp_path)).collect()} == want
     own = lambda *fields: sha(b"".join(b"%d:%s" % (len(f), f) for f in ((x or "").encode() for x in fields)))
     assert {r.doc_id: r.digest for r in catalogue.QUERIES["document_digests"](spark, str(tmp_path)).collect()} == {k: own(t, lang) for k, t, lang in rows}
+
+
+def test_a_single_row_group_is_dealt_out_however_many_splits_its_file_has(spark, tmp_path):
+    spark.range(40_000).select(F.col("id").alias("event_id"), F.sha2(F.col("id").cast("string"), 512).alias("props")).coalesce(1).write.parquet(str(tmp_path / "events"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "events"))
+        assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        held = [r["count"] for r in spread(scan).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(held) == 40_000 and max(held) <= 2 * 40_000 / spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
