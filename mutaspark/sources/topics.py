@@ -21,9 +21,6 @@ from pyspark.sql.types import StructType
 
 from mutaspark.schema import LOG
 
-#: Records that a batch takes of all partitions together, about: the option `records` sets another number.
-RECORDS = 1_000_000
-
 
 class Segment(NamedTuple):
     """A file of a partition's records with offsets from `first` to before `end`. stable: the first offset whose transaction is undecided, or the end."""
@@ -118,20 +115,25 @@ class Folder:
 
 
 class Stream(DataSourceStreamReader):
-    """A place is a dict of topic/partition to the next offset. A topic that appears between batches starts at its first record."""
+    """A place is a dict of topic/partition to the next offset. A topic that appears between batches starts at its first record.
+
+    A batch takes all that is decided. The option `records` bounds it, about, over all partitions together: for triggers
+    that go on. A run over what there is (availableNow) asks a source in Python for one end only, so there the bound is
+    what one run reads, and the next goes on from there.
+    """
 
     def __init__(self, options: dict[str, str]):
-        self.folder, self.most = Folder(options), int(options.get("records", RECORDS))
+        self.folder, self.most = Folder(options), int(options["records"]) if "records" in options else None
         self.at: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        """The stable ends; or as far towards them as `records` allows, every partition by an equal share."""
+        """The stable ends; or, if `records` is set, as far towards them as it allows, every partition by an equal share."""
         ends = self.folder.ends()
         behind = {k: e - self.at.get(k, 0) for k, e in ends.items() if e > self.at.get(k, 0)}
-        share = max(1, self.most // max(1, len(behind)))
+        share = max(behind.values(), default=0) if self.most is None else max(1, self.most // max(1, len(behind)))
         self.at = {**self.at, **{k: self.at.get(k, 0) + min(n, share) for k, n in behind.items()}}
         return dict(self.at)
 

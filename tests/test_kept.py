@@ -15,7 +15,7 @@ from mutaspark.operators import records as R
 from mutaspark.plans.adapters import SERVICE, contract, mutations
 from mutaspark.sinks.commits import Commits, feed_after, numbered, publish_outputs
 from mutaspark.sources.state import Snapshots
-from mutaspark.sources.topics import TopicLog
+from mutaspark.sources.topics import Stream, TopicLog
 from mutaspark.streaming import deriver, pairing, stateful
 
 SMALL = "/root/testdata/sf0.001"
@@ -159,6 +159,15 @@ def test_topics_grow_and_are_read_once(spark, tmp_path):
     assert rows.count() == 8 and rows.first().headers[0].key == "a" and rows.where("offset = 10").first().timestamp.second == 10
 
 
+def test_one_run_reads_topics_to_their_ends(tmp_path):
+    for partition in range(3):
+        place = tmp_path / f"topic=a/partition={partition}"
+        place.mkdir(parents=True)
+        pq.write_table(pa.table({"offset": pa.array([0, 2_000_000 + partition], pa.int64()), "committed": [True, True]}), place / "one.parquet")
+    assert Stream({"path": str(tmp_path)}).latestOffset() == {f"a/{p}": 2_000_001 + p for p in range(3)}
+    assert Stream({"path": str(tmp_path), "records": "30"}).latestOffset() == {f"a/{p}": 10 for p in range(3)}
+
+
 # Plans.
 
 
