@@ -113,7 +113,7 @@ def state_records(log: DataFrame, keys: DataFrame, naming: Naming = NAMING) -> D
     h = lambda n: C.record_header("headers", n)
     rows = log.withColumns({"key_id": h(naming.key_header), "signature": F.try_to_binary(h(naming.signature_header), F.lit("base64"))})
     trusted = keys.where("role = 'bridge'").select(F.col("kid").alias("trusted_kid"), "public")
-    rows = rows.join(trusted, F.col("key_id") == F.col("trusted_kid"), "left")
+    rows = rows.join(F.broadcast(trusted), F.col("key_id") == F.col("trusted_kid"), "left")
     framed = state_frame(F.col("topic"), F.col("partition"), F.col("key"), F.col("value"))
     holds = signature_holds(F.col("public"), F.lit(f"{naming.sign_domain}state/v1"), framed, F.col("signature"))
     early = F.when(F.coalesce(F.octet_length("signature"), F.lit(0)) == 0, "unsigned").when(F.col("public").isNull(), "unknown_key")

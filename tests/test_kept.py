@@ -183,3 +183,11 @@ def test_composed_operators_have_small_plans(spark, tmp_path):
         plan = rows.where(F.col(rows.columns[-1]).isNotNull())._jdf.queryExecution().optimizedPlan().toString()
         assert len(plan) < 200_000, len(plan)
     assert R.audit_entries(log).where("error is null").count() == made.count() > 0
+
+
+def test_trusted_keys_go_to_the_records(spark):
+    log = mutations(spark, SMALL).select(F.col("request_id").cast("binary").alias("key"), F.col("body").cast("binary").alias("value"), F.lit("t").alias("topic"), "partition", F.expr("array(named_struct('key', 'mut-type', 'value', cast('command.v1' as binary)))").alias("headers"))
+    keys = R.key_trust([("gateway", "g", b"\1" * 32), ("bridge", "b", b"\2" * 32)], spark)
+    for rows in (R.authenticated(log, keys), G.state_records(log, keys)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
