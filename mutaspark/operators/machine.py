@@ -244,9 +244,11 @@ def started(settings: Settings, starts: DataFrame, now_us: int, window_us: int)
 def claims(commands: DataFrame, starts: DataFrame, window_us: int, state: DataFrame | None = None) -> DataFrame:
     """Entries (ENTRY) that keyed commands between scan_from and memory_start leave in a memory that starts after them: their outcome is unknown, and a retry gets that instead of a run. commands: columns of INPUT, verified or not, as a claim only ever withholds a run. state: entries that are there, which stay.
 
-    A scope's first command claims it. Partial aggregation; a scope that occurs often is no heavier than others.
+    A scope's first command claims it. Partial aggregation; a scope that occurs often is no heavier than others. The
+    starts, a row a partition, go to the commands: where all have one partition, the key of the join is constant and
+    Spark would else pair each part of the commands with each part of the starts.
     """
-    rows = commands.where("keyed").join(starts.select("partition", "scan_from", "memory_start"), "partition").where("offset >= scan_from and offset < memory_start")
+    rows = commands.where("keyed").join(F.broadcast(starts.select("partition", "scan_from", "memory_start")), "partition").where("offset >= scan_from and offset < memory_start")
     if state is not None:
         rows = rows.join(state.select("dedup_key"), "dedup_key", "left_anti")
     first = rows.groupBy("dedup_key").agg(F.min(F.struct("partition", "offset", "request_id", "fingerprint", "now")).alias("first"))

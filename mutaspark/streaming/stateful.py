@@ -19,9 +19,9 @@ EVENTS = "request_id string, partition int, offset long, completed_us long, kind
 FIELDS = [x.split()[0] for x in EVENTS.split(", ")]
 
 
-def _in_order(frames: Iterator[pd.DataFrame]) -> list[dict]:
-    """A key's rows of one batch in log order; sources don't keep it."""
-    return [plain(r) for r in pd.concat(list(frames)).sort_values(["partition", "offset"]).to_dict("records")]
+def _in_order(frames: Iterator[pd.DataFrame], *by: str) -> list[dict]:
+    """A key's rows of one batch in log order, within each value of by; sources don't keep it."""
+    return [plain(r) for r in pd.concat(list(frames)).sort_values([*by, "partition", "offset"]).to_dict("records")]
 
 
 #: Keys under which rows pass that need no state.

@@ -1,12 +1,15 @@
 """The machine on typed state: against the batch, from an initial memory, and what a batch costs a scope that remembers much."""
 
+import time
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from mutaspark.operators import machine as M
 from mutaspark.operators.machine import ENTRY, Entry, Settings, decide, replayed
 from mutaspark.sinks.commits import Commits, publish_outputs
 from mutaspark.streaming import stateful
-from mutaspark.streaming.bridge import Scope, bridged
+from mutaspark.streaming.bridge import Bridge, Scope, bridged
 from test_machine import S, command, rows
 
 
@@ -82,3 +85,74 @@ def test_genesis(spark, tmp_path):
     parts = [after.where("offset < 14 and offset > 9"), after.where("offset >= 14 or offset <= 9")]
     for k, (setting, entries) in enumerate([(sighted, claims), (settings, claims)]):
         assert key(streamed(spark, tmp_path / str(k), parts, setting, entries, now)) == key(replayed(after, setting, entries))
+
+
+class Handle(dict):
+    """A processor's handle over plain maps, with its timers; counts what the store is asked."""
+
+    calls = 0
+
+    class Map(dict):
+        def _asked(f):
+            def g(self, *a):
+                Handle.calls += 1
+                return f(self, *a)
+
+            return g
+
+        getValue, updateValue, removeKey, containsKey = map(_asked, (dict.get, dict.__setitem__, dict.pop, dict.__contains__))
+        iterator = lambda self: iter(list(self.items()))
+
+    def getMapState(self, name, *_):
+        return self.setdefault(name, Handle.Map())
+
+    def listTimers(self):
+        return iter(self.setdefault("timers", []))
+
+    def registerTimer(self, at):
+        self["timers"].append(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentProcessingTimeInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_a_call_decides_many_scopes():
+    """A group that Spark hands over holds many scopes, each with an entry and markers of its own; a new scope asks the store three times, and timers are one a span."""
+    bridge, handle, hour = Bridge(Settings(), 86_400_000, 0), Handle(), 3_600_000
+    bridge.init(handle)
+    seeds = [(f"i:{i}", "x", "f", "done", "Succeeded", 201, "", True, (5 if i < 2 else 9) * 3600 * S) for i in range(4)]
+    bridge.handleInitialState((1,), pd.DataFrame(seeds, columns=[x.split()[0] for x in ENTRY.split(", ")]), Clock(10))
+    assert len(handle["entries"]) == 4 and sorted(handle["timers"]) == [6 * hour, 10 * hour]
+    frame = lambda *cs: iter([pd.DataFrame([{**dict.fromkeys(M.OPTIONAL), **c} for c in cs])])
+    new = [command(f"n{i}", dedup_key=f"r:{i}", offset=9 - i, keyed=False) for i in range(5)]
+    Handle.calls = 0
+    (out,) = bridge.handleInputRows((1,), frame(*new), Clock(10))
+    assert set(out.action) == {"execute"} and set(out.dedup_key) == {f"r:{i}" for i in range(5)} and Handle.calls == 15
+    (out,) = bridge.handleInputRows((1,), frame(command("b", dedup_key="i:1", offset=12), command("a", dedup_key="i:1", offset=11, fingerprint="g"), command("s", dedup_key="q", offset=10, attempt_status=None)), Clock(10))
+    assert [(r.request_id, r.action, r.replay_of) for r in out.itertuples()] == [("a", "refuse", ""), ("b", "replay", "x"), ("s", "started", "")]
+    assert set(handle["answered"]) == {("i:1", "a"), ("i:1", "b")} and sorted(handle["timers"]) == [hour, 6 * hour, 10 * hour]
+    for at, left in ((hour, {"i:0", "i:1", "i:2", "i:3", "q"}), (6 * hour, {"i:2", "i:3", "q"}), (10 * hour, {"q"})):
+        list(bridge.handleExpiredTimer((1,), Clock(at), Clock(at)))
+        assert {k for (k,) in handle["entries"]} == left
+
+
+def test_entries_go_by_timer(spark, tmp_path):
+    """Of a bucket's entries those go from the store whose time is over."""
+    commands = rows(spark).where("offset < 2").withColumns({"dedup_key": F.concat(F.lit("k"), "offset"), "keyed": F.col("offset") == 1, "expires_at": F.col("now") - 60 * S, "stale": F.lit(False)})
+    for k, part in enumerate([commands, commands.where("offset = 0").withColumns({"request_id": F.lit("z"), "dedup_key": F.lit("z")})]):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+        stream = spark.readStream.schema(commands.schema).parquet(f"{tmp_path}/log")
+        stateful.run_to_end(bridged(stream, buckets=1, sweep_s=1), f"{tmp_path}/checkpoint", publish_outputs(f"{tmp_path}/out", lambda b: {"decisions": b}))
+        if k == 0:
+            time.sleep(3)
+    left = spark.read.format("statestore").option("stateVarName", "entries").load(f"{tmp_path}/checkpoint")
+    assert {r.user_map_key.dedup_key if hasattr(r, "user_map_key") else r[1][0] for r in left.collect()} == {"k1", "z"}
+
+
+def test_commands_of_one_partition_are_not_paired_with_parts_of_the_starts(spark):
+    commands = rows(spark).withColumn("partition", F.lit(0))
+    starts = M.genesis(commands.withColumn("timestamp", F.timestamp_micros("now")), 200 * S, 200 * S)
+    plan = M.claims(commands, starts, 200 * S)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastExchange" in plan
