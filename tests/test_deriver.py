@@ -79,6 +79,18 @@ def test_a_stream_that_goes_on(spark, tmp_path):
     assert pointers(read("failures")) == pointers(batch["failures"])
 
 
+def test_a_log_is_verified_and_derived_once(spark):
+    """Telling repeated events from first ones is no second way through what derives them; and repeats point at their first, whatever its partition and their number."""
+    rows, keys = log(spark)
+    out = deriver.derived_once(rows, keys, contract(), F.lit(NOW).cast("timestamp"), 7 * 3600)
+    plan = out.groupBy("kind", "reason").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [signature_holds(") == 1 and plan.count("ArrowEvalPython [render(") == 1
+    many = rows.where("offset = 0").crossJoin(spark.range(300).withColumnRenamed("id", "k")).withColumns({"offset": F.col("k"), "partition": (2 - F.col("k") % 3).cast("int")}).drop("k")
+    found = deriver.derived_once(many, keys, contract(), F.lit(NOW).cast("timestamp"), 7 * 3600).select("partition", "offset", "kind", "details").collect()
+    assert [(r.partition, r.offset) for r in found if r.kind == "event"] == [(0, 2)] and len(found) == 300
+    assert {(r.kind, *r.details) for r in found if (r.partition, r.offset) != (0, 2)} == {("failure", "derived from/0/2")}
+
+
 def test_responses_travel_under_their_request(spark):
     kind, topic = "response.v1", "http.responses.gw-1"
     rows = [
