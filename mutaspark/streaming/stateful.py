@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from mutaspark.functions import columns as C
 from mutaspark.operators.machine import OUTPUT, Entry, Settings, State, decide, decided, inputs, plain
@@ -24,17 +25,50 @@ def _in_order(frames: Iterator[pd.DataFrame], *by: str) -> list[dict]:
     return [plain(r) for r in pd.concat(list(frames)).sort_values([*by, "partition", "offset"]).to_dict("records")]
 
 
-#: Keys under which rows pass that need no state.
-PASSING = 64
+#: Groups that requests are dealt to by their hash, and those in which rows pass that need no state: what a group costs by itself is a few milliseconds.
+BUCKETS, PASSING = 1024, 256
 
 
-def events_once(candidates: DataFrame, window_s: int, now_us: int | None = None) -> DataFrame:
+class Firsts(StatefulProcessor):
+    """Turns events into failures whose request has had one, each bucket's in log order. A request's first place is read and written by itself, once a batch, and goes by the store's own expiry."""
+
+    def __init__(self, buckets: int, keep_ms: int):
+        self.buckets, self.keep_ms = buckets, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.firsts = handle.getMapState("firsts", "request_id string", "partition int, offset long", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] >= self.buckets:
+            for frame in rows:
+                yield frame[FIELDS]
+            return
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["once_key", "partition", "offset"], ignore_index=True)
+        again, first = frame.duplicated("once_key").to_numpy(), {}
+        for i in (~again).nonzero()[0]:
+            request, place = frame["once_key"][i], (int(frame["partition"][i]), int(frame["offset"][i]))
+            held = self.firsts.getValue((request,))
+            if held is None:
+                self.firsts.updateValue((request,), place)
+            again[i] = held is not None
+            first[request] = place if held is None else held
+        out = frame[FIELDS].astype({"kind": object, "reason": object, "details": object})
+        out.loc[again, "kind"], out.loc[again, "reason"] = "failure", "duplicate_result"
+        out.loc[again, "details"] = ["derived from/{}/{}".format(*first[request]) for request in frame["once_key"][again]]
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def events_once(candidates: DataFrame, window_s: int, now_us: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """A stream of derived events (columns EVENTS, null where there are none) with duplicates and events beyond the window turned into failures; none is dropped, and rows that aren't events pass as they are.
 
-    Age is judged before, without state. An event that gets to the state is younger than the window, and the
-    watermark is older than that and an hour, as other rows carry the batch's own time; so no row is late, and the
-    watermark only bounds how long it is kept where a request's event came from. All rows take one way through one
-    plan: what derives them runs once. now_us: fixed, for tests; else the time of the batch.
+    Age is judged before, without state. An event that gets to the state is younger than the window; where it came
+    from is kept for two windows and an hour, by which clocks may differ, after it was seen. No row is late. All rows
+    take one way through one plan: what derives them runs once. now_us: fixed, for tests; else the time of the batch.
+    buckets: to how many groups requests are dealt by their hash; a task holds one group's events of a batch, and the
+    number stays with the checkpoint, as its state lies by group.
     """
     have = set(candidates.columns)
     candidates = candidates.withColumns({n: F.lit(None).cast("string") for n in FIELDS if n not in have})
@@ -42,30 +76,10 @@ def events_once(candidates: DataFrame, window_s: int, now_us: int | None = None)
     old = (F.col("kind") == "event") & (now - F.col("completed_us") > window_s * 1_000_000)
     rows = candidates.withColumns({"kind": F.when(old, "failure").otherwise(F.col("kind")), "reason": F.when(old, "beyond_dedup_window").otherwise(F.col("reason"))}).select(*FIELDS)
     event = F.coalesce(F.col("kind") == "event", F.lit(False))
-
-    def once(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if key[0].startswith("~"):
-            for frame in frames:
-                yield frame[FIELDS]
-            return
-        out = []
-        for r in _in_order(frames):
-            if state.exists:
-                r |= {"kind": "failure", "reason": "duplicate_result", "details": "derived from/{}/{}".format(*state.get)}
-            else:
-                state.update((int(r["partition"]), int(r["offset"])))
-                state.setTimeoutTimestamp(max(r["completed_us"] // 1000 + window_s * 1000, state.getCurrentWatermarkMs() + 1))
-            out.append({f: r.get(f) for f in FIELDS})
-        yield pd.DataFrame(out, columns=FIELDS)
-
-    # Clocks may differ by less than an hour.
-    timed = rows.withColumn("completed_at", F.timestamp_micros(F.when(event, F.col("completed_us")).otherwise(now))).withWatermark("completed_at", f"{window_s + 3600} seconds")
-    passing = F.concat(F.lit("~"), F.pmod(F.xxhash64("topic", "partition", "offset"), F.lit(PASSING)).cast("string"))
-    keyed = timed.withColumn("once_key", F.when(event, F.concat(F.lit("="), C.empty_if_null("request_id"))).otherwise(passing))
-    return keyed.groupBy("once_key").applyInPandasWithState(once, EVENTS, "partition int, offset long", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    keyed = rows.withColumn("once_key", C.empty_if_null("request_id"))
+    keyed = keyed.withColumn("bucket", F.when(event, dealt(buckets, "once_key")).otherwise(F.lit(buckets) + dealt(PASSING, "topic", "partition", "offset")))
+    return keyed.groupBy("bucket").transformWithStateInPandas(Firsts(buckets, (2 * window_s + 3600) * 1000), EVENTS, "Append", "ProcessingTime")
 
 
 def packed(state: State) -> str:

@@ -163,3 +163,20 @@ def test_events_at_most_once_in_a_stream(spark, tmp_path):
     assert [x[:2] for x in read("event")] == [("a", 0), ("b", 1)]
     failed = read("failure")
     assert failed == [("a", 2, "duplicate_result", "derived from/0/0"), ("b", 3, "duplicate_result", "derived from/0/1"), ("c", 4, "beyond_dedup_window", None)]
+
+
+def test_many_requests_events_at_most_once_in_few_groups(spark, tmp_path):
+    """Requests share groups, not their firsts: repeats in a batch and of an earlier one are told, whatever order they come in; what isn't an event passes as it is, without a time too."""
+    event = lambda k, offset, partition=0: (f"r{k}", partition, offset, 50 * S, "event", None, None, "t", f"k{k}", "{}", "topic")
+    other = [(None, 1, 9000, None, "failure", "not_authentic", "[]", None, None, None, "topic"), ("r5", 1, 9001, 50 * S, "none", None, None, None, None, None, "topic")]
+    batches = [[*map(event, range(1000), range(1010, 10, -1)), event(7, 3), event(7, 2), *other], [event(k, 5000 + k, 1) for k in range(500, 1500)]]
+    fields = "request_id string, partition int, offset long, completed_us long, kind string, reason string, details string, event_topic string, event_key string, event_value string, topic string"
+    for batch in batches:
+        spark.createDataFrame(batch, fields).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(fields).parquet(str(tmp_path / "in"))
+        stateful.run_to_end(stateful.events_once(stream, 3600, 60 * S, buckets=3), str(tmp_path / "checkpoint"), write_outputs(str(tmp_path / "out"), lambda b: {"rows": b}))
+    got = {(r.partition, r.offset): r for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()}
+    assert len(got) == 2004 and {k for k, r in got.items() if r.kind == "event"} == {(0, 1010 - k) for k in range(1000) if k != 7} | {(0, 2)} | {(1, 5000 + k) for k in range(1000, 1500)}
+    assert all(got[1, 5000 + k][:2] == (f"r{k}", 1) and (got[1, 5000 + k].reason, got[1, 5000 + k].details) == ("duplicate_result", f"derived from/0/{1010 - k}") for k in range(500, 1000))
+    assert {got[p].details for p in ((0, 3), (0, 1003))} == {"derived from/0/2"}
+    assert [(got[p].request_id, got[p].completed_us, got[p].kind, got[p].reason, got[p].details) for p in ((1, 9000), (1, 9001))] == [(None, None, "failure", "not_authentic", "[]"), ("r5", 50 * S, "none", None, None)]
