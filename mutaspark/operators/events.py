@@ -58,7 +58,7 @@ RENDERED = T.StructType([T.StructField("key", T.StringType()), T.StructField("va
 
 
 def renderer(contract: Contract):
-    """A function of columns by an Arrow UDF that evaluates a mapping's whole template in one go, each body parsed once: (operation_id, request body, response body, path parameters, query, request headers, response headers) to key, value and problems. What no mapping reads isn't sent to Python: maps cost more to convert there than a template to evaluate."""
+    """A function of columns by an Arrow UDF that evaluates a mapping's whole template in one go, each body parsed once: (operation_id, request body, response body, path parameters, query, request headers, response headers) to key, value and problems. What no mapping reads isn't sent to Python."""
     mappings = {o.id: o.event for o in contract.operations if o.event}
     read = {e.source for m in mappings.values() for e in (m.key, *m.value.expressions())}
 

@@ -79,6 +79,16 @@ def test_a_stream_that_goes_on(spark, tmp_path):
     assert pointers(read("failures")) == pointers(batch["failures"])
 
 
+def test_a_streamed_log_keeps_its_firsts_by_bucket(spark, tmp_path):
+    """One group a request would cost a batch some milliseconds for each of its events."""
+    rows, keys = log(spark)
+    rows.where("offset <= 2").coalesce(1).write.parquet(str(tmp_path / "log"))
+    query = deriver.run(spark.readStream.schema(LOG).parquet(str(tmp_path / "log")), keys, contract(), str(tmp_path / "out"), str(tmp_path / "checkpoint"), 365_000 * 86_400)
+    (held,) = query.lastProgress["stateOperators"]
+    assert "transformWithState" in held["operatorName"], held["operatorName"]
+    assert {n: spark.read.parquet(str(tmp_path / "out" / n)).count() for n in ("events", "failures")} == {"events": 2, "failures": 1}
+
+
 def test_a_log_is_verified_and_derived_once(spark):
     """Telling repeated events from first ones is no second way through what derives them; and repeats point at their first, whatever its partition and their number."""
     rows, keys = log(spark)
